@@ -7,7 +7,7 @@ out here and every metric agrees with Python for any Unicode text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # What str.isspace() accepts, as the inside of a regex class ...
 SPACE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
@@ -56,25 +56,35 @@ def noise_chars(text: Column) -> Column:
     return F.length(F.regexp_replace(text, CLEAN_RUN, ""))
 
 
-def ratio_milli(part: Column, whole: Column) -> Column:
-    """``part / whole`` in thousandths, rounded as Python rounds the double.
+def with_ratio_milli(rows: DataFrame, part: str, whole: str, name: str) -> DataFrame:
+    """Add ``part / whole`` in thousandths, rounded as Python rounds the double.
 
     Away from ties this is plain integer rounding. On a tie the binary double lies
     a little above or below the decimal value (or exactly on it, then half-even);
     splitting it into two 26-bit halves makes that difference exact.
     """
-    base = F.floor(part * 1000 / whole).cast("long")
-    twice_rest = (part * 1000 - base * whole) * 2
-    value = part.cast("double") / whole.cast("double")
-    scaled = value * F.lit(134217729.0)
-    high = scaled - (scaled - value)
-    gap = (high * 2000.0 - (base * 2 + 1).cast("double")) + (value - high) * 2000.0
+    value = F.col(part) / F.col(whole).cast("double")
+    whole_col, down = F.col(whole).cast("long"), F.col("_down")
+    scaled = F.col("_value") * F.lit(134217729.0)
+    gap = F.col("_high") * 2000.0 - (down * 2 + 1) + (F.col("_value") - F.col("_high")) * 2000.0
     return (
-        F.when(twice_rest > whole, base + 1)
-        .when(twice_rest < whole, base)
-        .when(gap > 0, base + 1)
-        .when(gap < 0, base)
-        .otherwise(base + base % 2)
+        rows.withColumns(
+            {"_value": value, "_down": F.floor(F.col(part).cast("long") * 1000 / whole_col)}
+        )
+        .withColumns(
+            {
+                "_high": scaled - (scaled - F.col("_value")),
+                "_rest": (F.col(part).cast("long") * 1000 - down * whole_col) * 2 - whole_col,
+            }
+        )
+        .withColumn("_gap", F.when(F.col("_rest") == 0, gap).otherwise(F.col("_rest")))
+        .withColumn(
+            name,
+            F.when(F.col("_gap") > 0, down + 1)
+            .when(F.col("_gap") < 0, down)
+            .otherwise(down + down % 2),
+        )
+        .drop("_value", "_down", "_high", "_rest", "_gap")
     )
 
 

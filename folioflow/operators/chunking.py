@@ -42,26 +42,38 @@ def split_clauses(text: Column) -> Column:
     )
 
 
-def clause_chunks(text: Column, size: int = CHUNK_SIZE) -> Column:
-    """array<string>: parts packed greedily up to ``size`` characters.
+def _clause_pieces(docs: DataFrame, size: int) -> DataFrame:
+    """Clause parts packed greedily up to ``size`` characters, as column ``pieces``.
 
-    A part longer than ``size`` stays whole; blank chunks are dropped.
+    Only lengths decide where a chunk ends, so the fold carries integers: the first part
+    of every chunk. The chunks are then joined from the parts in one go. A part longer
+    than ``size`` stays whole; blank chunks are dropped. Each step reads the one before
+    several times, which keeps Spark from evaluating a step more than once per row.
     """
-    no_chunks = F.array().cast("array<string>")
+    none_yet = F.struct(F.lit(1).alias("part"), F.lit(0).alias("chars"), F.array(F.lit(1)).alias("starts"))
 
-    def emit(out: Column, cur: Column) -> Column:
-        piece = strip(cur)
-        return F.when(piece != "", F.array_append(out, piece)).otherwise(out)
-
-    def pack(acc: Column, part: Column) -> Column:
-        full = F.length(acc["cur"]) + F.length(part) > size
+    def pack(acc: Column, chars: Column) -> Column:
+        full = acc["chars"] + chars > size
         return F.struct(
-            F.when(full, part).otherwise(F.concat(acc["cur"], part)).alias("cur"),
-            F.when(full, emit(acc["out"], acc["cur"])).otherwise(acc["out"]).alias("out"),
+            (acc["part"] + 1).alias("part"),
+            F.when(full, chars).otherwise(acc["chars"] + chars).alias("chars"),
+            F.when(full, F.array_append(acc["starts"], acc["part"])).otherwise(acc["starts"]).alias("starts"),
         )
 
-    start = F.struct(F.lit("").alias("cur"), no_chunks.alias("out"))
-    return F.aggregate(split_clauses(text), start, pack, lambda acc: emit(acc["out"], acc["cur"]))
+    lengths = F.transform("parts", lambda p: F.length(p))
+    starts = F.aggregate(lengths, none_yet, pack, lambda acc: F.array_append(acc["starts"], acc["part"]))
+
+    def join(start: Column, index: Column) -> Column:
+        count = F.get(F.col("starts"), index + 1) - start
+        return strip(F.array_join(F.slice("parts", start, count), ""))
+
+    first_parts = F.slice("starts", F.lit(1), F.size("starts") - 1)
+    pieces = F.filter(F.transform(first_parts, join), lambda p: p != "")
+    return (
+        docs.withColumn("parts", split_clauses(F.col("text")))
+        .withColumn("starts", starts)
+        .withColumn("pieces", pieces)
+    )
 
 
 def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
@@ -129,8 +141,11 @@ def recursive_chunks(
     return cut(text)
 
 
-_MODES = {"clause": lambda t, size, overlap: clause_chunks(t, size), "fixed": fixed_chunks,
-          "recursive": recursive_chunks}
+def _pieces(docs: DataFrame, mode: str, size: int, overlap: int) -> DataFrame:
+    if mode == "clause":
+        return _clause_pieces(docs, size)
+    cut = {"fixed": fixed_chunks, "recursive": recursive_chunks}[mode]
+    return docs.withColumn("pieces", cut(F.col("text"), size, overlap))
 
 
 def chunk_documents(
@@ -147,15 +162,19 @@ def chunk_documents(
     section_type and parent_section. Both come from the document's own row.
     Clause mode has no overlap.
     """
-    pieces = _MODES[mode](F.coalesce("text", F.lit("")), size, overlap)
-    doc_id = F.coalesce("doc_id", F.lit("unknown"))
-    cut = docs.select(doc_id.alias("doc_id"), "user_id", "filename", pieces.alias("pieces"))
+    docs = docs.select(
+        F.coalesce("doc_id", F.lit("unknown")).alias("doc_id"), "user_id", "filename",
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    cut = _pieces(docs, mode, size, overlap).select("doc_id", "user_id", "filename", "pieces")
     if clause_meta:
         cut = cut.withColumn("pieces", _with_parent_section(F.col("pieces")))
+    # The outer form on purpose: for a plain explode Spark adds a "size > 0" filter, pushes
+    # it down to the scan and thereby chunks every document a second time.
     rows = cut.select(
         "doc_id", "user_id", "filename", F.size("pieces").alias("n"),
-        F.posexplode("pieces").alias("chunk_index", "piece"),
-    )
+        F.posexplode_outer("pieces").alias("chunk_index", "piece"),
+    ).filter("piece is not null")
     index = F.col("chunk_index")
     text = F.col("piece.text") if clause_meta else F.col("piece")
     columns = [

@@ -22,10 +22,9 @@ def doc_quality(extracted: DataFrame) -> DataFrame:
         F.when(usable, tx.noise_chars(F.col("text"))).alias("noise"),
     )
     chars = F.col("chars")
-    milli = F.coalesce(
-        tx.ratio_milli(F.col("noise").cast("long"), chars.cast("long")), F.lit(0)
+    rated = tx.with_ratio_milli(measured, "noise", "chars", "milli").withColumn(
+        "milli", F.coalesce("milli", F.lit(0))
     )
-    rated = measured.withColumn("milli", milli)
     usable = F.col("usable")
     noise_ratio = F.col("milli") / F.lit(1000.0)
     is_empty = ~usable | (chars < tx.MIN_TEXT_CHARS)
@@ -120,7 +119,11 @@ def status_counts(extracted: DataFrame) -> DataFrame:
 
 
 def filter_flagged(report: DataFrame, limit: int = 50) -> DataFrame:
-    """The review list shown to the operator: a top-``limit`` report by document id."""
+    """The review list shown to the operator: a top-``limit`` report by document id.
+
+    Read ``report`` back from its written stage: on an unwritten one Spark pushes the filter
+    down to the text and computes every measure again for it.
+    """
     return (
         report.filter("needs_review")
         .select("doc_id", "filename", "ocr_status", "text_length", "noise_ratio", "review_reason")

@@ -144,9 +144,15 @@ def filter_failed(spark, sf):
     return extract.filter_failed(stages.read_stage(spark, path))
 
 
+def _stored_report(spark, sf):
+    report = quality.doc_quality(views.extracted(spark, sf))
+    path = stages.write_stage(report, work_dir(spark, "report"))
+    return stages.read_stage(spark, path, schemas.DOC_REPORT)
+
+
 @query
 def filter_flagged(spark, sf):
-    return quality.filter_flagged(quality.doc_quality(views.extracted(spark, sf)))
+    return quality.filter_flagged(_stored_report(spark, sf))
 
 
 @query
@@ -274,12 +280,11 @@ def word_count(spark, sf):
 @query
 def noise_ratio(spark, sf):
     counted = views.extracted(spark, sf).select(
-        "doc_id", tx.noise_chars(F.col("text")).cast("long").alias("noise"),
-        F.greatest(F.length("text"), F.lit(1)).cast("long").alias("chars"),
-    )
-    return counted.select(
-        "doc_id", (tx.ratio_milli(F.col("noise"), F.col("chars")) / F.lit(1000.0)).alias("noise_ratio")
+        "doc_id", tx.noise_chars(F.col("text")).alias("noise"),
+        F.greatest(F.length("text"), F.lit(1)).alias("chars"),
     )
+    rated = tx.with_ratio_milli(counted, "noise", "chars", "milli")
+    return rated.select("doc_id", (F.col("milli") / F.lit(1000.0)).alias("noise_ratio"))
 
 
 @query
@@ -390,7 +395,7 @@ def status_counts(spark, sf):
 @query
 def quality_gate(spark, sf):
     docs = views.extracted(spark, sf)
-    passed = quality.quality_gate(docs, quality.doc_quality(docs), enabled=True)
+    passed = quality.quality_gate(docs, _stored_report(spark, sf), enabled=True)
     return passed.select("doc_id", "user_id", "page_count")
 
 

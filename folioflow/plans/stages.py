@@ -16,7 +16,7 @@ from folioflow.operators import embedding, extract, points, quality
 from folioflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from folioflow.operators.documents import run_log
 from folioflow.sources.raw import scan_raw_files
-from folioflow.sources.stages import read_stage, write_stage, write_summary
+from folioflow.sources.stages import read_stage, spread, write_stage, write_summary
 
 STAGES = ("extract", "analyze", "embed")
 
@@ -82,7 +82,7 @@ def _extract(spark: SparkSession, cfg: StageConfig, files: DataFrame | None) ->
 
 
 def _analyze(spark: SparkSession, cfg: StageConfig) -> dict:
-    extracted = read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt)
+    extracted = spread(read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt))
     write_stage(quality.doc_quality(extracted), cfg.path("analysis/doc_report"), cfg.fmt)
     report = read_stage(spark, cfg.path("analysis/doc_report"), schemas.DOC_REPORT, cfg.fmt)
     summary = quality.cost_estimate(quality.corpus_summary(report))
@@ -94,7 +94,7 @@ def _analyze(spark: SparkSession, cfg: StageConfig) -> dict:
 
 
 def _embed(spark: SparkSession, cfg: StageConfig) -> dict:
-    extracted = read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt)
+    extracted = spread(read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt))
     if cfg.gate:
         report = read_stage(spark, cfg.path("analysis/doc_report"), schemas.DOC_REPORT, cfg.fmt)
         extracted = quality.quality_gate(extracted, report, enabled=True)

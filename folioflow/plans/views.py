@@ -9,6 +9,7 @@ from folioflow.operators.documents import new_documents, register_uploads
 from folioflow.operators.embedding import embed_chunks, embed_queries, hashing_embedder
 from folioflow.operators.extract import filter_indexable
 from folioflow.operators.points import build_points
+from folioflow.sources.stages import spread
 
 DIM = 256
 
@@ -68,7 +69,8 @@ def extracted_from(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted_from(spark, table(spark, sf_dir, "documents"))
+    columns = ["doc_id", "text", "source", "n_chars"]
+    return extracted_from(spark, spread(table(spark, sf_dir, "documents").select(*columns)))
 
 
 def raw_files_from(documents: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def raw_files_from(documents: DataFrame) -> DataFrame:
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_files_from(table(spark, sf_dir, "documents"))
+    return raw_files_from(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
 def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:

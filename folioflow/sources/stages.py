@@ -32,3 +32,15 @@ def write_summary(summary: DataFrame, path: str) -> str:
     """The one-row corpus summary as a single JSON file."""
     summary.coalesce(1).write.mode("overwrite").json(path)
     return path
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan of very few splits over all cores before CPU-heavy work.
+
+    A large input has more splits than the cluster has cores and is returned as it is, without
+    a shuffle. For plain scans only (counting splits plans the scan but runs no job).
+    """
+    if scan.isStreaming:
+        return scan
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
