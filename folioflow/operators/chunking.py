@@ -223,8 +223,10 @@ def _with_parent_section(pieces: Column) -> Column:
     return F.aggregate(pieces, start, visit, lambda acc: acc["out"])
 
 
-def chunk_counts(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Documents to process and chunks produced, side by side in one row."""
-    return docs.agg(F.count("*").alias("docs")).join(
-        F.broadcast(chunks.agg(F.count("*").alias("chunks")))
+def chunk_counts(
+    docs: DataFrame, mode: str = "clause", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
+) -> DataFrame:
+    """Documents to process and chunks they give, in one pass and without exploding them."""
+    return _pieces(docs.select("text"), mode, size, overlap).agg(
+        F.count("*").alias("docs"), F.coalesce(F.sum(F.size("pieces")), F.lit(0)).alias("chunks")
     )

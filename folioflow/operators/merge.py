@@ -48,6 +48,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(folder)
 
 
+def _has_buckets(spark: SparkSession, path: str) -> bool:
+    """False before the first write and after the last row was deleted."""
+    system, pattern = _folder(spark, f"{path}/bucket=*")
+    return bool(system.globStatus(pattern))
+
+
 def _rewrite_buckets(
     spark: SparkSession, path: str, merged: DataFrame, key: str, buckets: int, touched: list[int]
 ) -> None:
@@ -86,7 +92,7 @@ def upsert_table(
     rows of one key and keeps a stored row that is newer.
     """
     new = with_bucket(incoming, key, buckets)
-    if not table_exists(spark, path):
+    if not _has_buckets(spark, path):
         rows = latest_by_key(new, key, order) if order else new
         _rewrite_buckets(spark, path, rows, key, buckets, [])
         return
@@ -102,6 +108,8 @@ def upsert_table(
 def delete_from_table(
     spark: SparkSession, path: str, keys: DataFrame, key: str, buckets: int = BUCKETS
 ) -> None:
+    if not _has_buckets(spark, path):
+        return
     gone = with_bucket(keys.select(key), key, buckets)
     touched = _touched(gone)
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))

@@ -246,8 +246,7 @@ def explode_chunks(spark, sf):
 
 @query
 def chunk_counts(spark, sf):
-    docs = extract.filter_indexable(views.extracted(spark, sf))
-    return chunking.chunk_counts(docs, chunking.chunk_documents(docs))
+    return chunking.chunk_counts(extract.filter_indexable(views.extracted(spark, sf)))
 
 
 @query
