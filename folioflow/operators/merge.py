@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from folioflow.session import work_dir
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 BUCKETS = 64
 
@@ -54,26 +52,16 @@ def _has_buckets(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(pattern))
 
 
-def _rewrite_buckets(
-    spark: SparkSession, path: str, merged: DataFrame, key: str, buckets: int, touched: list[int]
-) -> None:
-    """Replace the touched buckets by ``merged``.
+def _rewrite_buckets(rows: DataFrame, path: str) -> None:
+    """Replace the buckets present in ``rows`` and leave the others alone.
 
-    The merged rows are first written beside the table. A job lost while the
-    buckets are swapped is repeated from there and gives the same table.
+    Tasks write beside the table and old files go only when all of them are done, so the
+    table may be read by the same job and a lost executor costs its tasks, not data.
+    Rebalancing gathers small buckets in one task and splits large ones over many.
     """
-    staged = work_dir(spark, "merge")
-    # Rebalancing gathers small buckets in one task and splits large ones over many.
-    merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(staged)
-    rows = spark.read.schema(merged.schema).parquet(staged)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket"
-    ).parquet(path)
-    # A bucket that lost its last row has no partition in the new data.
-    emptied = set(touched) - {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-    for bucket in emptied:
-        system, folder = _folder(spark, f"{path}/bucket={bucket}")
-        system.delete(folder, True)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("bucket").parquet(path)
 
 
 def _touched(rows: DataFrame) -> list[int]:
@@ -93,8 +81,7 @@ def upsert_table(
     """
     new = with_bucket(incoming, key, buckets)
     if not _has_buckets(spark, path):
-        rows = latest_by_key(new, key, order) if order else new
-        _rewrite_buckets(spark, path, rows, key, buckets, [])
+        _rewrite_buckets(latest_by_key(new, key, order) if order else new, path)
         return
     touched = _touched(new)
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
@@ -102,7 +89,7 @@ def upsert_table(
         merged = latest_by_key(old.unionByName(new), key, order)
     else:
         merged = put_rows(old, new, key)
-    _rewrite_buckets(spark, path, merged, key, buckets, touched)
+    _rewrite_buckets(merged, path)
 
 
 def delete_from_table(
@@ -113,4 +100,10 @@ def delete_from_table(
     gone = with_bucket(keys.select(key), key, buckets)
     touched = _touched(gone)
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    _rewrite_buckets(spark, path, delete_rows(old, gone, key), key, buckets, touched)
+    seen = Observation()
+    kept = delete_rows(old, gone, key).observe(seen, F.collect_set("bucket").alias("buckets"))
+    _rewrite_buckets(kept, path)
+    # A bucket that lost its last row has no counterpart in what was written.
+    for bucket in set(touched) - set(seen.get["buckets"]):
+        system, folder = _folder(spark, f"{path}/bucket={bucket}")
+        system.delete(folder, True)
