@@ -40,11 +40,14 @@ def hashing_embedder(dim: int = 256) -> Callable[[], Provider]:
         def embed(texts: list[str]) -> np.ndarray:
             if len(known) > 200_000:
                 known.clear()
-            out = np.zeros((len(texts), dim))
+            cells, signs = [], []
             for row, text in enumerate(texts):
                 for token in text.lower().split():
                     slot, sign = known.get(token) or known.setdefault(token, place(token))
-                    out[row, slot] += sign
+                    cells.append(row * dim + slot)
+                    signs.append(sign)
+            flat = np.bincount(np.array(cells, dtype=np.int64), signs, minlength=len(texts) * dim)
+            out = flat.reshape(len(texts), dim)
             length = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return np.divide(out, length, out=out, where=length > 0)
 

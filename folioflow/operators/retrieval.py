@@ -27,7 +27,8 @@ RAG_THRESHOLD = 0.7
 MAX_BROADCAST_QUERIES = 4096
 POINT_BLOCK = 8192
 QUERY_BLOCK = 2048
-_SCORED_AT_ONCE = 1024
+# Scores held at a time: 1024 questions x 4096 points x 8 bytes is 32 MB.
+_SCORED_AT_ONCE, _POINTS_AT_ONCE = 1024, 4096
 PAYLOAD = ("chunk_id", "doc_id")
 
 _OPS = {
@@ -90,9 +91,9 @@ class BlockScorer:
 
     def add(self, block: pa.Table, queries: dict) -> None:
         """Score one block of points (any order) against one block of questions."""
-        block = block.sort_by("chunk_id")
+        block = block.sort_by("chunk_id").combine_chunks()
         vectors = as_matrix(block.column("vector"))
-        docs = block.column("doc_id").to_numpy() if queries["doc_ids"] else None
+        docs = block.column("doc_id").combine_chunks().dictionary_encode() if queries["doc_ids"] else None
         for start in range(0, len(queries["number"]), _SCORED_AT_ONCE):
             part = slice(start, start + _SCORED_AT_ONCE)
             self._add_part(block, vectors, docs, queries, part)
@@ -102,9 +103,14 @@ class BlockScorer:
         if self.threshold is not None:
             bound = -self.threshold if self.metric == "euclidean" else self.threshold
             near[near < bound] = -np.inf
-        for row, number in enumerate(queries["number"][part]):
-            if number in queries["doc_ids"]:
-                near[row, ~np.isin(docs, queries["doc_ids"][number])] = -np.inf
+        if docs is not None:
+            code_of = {name: code for code, name in enumerate(docs.dictionary.to_pylist())}
+            codes = docs.indices.to_numpy(zero_copy_only=False)
+            for row, number in enumerate(queries["number"][part].tolist()):
+                if number in queries["doc_ids"]:
+                    wanted = np.zeros(len(code_of), dtype=bool)
+                    wanted[[code_of[d] for d in queries["doc_ids"][number] if d in code_of]] = True
+                    near[row, ~wanted[codes]] = -np.inf
         ks = queries["top_k"][part]
         kmax = int(ks.max())
         keep = near > -np.inf
@@ -179,7 +185,6 @@ def _prepared(queries: DataFrame, tenant: str | None, top_k: int | None) -> Data
         F.coalesce(k, F.lit(DEFAULT_TOP_K)).cast("int").alias("top_k"),
         docs.cast("array<string>").alias("doc_ids"),
         "vector",
-        *[c for c in ("_list",) if c in queries.columns],
     ).filter("vector is not null and top_k > 0")
 
 
@@ -216,7 +221,8 @@ def _scan_with_broadcast(points, rows, tenant, payload, metric, threshold) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         question_blocks, query_ids = shared.value
         scorer = BlockScorer(metric, threshold, payload)
-        for batch in batches:
+        slices = (b.slice(i, _POINTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, _POINTS_AT_ONCE))
+        for batch in slices:
             whole = pa.Table.from_batches([batch])
             codes = batch.column("_tenant").dictionary_encode()
             numbers = codes.indices.to_numpy(zero_copy_only=False)

@@ -593,3 +593,12 @@ from (select value, case when event_type in ('view', 'error') then 'extract' els
     case when event_type = 'error' then 'failed' when event_type = 'signup' then 'timeout' else 'success' end as status,
     case when event_type = 'error' then props end as error from events)
 group by stage, status"""
+
+_RUN_EXTRACTED = "extracted as (select * from outcome)"
+ORACLES["run_all_stages"] = _with(
+    _OUTCOME, _RUN_EXTRACTED, _INDEXABLE, _PARTS, _FOLD, _CHUNKS, _REPORT, recursive=True
+) + """
+select * from (select user_id, count(*) as docs, sum(page_count)::bigint as pages from extracted group by 1)
+join (select user_id, count(*) filter (needs_review) as flagged from report group by 1) using (user_id)
+left join (select user_id, count(*) as points, sum(length(text))::bigint as chars from chunks group by 1)
+  using (user_id)"""
