@@ -49,12 +49,14 @@ def delete_points(current: DataFrame, keys: DataFrame) -> DataFrame:
     return merge.delete_rows(current, keys, "point_id")
 
 
-def reindex_docs(current: DataFrame, rebuilt: DataFrame) -> DataFrame:
+def reindex_docs(current: DataFrame, rebuilt: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Replace all points of the rebuilt documents.
 
-    Points of chunks that no longer exist go as well; a plain upsert keeps them.
+    Points of chunks that no longer exist go as well; a plain upsert keeps them. ``docs``
+    (doc_id) names the documents, so that one without any chunks left loses its points too; by
+    default they are those of the ``rebuilt`` rows.
     """
-    docs = rebuilt.select("doc_id").distinct()
+    docs = (rebuilt if docs is None else docs).select("doc_id").distinct()
     kept = current.join(docs, "doc_id", "left_anti").select(*current.columns)
     return kept.unionByName(rebuilt.select(*current.columns))
 

@@ -355,6 +355,11 @@ def assign_lists(points: DataFrame, model) -> DataFrame:
     return model.transform(_with_unit(points)).drop("unit")
 
 
+def save_lists(listed: DataFrame, path: str) -> None:
+    """Store the points by list: assigned once, and lists no question probes are not read."""
+    listed.hint("rebalance", "_list").write.mode("overwrite").partitionBy("_list").parquet(path)
+
+
 def knn_approx(
     listed_points: DataFrame,
     model,
@@ -370,7 +375,8 @@ def knn_approx(
 ) -> DataFrame:
     """Top-k among the ``probes`` lists nearest to each question, re-scored exactly.
 
-    Lists are found by ``assign_lists``; probing all of them gives the exact result.
+    Lists are found by ``assign_lists`` (store them with ``save_lists``); probing all of them
+    gives the exact result.
     A crowded list is cut into blocks like a crowded tenant.
     """
     payload = list(dict.fromkeys(["chunk_id", *payload]))

@@ -80,7 +80,7 @@ def write_extracted(spark, sf):
 
 @query
 def write_doc_report(spark, sf):
-    report = quality.doc_quality(views.extracted(spark, sf))
+    report = quality.doc_quality(views.extracted(spark, sf, busy=True))
     path = stages.write_stage(report, work_dir(spark, "report"), "json")
     return stages.read_stage(spark, path, schemas.DOC_REPORT, "json").drop("_corrupt_record")
 
@@ -145,7 +145,7 @@ def filter_failed(spark, sf):
 
 
 def _stored_report(spark, sf):
-    report = quality.doc_quality(views.extracted(spark, sf))
+    report = quality.doc_quality(views.extracted(spark, sf, busy=True))
     path = stages.write_stage(report, work_dir(spark, "report"))
     return stages.read_stage(spark, path, schemas.DOC_REPORT)
 
@@ -203,7 +203,7 @@ def extraction_counts(spark, sf):
 
 @query
 def split_clauses(spark, sf):
-    return views.extracted(spark, sf).select(
+    return views.extracted(spark, sf, busy=True).select(
         "doc_id", F.posexplode(chunking.split_clauses(F.col("text"))).alias("part_no", "part")
     )
 
@@ -246,7 +246,7 @@ def explode_chunks(spark, sf):
 
 @query
 def chunk_counts(spark, sf):
-    return chunking.chunk_counts(extract.filter_indexable(views.extracted(spark, sf)))
+    return chunking.chunk_counts(extract.filter_indexable(views.extracted(spark, sf, busy=True)))
 
 
 @query
@@ -278,7 +278,7 @@ def word_count(spark, sf):
 
 @query
 def noise_ratio(spark, sf):
-    counted = views.extracted(spark, sf).select(
+    counted = views.extracted(spark, sf, busy=True).select(
         "doc_id", tx.noise_chars(F.col("text")).alias("noise"),
         F.greatest(F.length("text"), F.lit(1)).alias("chars"),
     )
@@ -295,14 +295,14 @@ def est_chunks(spark, sf):
 
 @query
 def quality_flags(spark, sf):
-    return quality.doc_quality(views.extracted(spark, sf)).select(
+    return quality.doc_quality(views.extracted(spark, sf, busy=True)).select(
         "doc_id", "is_empty", "is_noisy", "needs_review"
     )
 
 
 @query
 def review_reason(spark, sf):
-    return quality.doc_quality(views.extracted(spark, sf)).select("doc_id", "review_reason")
+    return quality.doc_quality(views.extracted(spark, sf, busy=True)).select("doc_id", "review_reason")
 
 
 @query
@@ -364,12 +364,12 @@ def parse_answer_json(spark, sf):
 
 @query
 def doc_quality(spark, sf):
-    return quality.doc_quality(views.extracted(spark, sf))
+    return quality.doc_quality(views.extracted(spark, sf, busy=True))
 
 
 @query
 def corpus_summary(spark, sf):
-    summary = quality.corpus_summary(quality.doc_quality(views.extracted(spark, sf)))
+    summary = quality.corpus_summary(quality.doc_quality(views.extracted(spark, sf, busy=True)))
     return summary.withColumns(
         {c: F.round(c, 6) for c in
          ("avg_pages_per_doc", "avg_text_length", "avg_word_count", "avg_noise_ratio")}
@@ -378,12 +378,12 @@ def corpus_summary(spark, sf):
 
 @query
 def cost_estimate(spark, sf):
-    return quality.cost_estimate(quality.corpus_summary(quality.doc_quality(views.extracted(spark, sf))))
+    return quality.cost_estimate(quality.corpus_summary(quality.doc_quality(views.extracted(spark, sf, busy=True))))
 
 
 @query
 def user_breakdown(spark, sf):
-    return quality.user_breakdown(quality.doc_quality(views.extracted(spark, sf)))
+    return quality.user_breakdown(quality.doc_quality(views.extracted(spark, sf, busy=True)))
 
 
 @query
@@ -484,7 +484,7 @@ def reindex_doc(spark, sf):
         F.concat(F.lit("doc_"), "doc_id").alias("doc_id")
     )
     rebuilt = views.chunks(spark, sf, mode="fixed").join(good, "doc_id", "left_semi").select(*columns)
-    return points.reindex_docs(stored, rebuilt)
+    return points.reindex_docs(stored, rebuilt, docs=good)
 
 
 @query
@@ -582,23 +582,25 @@ def format_hits(spark, sf):
     )
 
 
-@query
-def knn_approx(spark, sf):
+def _knn_in_lists(spark, sf, lists, probes):
     stored = views.vector_points(spark, sf)
-    model = retrieval.fit_lists(stored, lists=16)
+    model = retrieval.fit_lists(stored, lists=lists)
+    path = work_dir(spark, "lists")
+    retrieval.save_lists(retrieval.assign_lists(stored, model), path)
     return retrieval.knn_approx(
-        retrieval.assign_lists(stored, model), model, views.vector_queries(spark, sf), probes=6
+        spark.read.parquet(path), model, views.vector_queries(spark, sf), probes=probes
     )
 
 
+@query
+def knn_approx(spark, sf):
+    return _knn_in_lists(spark, sf, lists=16, probes=6)
+
+
 @query
 def knn_approx_all_lists(spark, sf):
     """Probing every list must give the exact hits."""
-    stored = views.vector_points(spark, sf)
-    model = retrieval.fit_lists(stored, lists=8)
-    return retrieval.knn_approx(
-        retrieval.assign_lists(stored, model), model, views.vector_queries(spark, sf), probes=8
-    )
+    return _knn_in_lists(spark, sf, lists=8, probes=8)
 
 
 # ---- answers ------------------------------------------------------------------------

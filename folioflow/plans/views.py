@@ -68,9 +68,10 @@ def extracted_from(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return _sql(spark, EXTRACTED, documents, text=text)
 
 
-def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "text", "source", "n_chars"]
-    return extracted_from(spark, spread(table(spark, sf_dir, "documents").select(*columns)))
+def extracted(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """``busy`` is for CPU-heavy readers: a scan of few splits is spread over the cores."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    return extracted_from(spark, spread(documents) if busy else documents)
 
 
 def raw_files_from(documents: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def pages_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return chunk_documents(filter_indexable(extracted(spark, sf_dir)), **options)
+    return chunk_documents(filter_indexable(extracted(spark, sf_dir, busy=True)), **options)
 
 
 def text_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,9 @@ def test_run_outcomes(spark):
                                 "stage string, unit_id string, status string, error string, duration_ms double")
     got = {r["status"]: (r["units"], r["errors"], r["p50_ms"]) for r in documents.run_outcomes(log).collect()}
     assert got == {"success": (2, 0, 5.0), "failed": (1, 1, 1.0)}
+
+
+def test_reindex_removes_documents_without_chunks(spark):
+    stored = spark.createDataFrame([("1", "a"), ("2", "b")], "point_id string, doc_id string")
+    docs = spark.createDataFrame([("a",)], "doc_id string")
+    assert [tuple(r) for r in points.reindex_docs(stored, stored.limit(0), docs).collect()] == [("2", "b")]
