@@ -19,6 +19,7 @@ from folioflow.operators.extract import (
     Extractor, filter_indexable, plain_text_pages, run_extractor, with_path_parts,
 )
 from folioflow.operators.points import build_points, save_points
+from folioflow.sources.stages import spread
 
 EachBatch = Callable[[DataFrame, int], None]
 
@@ -162,8 +163,8 @@ def stream_index(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = filter_indexable(batch)
-        _set_status(docs, status_table, F.lit("indexing"), F.lit(None).cast("string"))
+        docs = filter_indexable(spread(batch))
+        _set_status(filter_indexable(batch), status_table, F.lit("indexing"), F.lit(None).cast("string"))
         target = f"{collection}/embedded/batch_id={batch_id}"
         embed_chunks(chunk_documents(docs, mode), provider, **embed_options).write.mode(
             "overwrite"
