@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import quality_rules
+from folioflow.llm import quality_rules, secrets
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op8_secret_scan(spark, sf):
+    return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
+
+
 @query
 def op10_quality_rules(spark, sf):
     judged = quality_rules.apply_rules(table(spark, sf, "documents").select("doc_id", "text"))
