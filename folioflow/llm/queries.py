@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import quality_rules, secrets
+from folioflow.llm import packing, quality_rules, secrets
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,22 @@ def query(function: Query) -> Query:
     return function
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; ``TOKENIZER_DIR`` overrides where they lie."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_best_fit_packing(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
 @query
 def op8_secret_scan(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
