@@ -133,5 +133,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def without_rows(docs: DataFrame, bad: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that (doc_id, _row) of ``bad`` name; ``_row`` is the xxhash64 of the text.
+
+    Up to ``broadcast_rows`` names (17 bytes each) are broadcast, so that texts stay where they are;
+    more are joined by shuffle.
+    """
+    named = written(bad.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_text")).distinct(), "dropped")
+    side = F.broadcast(named) if named.count() <= broadcast_rows else named
+    same = (F.xxhash64(F.col("text")) == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.join(side, same, "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import packing, quality_rules, secrets
+from folioflow.llm import decontaminate, packing, quality_rules, secrets
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,39 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op2_decontamination(spark, sf):
+    found = decontaminate.find_contamination(
+        table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    )
+    return decontaminate.digest(found)
+
+
+ORACLES["op2_decontamination"] = r"""
+with w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (
+  select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+iw as (
+  select distinct item, least(len(w), 10) as n, array_to_string(w[s:s + 9], ' ') as t
+  from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as u(s) where len(w) > 0),
+dw as (
+  select doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') as t
+  from w, (select distinct n from iw) sizes, unnest(range(1, len(w) - n + 2)) as u(s) where len(w) >= n),
+h as (select doc_id, s, n, item from dw join iw using (n, t)),
+hit as (select doc_id, count(distinct p) as n_hit from h, unnest(range(s, s + n)) as u(p) group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item from h) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join hit using (doc_id) left join named using (doc_id)
+""".replace("\\", "\\")
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public vocabulary file; ``TOKENIZER_DIR`` overrides where they lie."""
     folder = os.environ.get("TOKENIZER_DIR")
