@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, packing, quality_rules, secrets
+from folioflow.llm import decontaminate, near_dedup, packing, quality_rules, secrets
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,34 @@ def op8_secret_scan(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
 
 
+@query
+def op9_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+ORACLES["op9_near_dedup"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 2], ' ') as t
+  from w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i
+  from s a join s b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+link as (
+  select a, b from common join n na on na.doc_id = a join n nb on nb.doc_id = b
+  where 100 * i >= 85 * (na.n + nb.n - i)),
+both_ways as (select a, b from link union select b, a from link),
+reach(a, b) as (
+  select doc_id, doc_id from documents
+  union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.c as component_id, w.doc_id = c.c as kept
+from w left join n using (doc_id) join (select a, min(b) as c from reach group by a) c on c.a = w.doc_id
+"""
+
+
 @query
 def op10_quality_rules(spark, sf):
     judged = quality_rules.apply_rules(table(spark, sf, "documents").select("doc_id", "text"))
