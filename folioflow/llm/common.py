@@ -133,6 +133,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the Arrow batches that hold whole texts by bytes as well as by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 BROADCAST_ROWS = 1_000_000
 
 

@@ -14,12 +14,11 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm.common import written
+from folioflow.llm.common import bounded_batches, written
 
 CAPACITY = 1024
 END_ID = 2
 RANK_BLOCKS = 256  # blocks in which the pieces of one length are ranked
-BYTES_A_BATCH = 4_000_000
 
 
 @dataclass
@@ -182,6 +181,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     so that a length with a third of all pieces is spread over all blocks.
     """
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     pieces = written(
         cut_pieces(docs, path, capacity, end_id).withColumn(
             "block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BLOCKS)).cast("int")

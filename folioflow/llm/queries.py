@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, near_dedup, packing, quality_rules, secrets
+from folioflow.llm import decontaminate, near_dedup, packing, quality_rules, secrets, sharding, token_files
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_sharding(spark, sf):
+    placed = sharding.assign(table(spark, sf, "documents").select("doc_id", "text"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+    )
+
+
 @query
 def op2_decontamination(spark, sf):
     found = decontaminate.find_contamination(
@@ -69,6 +78,12 @@ def op3_best_fit_packing(spark, sf):
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
+@query
+def op4_token_files(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_files.encode_and_read(docs, tokenizer_file("word_bpe_49k.json"))
+
+
 @query
 def op8_secret_scan(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
