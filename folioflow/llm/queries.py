@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, near_dedup, packing, quality_rules, secrets, sharding, token_files
+from folioflow.llm import decontaminate, near_dedup, packing, quality_model, quality_rules, secrets, sharding, token_files
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,12 @@ def op4_token_files(spark, sf):
     return token_files.encode_and_read(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op6_quality_model(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return quality_model.score_documents(docs, table(spark, sf, "labels"))
+
+
 @query
 def op8_secret_scan(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
