@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, near_dedup, packing, quality_model, quality_rules, secrets, sharding, token_files
+from folioflow.llm import decontaminate, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op6_quality_model(spark, sf):
     return quality_model.score_documents(docs, table(spark, sf, "labels"))
 
 
+@query
+def op7_pii_scan(spark, sf):
+    return pii.digest(pii.scan_pii(table(spark, sf, "documents").select("doc_id", "text")))
+
+
 @query
 def op8_secret_scan(spark, sf):
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents").select("doc_id", "text")))
