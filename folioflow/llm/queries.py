@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files
+from folioflow.llm import decontaminate, licenses, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,17 @@ def op4_token_files(spark, sf):
     return token_files.encode_and_read(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op5_license_scan(spark, sf):
+    """Files are the documents, in one directory per source and hundred ids. A document that states
+    a licence stands for a LICENSE file of its directory, from which the others inherit."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    folder = F.concat_ws("/", "source", (F.col("doc_id") / 100).cast("long").cast("string"))
+    name = F.when(F.col("text").rlike(r"(?i)licensed under"), F.lit("LICENSE")).otherwise(F.lit("file"))
+    files = docs.withColumn("path", F.concat_ws("/", folder, F.concat_ws("-", name, F.col("doc_id").cast("string"))))
+    return licenses.scan_licenses(files)
+
+
 @query
 def op6_quality_model(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
