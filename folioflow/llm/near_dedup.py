@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioflow.llm.common import BROADCAST_ROWS, let, lower_words, shingle_hashes, written
+from folioflow.llm.common import BROADCAST_ROWS, let, lower_words, shingle_hashes, without_rows, written
 from folioflow.llm.components import components
 
 WORDS = 3
@@ -38,7 +38,7 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch) of every row; ``set_id`` is null without shingles.
+    """(doc_id, _row, n_shingles, set_id, sketch) of every row, ``_row`` being a hash of the text; ``set_id`` is null without shingles.
 
     Sets are told apart by their size, a hash of all values and the two smallest values.
     """
@@ -56,7 +56,8 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
             F.slice(s, 1, KEEP).alias("sketch"),
         ),
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made.alias("m")).select("doc_id", "m.*")
+    doc_id, row = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row")
+    return docs.select(doc_id, row, made.alias("m")).select("doc_id", "_row", "m.*")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -130,7 +131,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> D
     combining aggregate before any list is made. The only join on which a group of copies can be a
     hot key, that of rows with their classes, is an inner join by sort-merge, which AQE splits.
     """
-    docs = docs.filter(F.lit(True)).select("doc_id", "text")
+    grouped = _grouped(docs, size, least).select("doc_id", "n_shingles", "component_id")
+    return grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
+    """(doc_id, _row, n_shingles, group, component_id) of every row; ``group`` is null without shingles."""
+    docs = docs.select("doc_id", "text")
     rows = written(sketches(docs, size), "sketches")
     # A class without any id is named by none; its rows are handled with the empty ones below.
     classes = written(_classes(rows), "classes")
@@ -172,12 +179,42 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> D
         "set_id", "first_id", F.coalesce("label", "class").alias("label")
     )
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    # Only classes of several rows or links differ from their own id, but the join is the same for all.
-    groups = written(named.join(smallest, "label").select("set_id", "component_id"), "groups")
+    groups = written(
+        named.join(smallest, "label").select("set_id", F.col("label").alias("group"), "component_id"), "groups"
+    )
     with_set = (
         rows.filter("set_id is not null").drop("sketch")
         .join(groups.hint("merge"), "set_id")
-        .select("doc_id", "n_shingles", "component_id")
+        .select("doc_id", "_row", "n_shingles", "group", "component_id")
+    )
+    none = F.lit(None).cast("long").alias("group")
+    without = rows.filter("set_id is null").select(
+        "doc_id", "_row", "n_shingles", none, F.col("doc_id").alias("component_id")
+    )
+    return with_set.unionByName(without)
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> DataFrame:
+    """One row of each group, that of the smallest doc_id, with all its columns.
+
+    Of rows that share this id the one with the smallest hash of its text stays, and of rows that share the text
+    as well one. A null id is larger than all others. Rows without shingles all stay. Rows that go are
+    named by id and hash and broadcast if they are few; else texts are joined with them by shuffle.
+    """
+    grouped = written(_grouped(docs, size, least).filter("group is not null").select("doc_id", "_row", "group"), "grouped")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    best = grouped.groupBy("group").agg(F.min(key).alias("best"))
+    judged = grouped.join(best.hint("merge"), "group").withColumn("stays", key.eqNullSafe(F.col("best")))
+    kept = without_rows(docs, judged.filter("not stays").select("doc_id", "_row"))
+    # Repeated rows are few; only they are gathered by id and text.
+    again = written(
+        judged.filter("stays").groupBy("group").agg(F.count("*").alias("n"), F.first("best").alias("best"))
+        .filter("n > 1").select("best.doc_id", "best._row"), "repeated",
     )
-    without = rows.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return with_set.unionByName(without).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if not again.head(1):
+        return kept
+    once = without_rows(kept, again)
+    names = again.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text")) == F.col("_text"))
+    repeated = kept.join(names, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated)

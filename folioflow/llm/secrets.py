@@ -147,7 +147,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     gives no rows. Input columns named base or secrets are replaced.
     """
     given = [c for c in docs.columns if c not in ("base", "secrets")]
-    text = F.coalesce(F.col("text"), F.lit(""))
+    scanned = docs.select(*given, _both_spans(F.col("text")).alias("_s"))
+    return scanned.select(*given, "_s.base", "_s.secrets")
+
+
+def _both_spans(text: Column) -> Column:
+    text = F.coalesce(text, F.lit(""))
 
     def apart(base: Column) -> Column:
         return F.filter(
@@ -155,19 +160,23 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
         )
 
-    spans = let(
+    return let(
         F.array_sort(base_spans(text)),
         lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, apart(base))).alias("secrets")),
     )
-    return docs.select(*given, spans.alias("_s")).select(*given, "_s.base", "_s.secrets")
 
 
-def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+def secret_spans(text: Column) -> Column:
+    """All secret spans of a text, sorted."""
+    return _both_spans(text)["secrets"]
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[secret]", length: str | None = None) -> DataFrame:
     """The rows with every secret in ``text`` replaced by ``mask``; overlapping spans become one.
 
-    Rows without a secret keep their text as it is, null included.
+    Rows without a secret stay as they are, null texts included. ``length`` names a column
+    that is set to the length of a masked text.
     """
-    scanned = scan_secrets(docs)
     text = F.col("text")
 
     def cut(spans: Column) -> Column:
@@ -186,8 +195,20 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
             spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text)))
         )
 
-    masked = F.when(F.size("secrets") > 0, cut(F.col("secrets"))).otherwise(text)
-    return scanned.select(*[masked.alias(c) if c == "text" else c for c in docs.columns])
+    masked = let(secret_spans(text), lambda s: F.when(F.size(s) > 0, cut(s)))
+    made = docs.withColumn(new := _free_name(docs), masked)
+    replaced = {"text": F.coalesce(new, "text")}
+    if length:
+        replaced[length] = F.coalesce(F.length(new), length).cast(docs.schema[length].dataType)
+    return made.select(*[replaced[c].alias(c) if c in replaced else c for c in docs.columns])
+
+
+def _free_name(docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    name = "_masked"
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def digest(scanned: DataFrame) -> DataFrame:

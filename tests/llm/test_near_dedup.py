@@ -62,6 +62,19 @@ def test_equals_all_pairs(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_drop_keeps_one_of_each_group(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w9", "other")
+    given = [(3, text), (2, near), (2, near), (None, text), (5, None), (5, None), (6, ""), (7, "short one")]
+    given += [(None, "unlike all of the others here"), (8, "red green blue"), (8, "quite another text under one id")]
+    docs = spark.createDataFrame([(a, b, 1) for a, b in given], "doc_id long, text string, component_id int")
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(2, near), (5, None), (5, None), (6, ""), (7, "short one"), *given[-3:]]
+    assert sorted(map(str, [tuple(r)[:2] for r in kept.collect()])) == sorted(map(str, want))
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)]
