@@ -8,7 +8,9 @@
 4. A list gives the pairs of its smallest class with each other one, never all pairs. The sketch of the union,
    made of the two sketches, estimates the similarity and leaves out what cannot be near.
 5. The exact similarity of the full sets decides. Linked classes become components.
-6. Lists that still hold several components give the pairs between these, which go through 4 and 5 as well.
+6. What the stars can have missed lies between components that still share lists. These classes go through an exact
+   prefix join of their full sets: rarest values first, as many as a near set must share one of, with bounds on
+   size and position. A group of many loose variants gives few pairs there, for what sets them apart is rare.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ LEAST = 85  # per cent
 KEEP = 32
 RUN = 3
 MARGIN = 0.35  # five standard deviations of an estimate from 32 values and more
+COUNTERS = 18  # the rarity of a value is read from 2^18 counters, whatever the size of the corpus
 
 
 def shingle_set(text: Column, size: int) -> Column:
@@ -98,14 +101,15 @@ def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, leas
         F.slice(F.sort_array(F.array_union("sa", "sb")), 1, KEEP), lambda u: estimate(u) >= least / 100 - MARGIN
     )
     kept = written(pairs.join(half("a"), "a").join(half("b"), "b").filter(likely).select("a", "b"), f"{name}-likely")
-    # Full sets of the classes in question only, from the text of one document of each.
-    wanted = written(
-        kept.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        .join(classes.select("class", "first_id"), "class"),
-        f"{name}-wanted",
-    )
+    sets = _full_sets(kept.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, docs, size, name)
+    return _exact(kept, sets, least, name)
+
+
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
+    """(class, set) of the wanted classes only, from the text of one document of each."""
+    wanted = written(wanted.join(classes.select("class", "first_id"), "class"), f"{name}-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = written(
+    return written(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(side, F.col("doc_id") == F.col("first_id"))
         .select("class", shingle_set(F.col("text"), size).alias("set"))
@@ -115,10 +119,64 @@ def _near(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, leas
         .select("class", "set"),
         f"{name}-sets",
     )
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, least: int, name: str) -> DataFrame:
+    """The pairs whose full sets are near."""
     full = lambda side: sets.select(F.col("class").alias(side), F.col("set").alias(f"f{side}"))
     common = F.size(F.array_intersect("fa", "fb"))
     near = let(common, lambda i: i * 100 >= (F.size("fa") + F.size("fb") - i) * least)
-    return written(kept.join(full("a"), "a").join(full("b"), "b").filter(near).select("a", "b").distinct(), name)
+    return written(pairs.join(full("a"), "a").join(full("b"), "b").filter(near).select("a", "b").distinct(), name)
+
+
+def _rarity(sets: DataFrame) -> DataFrame:
+    """One row with ``counts``: how many values of all sets fall on each counter."""
+    cell = lambda c: c.bitwiseAND(F.lit((1 << COUNTERS) - 1))
+    counted = sets.select(F.explode_outer("set").alias("h")).groupBy(cell(F.col("h")).alias("cell")).agg(
+        F.count("*").alias("n")
+    )
+    every = sets.sparkSession.range(1 << COUNTERS).withColumnRenamed("id", "cell")
+    filled = every.join(counted, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n"))
+    gathered = F.sort_array(F.collect_list(F.struct("cell", "n")))
+    return written(filled.groupBy().agg(F.transform(gathered, lambda x: x["n"]).alias("counts")), "rarity")
+
+
+def _between_components(sets: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of classes with different labels that may be near, by an exact prefix join.
+
+    Values are ordered by rarity. A near set shares one of the first n - least * n + 1 values, and
+    from the places of a shared value in both follows how many more can be shared. In each list the classes of
+    its most frequent label are met by the others only, so a large component is not joined with itself.
+    """
+    counts = _rarity(sets).scalar()
+    n = F.size("set")
+    length = n - F.ceil(n * least / 100).cast("int") + 1
+    order = F.transform(
+        "set",
+        lambda h: F.struct(
+            F.get(F.col("counts"), h.bitwiseAND(F.lit((1 << COUNTERS) - 1)).cast("int")).alias("rarity"), h.alias("h")
+        ),
+    )
+    prefix = F.slice(F.sort_array(order), F.lit(1), length)
+    rows = written(
+        sets.join(labels, "class")
+        .withColumn("counts", counts)
+        .select("class", "label", n.alias("n"), F.posexplode_outer(prefix).alias("at", "v"))
+        .select("class", "label", "n", "at", F.col("v.h").alias("h")),
+        "prefixes",
+    )
+    each = rows.groupBy("h", "label").agg(F.count("*").alias("c"))
+    main = each.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+    mixed = rows.join(main.filter("labels > 1").select("h", "main"), "h")
+    side = lambda x: mixed.select(
+        "h", "main", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")
+    )
+    left = side("a").filter("la != main").drop("main")
+    both = F.ceil((F.col("na") + F.col("nb")) * least / (100 + least))
+    can = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= both
+    once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
+    found = left.join(side("b"), "h").filter((F.col("la") != F.col("lb")) & once & _alike_in_size(least) & can)
+    return found.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -161,18 +219,14 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
         "run", "class", "n", F.coalesce("label", "class").alias("label")
     )
     mixed = labelled.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    open_lists = written(labelled.join(mixed.select("run"), "run"), "open-lists")
-    sides = lambda x: open_lists.select(
-        "run", F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")
-    )
-    rest = (
-        sides("a").join(sides("b"), "run")
-        .filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_size(least))
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    # A near pair shares several runs, small sets two at least.
+    loose = (
+        labelled.join(mixed.select("run"), "run").groupBy("class", "label").agg(F.count("*").alias("runs")).filter("runs > 1")
     )
-    more = _near(written(rest, "rest"), linkable, docs, size, least, "near-rest")
+    loose = written(loose.select("class", "label"), "loose")
+    sets = _full_sets(loose.select("class"), linkable, docs, size, "loose")
+    rest = written(_between_components(sets, loose, least), "rest")
+    more = _exact(rest, sets, least, "near-rest")
     labels = components(links.union(more))
 
     named = classes.join(labels, classes["class"] == labels["node"], "left").select(
