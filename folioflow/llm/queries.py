@@ -144,3 +144,32 @@ def op10_quality_rules(spark, sf):
     judged = quality_rules.apply_rules(table(spark, sf, "documents").select("doc_id", "text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select("doc_id", *[f"quality.{c}" for c in counts], "base_failed", "kept")
+
+
+_STOP_LIST = ", ".join(f"'{w}', '{w.capitalize()}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+ORACLES["op10_quality_rules"] = rf"""
+with w as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    row_number() over () as r
+  from documents),
+windows as (select r, i, array_to_string(w[i:i + 2], ' ') as t from w, unnest(range(1, len(w) - 1)) as u(i)),
+twice as (select r, t from windows group by r, t having count(*) > 1),
+repeated as (
+  select r, count(distinct p) as n from windows join twice using (r, t), unnest([i, i + 1, i + 2]) as u(p) group by r),
+m as (
+  select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+    coalesce(n, 0) as n_repeat_words, len(lines) as n_lines, length(t) - length(replace(t, '!', '')) as n_exclaims,
+    len(list_filter(w, lambda x: x in ({_STOP_LIST}))) as n_stops,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{{2022}}]'))) as n_bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[\x20\x09-\x0D]*$'))) as n_ellipses
+  from w left join repeated using (r)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
+  cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars / n_words between 2.5 and 12 and n_symbols / n_words <= 0.2
+    and n_exclaims / n_words <= 0.5 and n_stops / n_words >= 0.02 and n_dup_lines / n_lines <= 0.5
+    and n_bullets / n_lines <= 0.9 and n_ellipses / n_lines <= 0.5 as kept
+from b
+"""
