@@ -15,10 +15,11 @@ from folioflow.functions.text import SPACE, strip
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 
-# What starts a clause. The classes follow Python's \s and \d.
+# What starts a clause. The classes follow Python's \s and \d. The group is possessive,
+# which matches the same texts: Java's matcher would recurse once for each part of a long dotted number.
 DIGIT = r"\p{Nd}"
 MARKER = (
-    rf"(?:{DIGIT}+\.(?:{DIGIT}+\.?)*|\(?[a-z]\)"
+    rf"(?:{DIGIT}+\.(?:{DIGIT}+\.?)*+|\(?[a-z]\)"
     rf"|Article[{SPACE}]+{DIGIT}+|Section[{SPACE}]+{DIGIT}+)"
 )
 CLAUSE = rf"(\n[{SPACE}]*{MARKER})"

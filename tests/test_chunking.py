@@ -101,3 +101,12 @@ def test_documents_are_chunked_once(spark):
     df = chunk_documents(docs(spark, ["a\n1. b"]))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(") == 1
+
+
+def test_long_dotted_number_is_no_deep_recursion(spark):
+    number = "\n1." + "1." * 50_000
+    df = docs(spark, [number + " tail", "start" + number])
+    parts = df.select(split_clauses(F.col("text")).alias("p")).collect()
+    assert [r["p"] for r in parts] == [["", number, " tail"], ["start", number, ""]]
+    kept = chunk_documents(df, clause_meta=True, links=True).orderBy("doc_id", "chunk_index").collect()
+    assert "".join(r["text"] for r in kept if r["doc_id"] == "d0").startswith("1.1.")
