@@ -26,6 +26,6 @@ def chunk_id(doc_id: Column, index: Column) -> Column:
 
 
 def upload_doc_id(user_id: Column, filename: Column, upload_time: Column) -> Column:
-    """``doc_`` + 12 hex digits; equal uploads get equal ids."""
+    """``doc_`` + 32 hex digits (128 bits); equal uploads get equal ids."""
     key = F.concat_ws("\u0001", user_id, filename, upload_time.cast("string"))
-    return F.concat(F.lit("doc_"), F.substring(F.sha2(key, 256), 1, 12))
+    return F.concat(F.lit("doc_"), F.substring(F.sha2(key, 256), 1, 32))

@@ -93,7 +93,7 @@ def select_preferred_version(files: DataFrame) -> DataFrame:
 
 
 def documents_put(documents: DataFrame, incoming: DataFrame) -> DataFrame:
-    return put_rows(documents, incoming, "doc_id")
+    return put_rows(documents, incoming, "doc_id", "updated_at")
 
 
 def documents_get(documents: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -21,8 +21,12 @@ def latest_by_key(rows: DataFrame, key: str, order: str | list[str]) -> DataFram
     return newest.select("_row.*")
 
 
-def put_rows(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Insert or replace by key. ``incoming`` holds a key at most once."""
+def put_rows(
+    current: DataFrame, incoming: DataFrame, key: str, order: str | list[str] | None = None
+) -> DataFrame:
+    """Insert or replace by key. Of several incoming rows of a key the one last in ``order`` is put,
+    any one without an order."""
+    incoming = latest_by_key(incoming, key, order) if order else incoming.dropDuplicates([key])
     kept = current.join(incoming.select(key), key, "left_anti")
     return kept.select(*current.columns).unionByName(incoming.select(*current.columns))
 
@@ -52,6 +56,15 @@ def _has_buckets(spark: SparkSession, path: str) -> bool:
     return bool(system.globStatus(pattern))
 
 
+def _bucket_count(spark: SparkSession, path: str, buckets: int) -> int:
+    """The table's own bucket count, noted at its first write: a key always has the same bucket."""
+    note = f"{path}/_buckets"
+    if table_exists(spark, note):
+        return spark.read.schema("buckets int").parquet(note).first()["buckets"]
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(note)
+    return buckets
+
+
 def _rewrite_buckets(rows: DataFrame, path: str) -> None:
     """Replace the buckets present in ``rows`` and leave the others alone.
 
@@ -77,11 +90,11 @@ def upsert_table(
 
     Buckets are a hash of the key, hence even; only buckets that receive rows are read
     (partition pruning) and rewritten. ``order`` picks the winner among incoming
-    rows of one key and keeps a stored row that is newer.
+    rows of one key and keeps a stored row that is newer. ``buckets`` counts at the first write only.
     """
-    new = with_bucket(incoming, key, buckets)
+    new = with_bucket(incoming, key, _bucket_count(spark, path, buckets))
     if not _has_buckets(spark, path):
-        _rewrite_buckets(latest_by_key(new, key, order) if order else new, path)
+        _rewrite_buckets(latest_by_key(new, key, order) if order else new.dropDuplicates([key]), path)
         return
     touched = _touched(new)
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
@@ -97,7 +110,7 @@ def delete_from_table(
 ) -> None:
     if not _has_buckets(spark, path):
         return
-    gone = with_bucket(keys.select(key), key, buckets)
+    gone = with_bucket(keys.select(key), key, _bucket_count(spark, path, buckets))
     touched = _touched(gone)
     old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
     seen = Observation()

@@ -118,8 +118,8 @@ def status_counts(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("status").agg(F.count("*").alias("docs"))
 
 
-def filter_flagged(report: DataFrame, limit: int = 50) -> DataFrame:
-    """The review list shown to the operator: a top-``limit`` report by document id.
+def filter_flagged(report: DataFrame) -> DataFrame:
+    """The review list: every flagged document.
 
     Read ``report`` back from its written stage: on an unwritten one Spark pushes the filter
     down to the text and computes every measure again for it.
@@ -127,8 +127,6 @@ def filter_flagged(report: DataFrame, limit: int = 50) -> DataFrame:
     return (
         report.filter("needs_review")
         .select("doc_id", "filename", "ocr_status", "text_length", "noise_ratio", "review_reason")
-        .orderBy("doc_id")
-        .limit(limit)
     )
 
 

@@ -44,7 +44,7 @@ checked as (
 accepted as (
   select *, 'raw/' || user_id || '/' || doc_id || '/' || filename as storage_path from (
     select *, 'doc_' || substr(sha256(concat_ws(chr(1), user_id, filename,
-        strftime(upload_time, '%Y-%m-%d %H:%M:%S'))), 1, 12) as doc_id
+        strftime(upload_time, '%Y-%m-%d %H:%M:%S'))), 1, 32) as doc_id
     from checked where reject_reason is null))"""
 _DOCS_META = """documents_meta as (
   select 'doc_' || doc_id as doc_id, source as user_id, 'uploaded' as status,
@@ -276,7 +276,7 @@ ORACLES["filter_failed"] = _with(_EXTRACTED) + (
 )
 ORACLES["filter_flagged"] = _quality(
     """select doc_id, filename, ocr_status, text_length, noise_ratio, review_reason
-from report where needs_review order by doc_id limit 50"""
+from report where needs_review"""
 )
 _VPOINTS = """vpoints as (
   select 'c' || vec_id as chunk_id, 'doc_' || (vec_id % 50) as doc_id, 'u' || (label % 3) as user_id, label,

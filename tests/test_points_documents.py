@@ -29,6 +29,21 @@ def test_bucketed_table_upsert_and_delete(spark, tmp_path):
     assert table(spark, path) == [("z", 9)]
 
 
+def test_a_key_is_stored_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    twice = kv(spark, a=1, b=2).union(kv(spark, a=1))
+    merge.upsert_table(spark, path, twice, "k", buckets=8)
+    assert table(spark, path) == [("a", 1), ("b", 2)]
+    # The count of the first write holds for all later ones.
+    merge.upsert_table(spark, path, twice, "k", buckets=64)
+    assert table(spark, path) == [("a", 1), ("b", 2)]
+    merge.delete_from_table(spark, path, kv(spark, a=0), "k", buckets=3)
+    assert table(spark, path) == [("b", 2)]
+    current = kv(spark, a=0, z=9)
+    got = merge.put_rows(current, kv(spark, a=1).union(kv(spark, a=2)), "k", "v").collect()
+    assert sorted((r["k"], r["v"]) for r in got) == [("a", 2), ("z", 9)]
+
+
 def test_ordered_upsert_keeps_newer_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     for v in (5, 3, 7, 7):
@@ -75,7 +90,7 @@ def test_intake_rules(spark):
     df = spark.createDataFrame(asked, "user_id string, filename string, file_size long, mime_type string, upload_time timestamp_ntz")
     ok = documents.register_uploads(df).orderBy("filename").collect()
     assert [r["filename"] for r in ok] == ["a.pdf", "b.pdf"] and ok[0]["mime_type"] == "application/pdf"
-    assert ok[0]["doc_id"].startswith("doc_") and len(ok[0]["doc_id"]) == 16
+    assert ok[0]["doc_id"].startswith("doc_") and len(ok[0]["doc_id"]) == 36
     assert ok[0]["storage_path"] == f"raw/u/{ok[0]['doc_id']}/a.pdf"
     assert documents.rejected_uploads(df).count() == 5
     assert documents.register_uploads(df).orderBy("filename").collect() == ok
