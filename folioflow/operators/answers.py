@@ -57,8 +57,8 @@ def build_context(hits: DataFrame) -> DataFrame:
     """(query_id, context): numbered excerpts in rank order. A question has at most top_k hits."""
     hits = hits.withColumn("page", F.coalesce(_page(hits).cast("string"), F.lit("N/A")))
     block = F.concat(
-        F.lit("[Document "), F.col("rank").cast("string"), F.lit("]\n"), F.col("text"),
-        F.lit("\nSource: "), F.col("doc_id"), F.lit(", Page: "), F.col("page"), F.lit("\n"),
+        F.lit("[Document "), F.col("rank").cast("string"), F.lit("]\n"), F.coalesce("text", F.lit("")),
+        F.lit("\nSource: "), F.coalesce("doc_id", F.lit("unknown")), F.lit(", Page: "), F.col("page"), F.lit("\n"),
     )
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))
     return hits.groupBy("query_id").agg(
@@ -166,8 +166,11 @@ def complete_prompts(
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
+    """Parsed replies; where the provider gave none, ``error`` is what it said instead."""
     reply = parse_answer(F.col("raw"))
-    return replies.select("query_id", reply.alias("reply")).select("query_id", "reply.*")
+    said = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
+    parsed = replies.select("query_id", reply.alias("reply"), said.alias("_said")).select("query_id", "reply.*", "_said")
+    return parsed.withColumn("error", F.coalesce("_said", "error")).drop("_said")
 
 
 def assemble_results(

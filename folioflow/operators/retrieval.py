@@ -233,7 +233,7 @@ def _scan_with_broadcast(points, rows, tenant, payload, metric, threshold) -> Da
         yield from scorer.rows(query_ids, out).to_batches()
 
     key = F.col(tenant) if tenant else F.lit("")
-    if tenant and len(by_tenant) <= 1000:
+    if tenant:  # as many values as there are questions at most
         points = points.filter(F.col(tenant).isin(list(by_tenant)))
     needed = list(dict.fromkeys([*payload, "chunk_id", "doc_id", "vector"]))
     return points.filter("vector is not null").select(key.alias("_tenant"), *needed).mapInArrow(
@@ -280,14 +280,15 @@ def _block_join(points, queries, keys, payload, metric, threshold, point_block,
     return left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(score, schema)
 
 
-def _ranked(hits: DataFrame, metric: str) -> DataFrame:
+def _ranked(hits: DataFrame, metric: str, most: int | None = None) -> DataFrame:
+    """Hits within their question's top_k. ``most`` is the largest top_k, if known: as a literal it lets
+    every task drop what cannot be among the best before the shuffle."""
     best_first = F.asc("score") if metric == "euclidean" else F.desc("score")
     order = Window.partitionBy("query_id").orderBy(best_first, "chunk_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(order))
-        .filter("rank <= top_k")
-        .drop("top_k")
-    )
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    if most is not None:
+        ranked = ranked.filter(F.col("rank") <= most)
+    return ranked.filter("rank <= top_k").drop("top_k")
 
 
 def _bound(metric: str, threshold: float | None) -> float | None:
@@ -323,13 +324,9 @@ def knn(
     rows = asked.limit(limit + 1).collect() if limit else []
     if limit and len(rows) <= limit:
         hits = _scan_with_broadcast(points, rows, tenant, payload, metric, threshold)
-    else:
-        keyed = points.filter("vector is not null").withColumn(
-            "_tenant", F.col(tenant) if tenant else F.lit("")
-        )
-        hits = _block_join(
-            keyed, asked, ["_tenant"], payload, metric, threshold, point_block, query_block_size
-        )
+        return _ranked(hits, metric, max((r["top_k"] for r in rows), default=0))
+    keyed = points.filter("vector is not null").withColumn("_tenant", F.col(tenant) if tenant else F.lit(""))
+    hits = _block_join(keyed, asked, ["_tenant"], payload, metric, threshold, point_block, query_block_size)
     return _ranked(hits, metric)
 
 
@@ -400,6 +397,9 @@ def knn_approx(
 
     schema = T.StructType([*asked.schema.fields, T.StructField("_list", T.IntegerType())])
     probed = asked.mapInArrow(nearest, schema)
+    # List numbers are few; as values they keep the scan from lists that no question probes.
+    wanted = [r["_list"] for r in probed.select("_list").distinct().collect()]
+    listed_points = listed_points.filter(F.col("_list").isin(wanted))
     keyed = listed_points.filter("vector is not null").withColumn(
         "_tenant", F.col(tenant) if tenant else F.lit("")
     )

@@ -111,7 +111,9 @@ def _set_status(rows: DataFrame, table: str, status: Column, error: Column) -> N
         "doc_id", "user_id", status.alias("status"), error.alias("error_message"),
         F.localtimestamp().alias("updated_at"),
     )
-    newest = merge.latest_by_key(changes, "doc_id", "status")
+    # Of two outcomes of one document in a batch a failure is the one to see.
+    ranked = changes.withColumn("_failed", F.col("status").endswith("failed"))
+    newest = merge.latest_by_key(ranked, "doc_id", "_failed").drop("_failed")
     merge.upsert_table(rows.sparkSession, table, newest, "doc_id")
 
 
@@ -171,7 +173,11 @@ def stream_index(
         ).parquet(target)
         done = spark.read.parquet(target)
         save_points(spark, collection, build_points(done), dim)
-        per_doc = done.groupBy("doc_id", "user_id").agg(F.max("error").alias("error"))
+        chunks = done.groupBy("doc_id").agg(F.max("error").alias("error"), F.count("*").alias("n"))
+        # A document without a chunk has no embedded row, but needs a final status as well.
+        per_doc = filter_indexable(batch).select("doc_id", "user_id").distinct().join(chunks, "doc_id", "left").select(
+            "doc_id", "user_id", F.when(F.col("n").isNull(), "no text to index").otherwise(F.col("error")).alias("error")
+        )
         _set_status(
             per_doc, status_table,
             F.when(F.col("error").isNull(), "ready").otherwise("index_failed"), F.col("error"),

@@ -66,6 +66,7 @@ def test_broadcast_scan_moves_no_vectors(spark, tmp_path):
     plan = retrieval.knn(spark.read.parquet(str(tmp_path / "p")), queries)._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(exchanges) == 1 and "hashpartitioning(query_id" in exchanges[0]
+    assert "WindowGroupLimit" in plan[plan.index("hashpartitioning(query_id") :]  # below the exchange: before the shuffle
 
 
 def test_no_tenant_and_fixed_k(spark):
@@ -131,3 +132,6 @@ def test_answers(spark):
     assert got["q2"]["status"] == "failed" and got["q2"]["citations"] == [] and got["q2"]["confidence"] == 0.0
     lost = answers.complete_prompts(table, down, min_wait=0, max_wait=0).collect()
     assert {(r["raw"], r["error"]) for r in lost} == {(None, "offline")}
+    failed = spark.createDataFrame([("q1", None, "rate limit")], "query_id string, raw string, error string")
+    told = {r["query_id"]: r for r in answers.assemble_results(queries, hits, failed, "stub").collect()}
+    assert told["q1"]["status"] == "failed" and told["q1"]["error"] == "rate limit"
