@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,12 +34,12 @@ def build_session(app: str = "folioflow", master: str | None = None, **conf: str
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path for ``name`` under the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    session without the setting gets a temporary folder of its own.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a session within one process
+    (``local`` or ``local[n]``) gets a temporary folder of its own if it is not set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", base)
