@@ -130,9 +130,17 @@ def filter_flagged(report: DataFrame) -> DataFrame:
     )
 
 
-def quality_gate(extracted: DataFrame, report: DataFrame, enabled: bool = False) -> DataFrame:
-    """Documents that go on to chunking; with the gate on, flagged ones stay behind."""
+def quality_gate(extracted: DataFrame, enabled: bool = False) -> DataFrame:
+    """Documents that go on to chunking; with the gate on, those that need review stay behind.
+
+    The flags follow from the document's own row, so no text is joined with the report.
+    """
     if not enabled:
         return extracted
-    flagged = report.filter("needs_review").select("doc_id")
-    return extracted.join(flagged, "doc_id", "left_anti")
+    usable = F.coalesce((F.col("status") == "success") & (F.col("text") != ""), F.lit(False))
+    measured = extracted.withColumns(
+        {"_chars": F.when(usable, F.length("text")), "_noise": F.when(usable, tx.noise_chars(F.col("text")))}
+    )
+    rated = tx.with_ratio_milli(measured, "_noise", "_chars", "_milli")
+    fine = usable & (F.col("_chars") >= tx.MIN_TEXT_CHARS) & (F.col("_milli") <= tx.MAX_NOISE_MILLI)
+    return rated.filter(fine).select(*extracted.columns)

@@ -394,7 +394,7 @@ def status_counts(spark, sf):
 @query
 def quality_gate(spark, sf):
     docs = views.extracted(spark, sf)
-    passed = quality.quality_gate(docs, _stored_report(spark, sf), enabled=True)
+    passed = quality.quality_gate(docs, enabled=True)
     return passed.select("doc_id", "user_id", "page_count")
 
 

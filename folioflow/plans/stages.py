@@ -96,8 +96,7 @@ def _analyze(spark: SparkSession, cfg: StageConfig) -> dict:
 def _embed(spark: SparkSession, cfg: StageConfig) -> dict:
     extracted = spread(read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt))
     if cfg.gate:
-        report = read_stage(spark, cfg.path("analysis/doc_report"), schemas.DOC_REPORT, cfg.fmt)
-        extracted = quality.quality_gate(extracted, report, enabled=True)
+        extracted = quality.quality_gate(extracted, enabled=True)
     chunks = chunk_documents(extract.filter_indexable(extracted), cfg.mode, cfg.size, cfg.overlap)
     if cfg.partitions:
         # Only chunk text moves here; worthwhile when the provider is the slow part.

@@ -53,8 +53,9 @@ def test_gate_and_counts(spark):
     data = [("a", "u", "f", "p", "x" * 200, 1, "success", None), ("b", "u", "f", "p", "##", 1, "success", None),
             ("c", "u", "f", "p", "", 0, "failed", "e")]
     docs = spark.createDataFrame(data, EXTRACTED)
-    report = quality.doc_quality(docs)
-    assert quality.quality_gate(docs, report).count() == 3
-    assert [r["doc_id"] for r in quality.quality_gate(docs, report, enabled=True).collect()] == ["a"]
+    assert quality.quality_gate(docs).count() == 3
+    gated = quality.quality_gate(docs, enabled=True)
+    assert [r["doc_id"] for r in gated.collect()] == ["a"] and gated.columns == docs.columns
+    assert "Join" not in gated._jdf.queryExecution().executedPlan().toString()
     assert tuple(extract.extraction_counts(docs).first()) == (3, 2, 1)
     assert extract.filter_indexable(docs).count() == 2
