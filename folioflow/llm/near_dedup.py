@@ -5,7 +5,7 @@
 3. Inverted lists are keyed by runs of ``RUN`` consecutive retained values. Two sets of the similarity asked for
    share such a run with near certainty (three missing runs in ten million sets at 0.85), while a passage
    that many documents share rarely makes one.
-4. A list gives the pairs of its smallest class with each other one, never all pairs. The sketch of the union,
+4. A list gives the pairs of its most central class with each other one, never all pairs. The sketch of the union,
    made of the two sketches, estimates the similarity and leaves out what cannot be near.
 5. The exact similarity of the full sets decides. Linked classes become components.
 6. What the stars can have missed lies between components that still share lists. These classes go through an exact
@@ -202,9 +202,15 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     linkable = classes.filter("first_id is not null")
     lists = written(_lists(linkable, least), "lists")
 
-    heads = lists.groupBy("run").agg(F.min(F.struct("class", "n")).alias("head"), F.count("*").alias("members"))
+    members = lists.groupBy("run").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(lists.join(members, "run"), "shared")
+    # The head of a list is the class that shares most with others: in a group of variants the one
+    # in the middle, to which most of them are near.
+    central = shared.groupBy("class").agg(F.sum("members").alias("weight"))
+    weighed = shared.join(central, "class")
+    heads = weighed.groupBy("run").agg(F.max(F.struct("weight", "class", "n")).alias("head"))
     stars = (
-        lists.join(heads.filter("members > 1").select("run", "head"), "run")
+        shared.join(heads, "run")
         .filter(F.col("class") != F.col("head.class"))
         .select(F.col("head.class").alias("a"), F.col("class").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
         .filter(_alike_in_size(least))
@@ -215,7 +221,7 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     links = _near(stars, linkable, docs, size, least, "near")
     first = components(links)
 
-    labelled = lists.join(first, lists["class"] == first["node"], "left").select(
+    labelled = shared.join(first, shared["class"] == first["node"], "left").select(
         "run", "class", "n", F.coalesce("label", "class").alias("label")
     )
     mixed = labelled.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
