@@ -29,10 +29,11 @@ TEMPLATES = (
 )
 LEAST = 0.35  # cosine from which a template is taken
 # What may state a licence: a sentence with one of these words, and the words up to its end.
-STATEMENT = (
-    r"(?i)[^\n]{0,80}?\b(?:licen[sc]ed?|licen[sc]es|spdx-license-identifier|copyleft|creative\x20commons|cc0|cc\x20by"
-    r"|public\x20domain|permission\x20is\x20hereby|redistribution\x20and\x20use)\b[^\n]{0,160}"
+KEYWORD = (
+    r"(?i)\b(?:licen[sc]ed?|licen[sc]es|spdx-license-identifier|copyleft|creative\x20commons|cc0|cc\x20by"
+    r"|public\x20domain|permission\x20is\x20hereby|redistribution\x20and\x20use)\b"
 )
+STATEMENT = rf".{{0,80}}?{KEYWORD}.{{0,160}}".replace("(?i)", "")
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[._-][^/]*)?$"
 _BETWEEN = r"[^A-Za-z0-9]+"
 
@@ -49,7 +50,10 @@ def terms(text: Column) -> Column:
 
 def statements(text: Column) -> Column:
     """What a text says about licensing: its statements, joined; empty without one."""
-    return F.array_join(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STATEMENT), 0), "\n")
+    # Only lines with a keyword are searched for where the statement begins, which is the slow part.
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: line.rlike(KEYWORD))
+    found = F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(f"(?is){STATEMENT}"), 0))
+    return F.array_join(F.flatten(found), "\n")
 
 
 def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
