@@ -72,8 +72,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     """
     spark: SparkSession = files.sparkSession
     stated = written(
-        files.select("doc_id", F.col("path").cast("string").alias("path"), statements(F.col("text")).alias("said"))
-        .withColumn("file", F.xxhash64("said")),
+        files.select("doc_id", F.col("path").cast("string").alias("path"), statements(F.col("text")).alias("said")),
         "licence-statements",
     )
     # The same statement in many files is weighed once and counted for all of them.
@@ -114,9 +113,12 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
         .select("said", F.col("b.l").alias("own"), (-F.col("b.s")).alias("score"))
     )
-    judged = stated.join(best, "said", "left").select(
-        "doc_id", "path", F.when(F.col("score") >= least, F.col("own")).alias("own"),
-        F.coalesce("score", F.lit(0.0)).alias("score"),
+    # Most files state nothing; they stay out of the join, where they would all have one key.
+    silent = stated.filter("said = ''").withColumns({"own": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    spoken = stated.filter("said != ''").join(best, "said", "left")
+    judged = spoken.select("doc_id", "path", "own", "score").unionByName(silent.select("doc_id", "path", "own", "score"))
+    judged = judged.withColumn("own", F.when(F.col("score") >= least, F.col("own"))).withColumn(
+        "score", F.coalesce("score", F.lit(0.0))
     )
     judged = written(judged, "licence-own")
     declared = (
