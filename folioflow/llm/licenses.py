@@ -1,8 +1,9 @@
-"""Licences by sparse TF-IDF cosine against templates, inherited from the nearest ancestor directory.
+"""Licences by name and by sparse TF-IDF cosine against templates, inherited from the nearest ancestor directory.
 
-Every file's licence text is what its header or whole text says about licensing. Terms are weighed by how many files
-have them, files are compared with the templates they share a term with, and a file that names no licence takes
-that of the nearest directory above it in which a licence file lies.
+Every file's licence text is what its header or whole text says about licensing. A licence that is named there is
+taken by its name. For other wording, terms are weighed by how many files have them and files are compared with
+the templates they share a term with. A file that states no licence takes that of the nearest directory above it in
+which a licence file lies.
 """
 
 from __future__ import annotations
@@ -28,6 +29,40 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Unlicense."),
 )
 LEAST = 0.35  # cosine from which a template is taken
+# Shares of the stating files weigh a term as in so many files at most. Without a bound a template's terms that no
+# file states weigh log(n), and every score falls as the corpus grows.
+MOST_FILES = 10
+# The licences' names, between whose words blanks, line ends and comment marks may stand. Of the names
+# in a statement the first counts, of those at one place the first listed.
+_G = r"[\s#*/;,\x22'(]+"
+_GNU = rf"GNU{_G}%sGeneral{_G}Public{_G}Licen[sc]e"
+_V = rf"[^.]{{0,120}}?\b(?:version{_G}|v\.?\s?)"
+_CC = rf"(?:CC|Creative{_G}Commons)[\s#*/-]+(?:BY|Attribution)"
+NAMES = (
+    ("AGPL-3.0-only", rf"{_GNU % f'Affero{_G}'}{_V}3|AGPL[-\s]?v?3(?:\.0)?"),
+    ("LGPL-2.1-only", rf"{_GNU % f'(?:Lesser|Library){_G}'}{_V}2\.1|LGPL[-\s]?v?2\.1"),
+    ("LGPL-3.0-only", rf"{_GNU % f'Lesser{_G}'}{_V}3|LGPL[-\s]?v?3(?:\.0)?"),
+    ("GPL-2.0-only", rf"{_GNU % ''}{_V}2|GPL[-\s]?v?2(?:\.0)?"),
+    ("GPL-3.0-only", rf"{_GNU % ''}{_V}3|GPL[-\s]?v?3(?:\.0)?"),
+    ("GPL-1.0-or-later", _GNU % ""),
+    ("Apache-2.0", rf"Apache{_G}(?:Software{_G})?Licen[sc]e{_G}(?:version{_G}|v\.?)?2|Apache[-\s]2(?:\.0)?"),
+    ("MPL-2.0", rf"Mozilla{_G}Public{_G}Licen[sc]e{_G}(?:version{_G}|v\.?)?2|MPL[-\s]?v?2(?:\.0)?"),
+    ("EPL-2.0", rf"Eclipse{_G}Public{_G}Licen[sc]e[\s#*/,-]+(?:version{_G}|v\.?\s?)?2|EPL[-\s]?v?2(?:\.0)?"),
+    ("BSD-2-Clause", rf"BSD[-\s]2[-\s]Clause|(?:2|two)[-\s]Clause{_G}BSD|Simplified{_G}BSD"),
+    ("BSD-3-Clause", rf"BSD[-\s]3[-\s]Clause|(?:3|three)[-\s]Clause{_G}BSD|(?:(?:New|Modified){_G})?BSD{_G}Licen[sc]e"),
+    ("MIT", rf"MIT{_G}Licen[sc]ed?|SPDX-License-Identifier:\s*MIT\b"),
+    ("ISC", rf"ISC{_G}Licen[sc]ed?|SPDX-License-Identifier:\s*ISC\b"),
+    ("CC-BY-NC-4.0", rf"{_CC}[\s#*/-]*(?:NC|Non-?Commercial)\s+4\.0|CC-BY-NC-4\.0"),
+    ("CC-BY-SA-4.0", rf"{_CC}[\s#*/-]*(?:SA|Share-?Alike)\s+4\.0|CC-BY-SA-4\.0"),
+    ("CC-BY-4.0", rf"{_CC}\s+4\.0|CC-BY-4\.0"),
+    ("CC0-1.0", r"CC0(?:[-\s]1\.0)?\b"),
+    ("Unlicense", rf"The{_G}Unlicense\b|SPDX-License-Identifier:\s*Unlicense\b"),
+)
+# Who says so states a licence, be it one of these or not.
+DECLARES = (
+    rf"(?i)\b(?:licen[sc]ed|released|distributed|published|provided|(?:made{_G})?available){_G}under\b"
+    r"|SPDX-License-Identifier:\s*\w"
+)
 # What may state a licence: a sentence with one of these words, and the words up to its end.
 KEYWORD = (
     r"(?i)\b(?:licen[sc]ed?|licen[sc]es|spdx-license-identifier|copyleft|creative\x20commons|cc0|cc\x20by"
@@ -56,11 +91,24 @@ def statements(text: Column) -> Column:
     return F.array_join(F.flatten(found), "\n")
 
 
+def named(said: Column) -> Column:
+    """The licence whose name comes first in a statement, null without one."""
+    at = [
+        F.struct(F.regexp_instr(said, F.lit(rf"(?i)\b(?:{pattern})")).alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name"))
+        for i, (name, pattern) in enumerate(NAMES)
+    ]
+    return F.array_min(F.filter(F.array(*at), lambda x: x["at"] > 0))["name"]
+
+
 def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, path, license, score, declared_by, inherited_from) of every row of (doc_id, path, text).
 
-    ``declared_by`` is "text", "directory" or null, ``score`` the cosine with the template of a file's own
-    statements (0 without), rounded to six digits; equal scores are decided by the licence's name. A licence file
+    ``declared_by`` is "text", "directory" or null. A licence named in a file's statements is taken by its name. Without
+    a name the template of the best cosine is taken from ``least`` on, equal ones by the licence's name, unless the
+    words are "licensed under" and the like: then the file states a licence that is not known here, ``license`` is
+    null and ``declared_by`` "text". ``score`` is the cosine of the statements with the template of the licence taken,
+    if it has none with the best (0 without statements), rounded to six digits. A file that states a licence, known or not,
+    inherits none. A licence file
     (LICENSE, COPYING ...) with a licence gives it to its directory and all below, unless a nearer one does; of
     several in one directory the best score and then the first name counts.
 
@@ -90,7 +138,8 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     own = given.select("license", F.explode(terms(F.col("said"))).alias("term")).groupBy("license", "term").agg(
         F.count("*").alias("tf")
     )
-    idf = F.log((F.lit(float(n)) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    most = float(min(n, MOST_FILES))
+    idf = F.log((F.lit(most) + 1) / (F.coalesce("df", F.lit(0)) * (most / max(n, 1)) + 1)) + 1
 
     # Rare terms tell licences apart in the templates as well.
     known = own.groupBy("term").agg(F.count_distinct("license").alias("in_templates"))
@@ -107,18 +156,27 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     size = weighed.groupBy("said").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     product = weighed.join(F.broadcast(template), "term").groupBy("said", "license").agg(F.sum(F.col("w") * F.col("t")).alias("p"))
     cosine = F.round(F.col("p") / F.col("length"), 6)
+    scored = product.join(size, "said").select("said", "license", cosine.alias("score"))
+    pick = lambda which: F.min(F.when(which, F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))))
     best = (
-        product.join(size, "said").withColumn("score", cosine)
-        .groupBy("said")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
-        .select("said", F.col("b.l").alias("own"), (-F.col("b.s")).alias("score"))
+        distinct.select("said", named(F.col("said")).alias("named"), F.col("said").rlike(DECLARES).alias("declares"))
+        .join(scored, "said", "left")
+        .groupBy("said", "named", "declares")
+        .agg(pick(F.col("license") == F.col("named")).alias("its"), pick(F.col("license").isNotNull()).alias("any"))
+        .select(
+            "said", "declares",
+            F.coalesce("named", F.when(~F.col("declares") & (-F.col("any.s") >= least), F.col("any.l"))).alias("own"),
+            F.coalesce(-F.col("its.s"), -F.col("any.s")).alias("score"),
+        )
     )
     # Most files state nothing; they stay out of the join, where they would all have one key.
-    silent = stated.filter("said = ''").withColumns({"own": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
+    columns = ("doc_id", "path", "own", "score", "declares")
+    silent = stated.filter("said = ''").withColumns(
+        {"own": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "declares": F.lit(False)}
+    )
     spoken = stated.filter("said != ''").join(best, "said", "left")
-    judged = spoken.select("doc_id", "path", "own", "score").unionByName(silent.select("doc_id", "path", "own", "score"))
-    judged = judged.withColumn("own", F.when(F.col("score") >= least, F.col("own"))).withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
+    judged = spoken.select(*columns).unionByName(silent.select(*columns)).withColumns(
+        {"score": F.coalesce("score", F.lit(0.0)), "states": F.col("own").isNotNull() | F.coalesce("declares", F.lit(False))}
     )
     judged = written(judged, "licence-own")
     declared = (
@@ -139,10 +197,10 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     full = judged.join(nearest, directory(F.col("path")) == F.col("_dir"), "left")
     return full.select(
         "doc_id", "path",
-        F.coalesce("own", "_license").alias("license"),
+        F.when(F.col("states"), F.col("own")).otherwise(F.col("_license")).alias("license"),
         "score",
-        F.when(F.col("own").isNotNull(), "text").when(F.col("_license").isNotNull(), "directory").alias("declared_by"),
-        F.when(F.col("own").isNull(), F.col("_from")).alias("inherited_from"),
+        F.when(F.col("states"), "text").when(F.col("_license").isNotNull(), "directory").alias("declared_by"),
+        F.when(~F.col("states"), F.col("_from")).alias("inherited_from"),
     )
 
 

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from folioflow.llm import licenses
 
 
@@ -60,3 +62,38 @@ def test_scan(spark):
     for doc_id, text in ((1, apache), (4, gpl), (7, nc)):
         assert abs(own[doc_id] - max(want[text].values())) < 2e-6
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+WORDINGS = (
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+)
+
+
+def test_any_number_of_copies(spark):
+    text = F.element_at(F.array(*[F.lit(w) for w, _ in WORDINGS]), (F.col("i") + 1).cast("int"))
+    scores = {}
+    for copies in (10, 1000, 100_000):
+        docs = spark.range(4 * copies).select(
+            F.col("id").alias("doc_id"), F.concat(F.lit("f/"), F.col("id").cast("string")).alias("path"), (F.col("id") % 4).alias("i")
+        ).withColumn("text", text)
+        got = licenses.scan_licenses(docs).groupBy(F.col("doc_id") % 4, "license", "declared_by", "score").count().collect()
+        assert sorted(r[:3] for r in map(tuple, got)) == [(i, name, "text") for i, (_, name) in enumerate(WORDINGS)]
+        assert {r["count"] for r in got} == {copies}
+        scores[copies] = {r[0]: r.score for r in got}
+    assert scores[10] == scores[1000] == scores[100_000]
+
+
+def test_stated_is_never_inherited(spark):
+    docs = spark.createDataFrame(
+        [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x", "Licensed under the Foo Terms, version 3."), (3, "a/y", "none"),
+         (4, "a/z", "under the GNU General Public License."), (5, "a/w", "under the GNU Lesser General Public License, version 3")],
+        "doc_id long, path string, text string",
+    )
+    got = {r.doc_id: (r.license, r.declared_by, r.inherited_from) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {
+        1: ("MIT", "text", None), 2: (None, "text", None), 3: ("MIT", "directory", "a/LICENSE"),
+        4: ("GPL-1.0-or-later", "text", None), 5: ("LGPL-3.0-only", "text", None),
+    }
