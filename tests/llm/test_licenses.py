@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from folioflow.llm import licenses
+from folioflow.llm import licenses, queries
 
 
 def terms(text):
@@ -97,3 +97,17 @@ def test_stated_is_never_inherited(spark):
         1: ("MIT", "text", None), 2: (None, "text", None), 3: ("MIT", "directory", "a/LICENSE"),
         4: ("GPL-1.0-or-later", "text", None), 5: ("LGPL-3.0-only", "text", None),
     }
+
+
+def test_query_inherits_from_upper_directories(spark, tmp_path):
+    docs = [(i, "plain words", "s") for i in range(10_500, 10_520)] + [
+        (12_000, "Released under the MIT License.", "s"), (10_901, "Licensed under CC BY-NC 4.0.", "s"), (12_345, "none", "s"),
+        (10_512, "plain words", "t"), (21_000, "none", "s"), (10_505, "Licensed under the Apache License, Version 2.0.", "u"),
+        (10_506, "none", "u"), (10_606, "none", "u"),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.path[0]): (r.license, r.inherited_from) for r in queries.QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert got[12_345, "s"] == ("MIT", "s/1/LICENSE-12000")
+    assert got[10_512, "s"] == ("CC-BY-NC-4.0", "s/1/10/LICENSE-10901")
+    assert got[10_506, "u"] == ("Apache-2.0", "u/1/10/105/LICENSE-10505")
+    assert got[10_512, "t"] == got[21_000, "s"] == got[10_606, "u"] == (None, None)
