@@ -8,6 +8,8 @@ which a licence file lies.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.llm.common import let, lower_words, written
@@ -58,17 +60,27 @@ NAMES = (
     ("CC0-1.0", r"CC0(?:[-\s]1\.0)?\b"),
     ("Unlicense", rf"The{_G}Unlicense\b|SPDX-License-Identifier:\s*Unlicense\b"),
 )
+FULL_LEAST = 0.6  # cosine of whole texts from which a full licence text is taken
+_COMMENT = r"^\s*(?:#|//|--|;|%)"
 # Who says so states a licence, be it one of these or not.
 DECLARES = (
     rf"(?i)\b(?:licen[sc]ed|released|distributed|published|provided|(?:made{_G})?available){_G}under\b"
     r"|SPDX-License-Identifier:\s*\w"
 )
-# What may state a licence: a sentence with one of these words, and the words up to its end.
+# What may state a licence: these words, between which blanks, line ends and comment marks may stand.
 KEYWORD = (
-    r"(?i)\b(?:licen[sc]ed?|licen[sc]es|spdx-license-identifier|copyleft|creative\x20commons|cc0|cc\x20by"
-    r"|public\x20domain|permission\x20is\x20hereby|redistribution\x20and\x20use)\b"
+    rf"(?i)\b(?:licen[sc]ed?|licen[sc]es|spdx-license-identifier|copyleft|creative{_G}commons|cc0|cc[\s-]{{1,9}}by"
+    rf"|gnu{_G}(?:\w+{_G})?general{_G}public|(?:mozilla|eclipse){_G}public{_G}licen[sc]e|(?:apache|mit|bsd|isc){_G}licen[sc]ed?"
+    rf"|simplified{_G}bsd|(?:two|three|[23])[-\s]clause{_G}bsd|[al]?gpl[-\s]?v?[23](?:\.[01])?"
+    rf"|(?:released|distributed|published|provided|available){_G}under"
+    rf"|public{_G}domain|permission{_G}is{_G}hereby|permission{_G}to{_G}use|redistribution{_G}and{_G}use)\b"
+)
+# A statement: from the start of the sentence or line to the end of the line, and on through the next lines as
+# long as a line ends in the middle of a sentence.
+STATEMENT = (
+    rf"(?i)(?:^|(?<=[.!?\n]))[^\n.!?]*?{KEYWORD.replace('(?i)', '')}[^\n]{{0,600}}"
+    r"(?:(?<![.!?][\x20\t\r]{0,4})\n(?![\x20\t]*(?:\r?\n|\z))[^\n]{1,600}){0,8}"
 )
-STATEMENT = rf".{{0,80}}?{KEYWORD}.{{0,160}}".replace("(?i)", "")
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[._-][^/]*)?$"
 _BETWEEN = r"[^A-Za-z0-9]+"
 
@@ -85,10 +97,79 @@ def terms(text: Column) -> Column:
 
 def statements(text: Column) -> Column:
     """What a text says about licensing: its statements, joined; empty without one."""
-    # Only lines with a keyword are searched for where the statement begins, which is the slow part.
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda line: line.rlike(KEYWORD))
-    found = F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(f"(?is){STATEMENT}"), 0))
-    return F.array_join(F.flatten(found), "\n")
+    found = F.array_join(F.regexp_extract_all(text, F.lit(STATEMENT), 0), "\n")
+    return F.when(text.rlike(KEYWORD), found).otherwise(F.lit(""))
+
+
+def header(text: Column) -> Column:
+    """The leading comment, else the first paragraph."""
+    lines = lambda t: F.split(t, "\n", -1)
+    open_lines = lambda t: let(
+        lines(t),
+        lambda w: let(
+            F.array_position(F.transform(w, lambda x: ~x.rlike(_COMMENT)), F.lit(True)).cast("int"),
+            lambda end: F.array_join(F.slice(w, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(w))), "\n"),
+        ),
+    )
+    return let(
+        F.regexp_replace(text, r"^\s+", ""),
+        lambda t: F.when(t.rlike(r"^/\*"), F.regexp_extract(t, r"(?s)^/\*.*?(?:\*/|\z)", 0))
+        .when(t.rlike("^<!--"), F.regexp_extract(t, r"(?s)^<!--.*?(?:-->|\z)", 0))
+        .when(t.rlike(_COMMENT), open_lines(t))
+        .otherwise(F.get(F.split(t, r"\n[\x20\t\r]*\n", 2), 0)),
+    )
+
+
+def compared_whole(path: Column, text: Column) -> Column:
+    """What is compared with full licence texts: a licence file, or a header with a keyword; else null."""
+    with_word = F.when(text.rlike(KEYWORD), header(text))
+    return F.when(path.rlike(LICENCE_FILE), text).otherwise(let(with_word, lambda h: F.when(h.rlike(KEYWORD), h)))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the full texts that lie beside this file."""
+    folder = Path(__file__).parent / "license_texts"
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.glob("*.txt"))]
+
+
+def like_full_text(wholes: DataFrame) -> DataFrame:
+    """(key, license, score) of those of (key, whole) that are a full licence text by their cosine.
+
+    Terms are weighed by their rarity among the full texts alone, so the corpus has no part in it.
+    """
+    texts = full_texts()
+    given = wholes.sparkSession.createDataFrame(texts, "license string, whole string")
+    count = lambda df, key: df.select(key, F.explode(terms(F.col("whole"))).alias("term")).groupBy(key, "term").agg(
+        F.count("*").alias("tf")
+    )
+    own = written(count(given, "license"), "licence-full")
+    known = own.groupBy("term").agg(F.count("*").alias("in_texts"))
+    rarity = F.log(F.lit(float(len(texts)) + 1) / (F.coalesce("in_texts", F.lit(0)) + 1)) + 1
+    weight = (1 + F.log(F.col("tf").cast("double"))) * rarity
+    length = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
+    vectors = own.join(known, "term").withColumn("w", weight)
+    template = vectors.join(vectors.groupBy("license").agg(length), "license").select(
+        "license", "term", (F.col("w") / F.col("length")).alias("t")
+    )
+    # All templates of a term in one row: each term of a file meets one row.
+    held = template.groupBy("term").agg(F.collect_list(F.struct("license", "t")).alias("held"))
+    held = written(held.join(known, "term"), "licence-full-terms")
+    weighed = written(
+        count(wholes, "key").join(F.broadcast(held), "term", "left").withColumn("w", weight).select("key", "w", "held"),
+        "licence-whole",
+    )
+    size = weighed.groupBy("key").agg(length)
+    product = (
+        weighed.filter("held is not null").select("key", "w", F.explode("held").alias("h"))
+        .groupBy("key", "h.license").agg(F.sum(F.col("w") * F.col("h.t")).alias("p"))
+    )
+    score = F.round(F.col("p") / F.col("length"), 6)
+    return (
+        product.join(size, "key").withColumn("score", score).filter(F.col("score") >= FULL_LEAST)
+        .groupBy("key")
+        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
+        .select("key", F.col("b.l").alias("full"), (-F.col("b.s")).alias("full_score"))
+    )
 
 
 def named(said: Column) -> Column:
@@ -103,6 +184,8 @@ def named(said: Column) -> Column:
 def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, path, license, score, declared_by, inherited_from) of every row of (doc_id, path, text).
 
+    Licence files as a whole and the leading comment or paragraph of other files are compared with full licence
+    texts first, and are that licence from a cosine of ``FULL_LEAST`` on, which then is the ``score``.
     ``declared_by`` is "text", "directory" or null. A licence named in a file's statements is taken by its name. Without
     a name the template of the best cosine is taken from ``least`` on, equal ones by the licence's name, unless the
     words are "licensed under" and the like: then the file states a licence that is not known here, ``license`` is
@@ -119,10 +202,18 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     empty table gives no rows. Other columns are not read.
     """
     spark: SparkSession = files.sparkSession
-    stated = written(
-        files.select("doc_id", F.col("path").cast("string").alias("path"), statements(F.col("text")).alias("said")),
-        "licence-statements",
+    text = F.coalesce(F.col("text"), F.lit(""))
+    given = files.select(
+        "doc_id", F.col("path").cast("string").alias("path"), statements(text).alias("said"),
+        compared_whole(F.col("path").cast("string"), text).alias("whole"),
     )
+    # A file that is not compared whole has a key of its own, which meets nothing.
+    key = F.when(F.col("whole") != "", F.xxhash64(F.lit(0), "whole")).otherwise(
+        F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "path")
+    )
+    stated = written(given.withColumn("key", key), "licence-statements")
+    wholes = stated.filter("whole != ''").groupBy("key").agg(F.first("whole").alias("whole"))
+    full = written(like_full_text(wholes), "licence-full-found")
     # The same statement in many files is weighed once and counted for all of them.
     distinct = stated.filter("said != ''").groupBy("said").agg(F.count("*").alias("files"))
     counted = written(
@@ -170,14 +261,15 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
         )
     )
     # Most files state nothing; they stay out of the join, where they would all have one key.
-    columns = ("doc_id", "path", "own", "score", "declares")
+    columns = ("doc_id", "path", "own", "score", "declares", "key")
     silent = stated.filter("said = ''").withColumns(
         {"own": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "declares": F.lit(False)}
     )
     spoken = stated.filter("said != ''").join(best, "said", "left")
-    judged = spoken.select(*columns).unionByName(silent.select(*columns)).withColumns(
-        {"score": F.coalesce("score", F.lit(0.0)), "states": F.col("own").isNotNull() | F.coalesce("declares", F.lit(False))}
-    )
+    judged = spoken.select(*columns).unionByName(silent.select(*columns)).join(full, "key", "left")
+    judged = judged.withColumns(
+        {"own": F.coalesce("full", "own"), "score": F.coalesce("full_score", "score", F.lit(0.0))}
+    ).withColumn("states", F.col("own").isNotNull() | F.coalesce("declares", F.lit(False))).drop("key", "full", "full_score")
     judged = written(judged, "licence-own")
     declared = (
         judged.filter(F.col("own").isNotNull() & F.col("path").rlike(LICENCE_FILE))
@@ -194,8 +286,8 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
         .agg(F.min(F.struct("steps", "_license", "_from")).alias("n"))
         .select("_dir", "n._license", "n._from")
     )
-    full = judged.join(nearest, directory(F.col("path")) == F.col("_dir"), "left")
-    return full.select(
+    placed = judged.join(nearest, directory(F.col("path")) == F.col("_dir"), "left")
+    return placed.select(
         "doc_id", "path",
         F.when(F.col("states"), F.col("own")).otherwise(F.col("_license")).alias("license"),
         "score",

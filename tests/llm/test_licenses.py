@@ -111,3 +111,23 @@ def test_query_inherits_from_upper_directories(spark, tmp_path):
     assert got[10_512, "s"] == ("CC-BY-NC-4.0", "s/1/10/LICENSE-10901")
     assert got[10_506, "u"] == ("Apache-2.0", "u/1/10/105/LICENSE-10505")
     assert got[10_512, "t"] == got[21_000, "s"] == got[10_606, "u"] == (None, None)
+
+
+def test_whole_texts_and_wrapped_lines(spark):
+    full = dict(licenses.full_texts())
+    bare = lambda name: full[name].split("\n", 4)[4]
+    given = [
+        ("a/LICENSE", "Copyright 2020 Somebody\n\n" + full["BSD-2-Clause"], "BSD-2-Clause"),
+        ("b/COPYING", bare("GPL-2.0-only"), "GPL-2.0-only"),
+        ("c/LICENSE", bare("Apache-2.0"), "Apache-2.0"),
+        ("d/x.c", "/*\n * (c) Somebody\n *\n" + "".join(f" * {x}\n" for x in full["ISC"].split("\n")) + " */\nint main;", "ISC"),
+        ("e/x.py", "# Under the terms of the GNU General Public License,\n# version 3.\n\ncode", "GPL-3.0-only"),
+        ("f/y", "Licensed under the GNU General\nPublic License, version\n2.", "GPL-2.0-only"),
+        ("g/z", "first words\nthis work is dedicated to the public\ndomain, see CC0 1.0 Universal", "CC0-1.0"),
+        ("h/z", "Creative\nCommons Attribution 4.0", "CC-BY-4.0"),
+        ("i/LICENSE", "nothing of it", None),
+        ("j/x.py", "# a comment\n# of two lines\ncode\n\n" + "word " * 20_000, None),
+    ]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(given)], "doc_id long, path string, text string")
+    got = {r.path: r.license for r in licenses.scan_licenses(docs).collect()}
+    assert got == {p: name for p, _, name in given}
