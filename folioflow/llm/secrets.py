@@ -24,14 +24,19 @@ CLASSES: tuple[tuple[str, str, float], ...] = (
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"", 3.65),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-# A candidate is looked at only if it has a digit and a letter. The allow list names what is
-# random by construction and harmless, or a placeholder.
+# A candidate is looked at only if it has a digit and a letter. The allow list names what is random by construction
+# and harmless, or a placeholder. Each pattern speaks for the whole candidate: a word or prefix in one
+# part of it clears no key in another.
 MIXED = (r"[0-9]", r"[A-Za-z]")
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|placeholder|changeme|dummy|test|xxxx|0123456789|1234567890|abcdefgh",
-    r"^(?:sha(?:1|256|384|512)|md5)[-=]",
-    r"^[A-Za-z]++(?:[-_/][A-Za-z0-9]{1,6})++$",
+    # A placeholder's word stands by itself in the last part, and no run is as long as a window.
+    r"(?i)^(?!.*[a-z0-9+]{20}).*(?<![a-z0-9+])(?:example|sample|placeholder|changeme|dummy|test)(?![a-z0-9+])[^=/]*$",
+    r"(?i)^(?:.{0,19}[=/])?(?:x{4,}+|0?123456789?0?|abcdefgh(?:ijklmnopqrstuvwxyz)?|[_+/=-]++){1,64}+$",
+    r"^(?:sha(?:1|256|384|512)|md5)[-=](?:[0-9a-fA-F]{32,128}|[A-Za-z0-9+/]{22,88}={0,2})$",
+    # Slugs: no part mixes letters and digits, but for a short number at its end.
+    r"^[A-Z]?[a-z]++(?:[-_/](?:[A-Z]?[a-z]{1,4}[0-9]{1,2}|[A-Z]?[a-z]{1,6}|[0-9]{1,6}))++$",
+    r"^[A-Z]++(?:_(?:[A-Z]{1,6}|[0-9]{1,6}))++$",
 )
 
 

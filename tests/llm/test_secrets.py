@@ -80,3 +80,20 @@ def test_mask_and_columns(spark):
     assert got == [(1, "a [secret] b"), (3, "clean"), (3, "clean")]
     assert secrets.mask_secrets(docs).columns == docs.columns
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_allow_list_clears_no_key(spark):
+    key = "q8Zt3LkP0xVb7NmW2cRy5sHd9"
+    secret = [
+        "latest_pat=ghp_16C7e42F292c6912E7710c838347Ae178B4a", f"www/latest/{key}", f"contest/{key}", f"sample/{key}", f"{key}/test", f"test_{key}",
+        "ABCDE-F1G2H-I3J4K-L5M6N", f"sha256-abc/{key}-and/{key}-{key}-{key}",
+    ]
+    fine = [
+        "123e4567-e89b-12d3-a456-426614174000", "my-test-key-12ab-34cd-56ef", "the-quick-brown-fox-v2-jumps-10-dogs",
+        "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", "abcdefghijklmnopqrstuvwxyz0123456789",
+        "MAX_RETRY_COUNT_LIMIT_10",
+    ]
+    docs = spark.createDataFrame(list(enumerate(secret + fine)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan_secrets(docs)).collect()}
+    assert [w for i, w in enumerate(secret) if not got[i]] == []
+    assert [w for i, w in enumerate(fine, len(secret)) if got[i]] == []
