@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm import decontaminate, licenses, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files
+from folioflow.llm import (
+    decontaminate, licenses, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files,
+)
 from folioflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +183,42 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
     and n_bullets / n_lines <= 0.9 and n_ellipses / n_lines <= 0.5 as kept
 from b
 """
+
+
+@query
+def op13_source_mix(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix_documents(docs).drop("copies")
+
+
+ORACLES["op13_source_mix"] = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    substr(md5(concat_ws(':', cast(doc_id as varchar), coalesce(text, ''))), 1, 16) as place
+  from documents),
+s as (
+  select source, sum(size) as whole, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w
+  from d group by source),
+-- the sources in the order in which they stop at three times their size
+o as (select *, row_number() over (order by 3 * whole / w, source) as k from s),
+rates as (
+  select k, (select sum(whole) from s) - coalesce(sum(3 * whole) over (order by k rows between unbounded preceding and 1 preceding), 0) as words,
+    sum(w) over (order by k rows between current row and unbounded following) as weight
+  from o),
+rate as (
+  select min(k) as k, arg_min(cast(words as double) / cast(weight as double), k) as r
+  from rates where not exists (
+    select 1 from o where o.k >= rates.k and 3 * whole < cast(words as double) / cast(weight as double) * w)),
+t as (
+  select source, whole, case when rate.k is null or o.k < rate.k then cast(3 * whole as double) else rate.r * w end as target
+  from o, rate),
+q as (
+  select doc_id, size, source,
+    coalesce(sum(size) over (
+      partition by source order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as ahead
+  from d)
+select doc_id, size, cast(whole as bigint) as source_size, target,
+  cast(greatest(0, least(size, floor(target) - ahead)) + greatest(0, least(size, floor(target) - whole - ahead))
+    + greatest(0, least(size, floor(target) - 2 * whole - ahead)) as bigint) as taken
+from q join t on q.source is not distinct from t.source
+"""
