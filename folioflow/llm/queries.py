@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm import (
-    decontaminate, licenses, mixing, near_dedup, packing, pii, quality_model, quality_rules, secrets, sharding, token_files,
+    decontaminate, licenses, mixing, near_dedup, packing, pii, prefix_trie, quality_model, quality_rules, secrets, sharding,
+    token_files,
 )
 from folioflow.llm.common import table
 
@@ -185,6 +186,49 @@ from b
 """
 
 
+@query
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.rebuilt_trie(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLES["op11_prefix_trie"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+own as (
+  select conv_id, list({'role': role, 'text': text}
+    order by turn nulls first, md5(concat(length(role), ':', role, text))) as turns
+  from t group by conv_id),
+-- crc32 of the decimal id, byte by byte and bit by bit
+crc as (
+  select conv_id, turns, xor(list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(1, length(cast(conv_id as varchar)) + 1),
+      lambda i: ascii(substr(cast(conv_id as varchar), i, 1))::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 6 as h
+  from own),
+r as (
+  select c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) as turns
+  from crc c left join own f on f.conv_id = c.conv_id - c.conv_id % 100),
+p as (select conv_id, d, turns[1:d] as k, len(turns) = d as ends from r, unnest(range(0, len(turns) + 1)) as u(d)),
+n as (
+  select k, d, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as ends
+  from p group by k, d),
+c as (select k[1:d - 1] as k, d - 1 as d, count(*) as n_children from n where d > 0 group by all),
+v as (
+  select n.*, coalesce(n_children, 0) as n_children,
+    case when d > 0 then (n_convs - 1) * length(k[d].text) else 0 end as own
+  from n left join c using (k, d)),
+s as (
+  select p.k, p.d, count(*) filter (v.n_children = 0) as n_leaves, sum(v.own) as saved
+  from v join p on p.conv_id = v.conv_id and p.d <= v.d group by p.k, p.d)
+select v.conv_id, v.d as depth, up.conv_id as parent_conv_id, v.n_convs, v.n_children, s.n_leaves,
+  cast(s.saved as bigint) as saved_tokens, sha256(v.ends) as ends_sha256
+from v join s using (k, d) left join n up on up.d = v.d - 1 and up.k = v.k[1:v.d - 1]
+"""
+
+
 @query
 def op13_source_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
