@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm import (
-    decontaminate, licenses, mixing, near_dedup, packing, pii, prefix_trie, quality_model, quality_rules, secrets, sharding,
+    collocations, decontaminate, licenses, mixing, near_dedup, packing, pii, prefix_trie, quality_model, quality_rules, secrets, sharding,
     token_files,
 )
 from folioflow.llm.common import table
@@ -229,6 +229,40 @@ from v join s using (k, d) left join n up on up.d = v.d - 1 and up.k = v.k[1:v.d
 """
 
 
+@query
+def op12_collocations(spark, sf):
+    return collocations.mine_phrases(table(spark, sf, "documents").select("text", "lang"))
+
+
+ORACLES["op12_collocations"] = r"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents)),
+total as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+g as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+  from pieces, unnest(range(1, 6)) as u(k), unnest(range(1, len(w) - k + 2)) as v(i)
+  group by all having count(*) >= 100),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from g where k > 1),
+cuts as (
+  select c.lang, c.phrase, c.a, j, l.f as l, r.f as r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score
+  from c join total using (lang), unnest(range(1, c.k)) as u(j)
+    join g l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:j], ' ')
+    join g r on r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1:], ' ')),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+within as (
+  select distinct c.lang, c.phrase from c join c longer
+    on longer.lang = c.lang and longer.a = c.a and longer.k > c.k
+      and contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' '))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n,
+  cast(score as bigint) as score
+from lowest anti join within using (lang, phrase)
+qualify rank <= 2000
+"""
+
+
 @query
 def op13_source_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
