@@ -91,7 +91,7 @@ def serve(queue: DataFrame, budget: int, repeats: int = REPEATS) -> DataFrame:
         .select("_row", "doc_id", *SOURCE, "_order", "copy", "finish", "words")
     )
     order = ["finish", *SOURCE, "copy", "_order", "_row"]
-    placed = with_running(dealt_by_range(written(copies, "mix-copies"), *order), [], order, {"position": F.col("words")})
+    placed = with_running(dealt_by_range(copies, *order), [], order, {"position": F.col("words")})
     return placed.filter(F.col("position") < budget).withColumn("words", F.least(F.col("words"), budget - F.col("position")))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioflow.llm.common import written
 
-LEAST_ROWS = 1_000  # a range holds about so many rows at least
+LEAST_ROWS = 10_000  # a range holds about so many rows at least
 
 
 def dealt_by_range(df: DataFrame, *order: Column | str) -> DataFrame:
-    """The rows of a stored table in ranges of ``order``, stored, with the number of their range as ``_p``.
+    """The rows (cheap to read again) in ranges of ``order``, stored, with the number of their range as ``_p``.
 
     A frequent value is cut into several ranges if a later column of ``order`` differs within it. There are four
     times as many ranges as shuffle partitions, so that ranges dealt by hash later on still spread evenly.
