@@ -2,8 +2,8 @@
 
 ``PieceEncoder`` gives exactly the ids of ``Tokenizer.encode``. Byte-pair encoders treat the pieces that
 their splitting pattern cuts from a text one by one, so the ids of a piece are remembered and the library is
-asked once for each new piece. Texts with characters whose class or case may differ between Unicode versions are
-handed to the library whole.
+asked once for each new piece. Texts that hold an added token of the vocabulary, or characters whose class or case
+may differ between Unicode versions, are handed to the library whole.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.pattern = SPLIT_WORDS if self.lowers else SPLIT_BYTES
         self.code = {2: "H", 4: "I"}[width]
@@ -72,10 +72,10 @@ class PieceEncoder:
         return array.array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        plain = text.lower() if self.lowers else text
+        if _OTHER.search(text) or any(token in text or token in plain for token in self.added):
             return self.whole(text)
-        pieces = self.pattern.findall(text.lower() if self.lowers else text)
-        return b"".join(map(self.known.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(plain)))
 
 
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
