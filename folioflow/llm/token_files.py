@@ -20,6 +20,7 @@ import posixpath
 import struct
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -38,11 +39,31 @@ SPREAD = 2.0  # bits a key on each level
 LEVELS = 100
 
 
+# Schemes of Hadoop paths and what Arrow calls them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """The folder as Spark resolves it (a path without a scheme lies on its default file system), for use in tasks.
+
+    Fails before anything is written if tasks cannot reach that file system through Arrow.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    scheme, rest = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString().split(":", 1)
+    if scheme not in SCHEMES:
+        raise ValueError(f"token files cannot be written to {scheme}: paths, only to {', '.join(SCHEMES)}")
+    return f"{SCHEMES[scheme]}://{rest.removeprefix('//')}"
+
+
 def open_fs(uri: str):
-    """File system and path of a folder; anything that Arrow reaches (file, s3, gs, hdfs)."""
+    """File system and path of a folder named by ``shared_uri``."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    scheme, place = uri.split("://", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem(), place
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(place, safe='/@:')}")
 
 
 def _commit(system, path: str, chunks: Iterator[bytes], attempt: str) -> None:
@@ -174,7 +195,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     Rows are dealt by ranges of (doc_id, hash of the text), so that an id with very many rows spreads over shards.
     The texts are shuffled once and encoded where they are written.
     """
-    end = int(end_id).to_bytes(width, "little")
+    end, folder = int(end_id).to_bytes(width, "little"), shared_uri(docs.sparkSession, folder)
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -244,6 +265,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
 
 def write_index(records: DataFrame, folder: str, parts: int) -> int:
     """Write the index files of the records; returns the number of keys."""
+    folder = shared_uri(records.sparkSession, folder)
 
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
         system, place = open_fs(folder)
@@ -262,7 +284,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = END
 
     Returns the keys (doc_id, nth) with the number of index parts. Null texts are empty ones; a null
     doc_id is a key like others and comes first; repeated rows are stored each, numbered by ``nth``; an empty table
-    writes no file and returns no key. Other columns are not read.
+    writes no file and returns no key. Other columns are not read. A text is encoded whole in one task, however long.
     """
     bounded_batches(docs.sparkSession)
     records = written(write_shards(docs, path, folder, end_id, width), "placed")
@@ -280,6 +302,7 @@ def read_documents(keys: DataFrame, folder: str, with_ids: bool = False) -> Data
     Keys (doc_id, nth, parts) meet their index part, then what was found meets its shard; both groups are
     bounded by the size of a part and of a shard. Keys that are not stored give no row.
     """
+    folder = shared_uri(keys.sparkSession, folder)
 
     def locate(key, frame: pd.DataFrame) -> pd.DataFrame:
         system, place = open_fs(folder)
