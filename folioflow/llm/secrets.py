@@ -16,18 +16,20 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "entropy")
 
 # Entropy: a window of this many characters, and the bits per character from which a
-# window counts as random, for each class of characters a candidate may consist of.
+# window counts as random, for each class of characters a candidate may consist of. Letters alone are often
+# words, so more is asked of them.
 WINDOW = 20
 CLASSES: tuple[tuple[str, str, float], ...] = (
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", r"^[A-Za-z+/_=-]+$", 3.95),
     ("0123456789abcdef", r"^[0-9a-f]+$", 3.0),
     ("0123456789ABCDEF", r"^[0-9A-F]+$", 3.0),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"", 3.65),
 )
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
-# A candidate is looked at only if it has a digit and a letter. The allow list names what is random by construction
+# A candidate is looked at only if it has a letter. The allow list names what is random by construction
 # and harmless, or a placeholder. Each pattern speaks for the whole candidate: a word or prefix in one
 # part of it clears no key in another.
-MIXED = (r"[0-9]", r"[A-Za-z]")
+LETTER = r"[A-Za-z]"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     # A placeholder's word stands by itself in the last part, and no run is as long as a window.
@@ -45,19 +47,22 @@ def _bits(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_window(chars: Column, alphabet: str, least: float) -> Column:
-    """struct(first, last): ends of the windows over ``chars`` with ``least`` bits or more.
+SPANS = "array<struct<first:int,last:int>>"
 
-    ``first`` is where the first such window starts, ``last`` where the last one ends, both
-    null without one. Counts per character are kept from window to window: the character that
+
+def hot_windows(chars: Column, alphabet: str, least: float) -> Column:
+    """array<struct(first, last)>: what the windows over ``chars`` with ``least`` bits or more cover.
+
+    Windows that overlap or touch are one span from ``first`` to before ``last``. Counts per character are kept from window to window: the character that
     enters and the one that leaves change two counts and two terms of the sum of n * log2(n),
     from which the entropy follows as log2(W) - sum / W.
     """
     most = WINDOW * (log2(WINDOW) - least)
-    state = "struct<counts:array<int>,total:double,first:int,last:int>"
+    state = f"struct<counts:array<int>,total:double,done:{SPANS},first:int,last:int>"
     zero = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
         F.lit(0.0).alias("total"),
+        F.array().cast(SPANS).alias("done"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     ).cast(state)
@@ -83,12 +88,17 @@ def hot_window(chars: Column, alphabet: str, least: float) -> Column:
                 acc["total"] + change,
                 lambda total: let(
                     (at >= WINDOW) & (total <= most + 1e-9),
-                    lambda hot: F.struct(
-                        counts.alias("counts"),
-                        total.alias("total"),
-                        F.when(hot, F.coalesce(acc["first"], at - WINDOW)).otherwise(acc["first"]).alias("first"),
-                        F.when(hot, at).otherwise(acc["last"]).alias("last"),
-                    ).cast(state),
+                    lambda hot: let(
+                        hot & F.coalesce(at - WINDOW > acc["last"], F.lit(False)),
+                        lambda apart: F.struct(
+                            counts.alias("counts"),
+                            total.alias("total"),
+                            F.when(apart, F.array_append(acc["done"], F.struct(acc["first"], acc["last"])))
+                            .otherwise(acc["done"]).alias("done"),
+                            F.when(apart | (hot & acc["first"].isNull()), at - WINDOW).otherwise(acc["first"]).alias("first"),
+                            F.when(hot, at).otherwise(acc["last"]).alias("last"),
+                        ).cast(state),
+                    ),
                 ),
             )
 
@@ -98,7 +108,29 @@ def hot_window(chars: Column, alphabet: str, least: float) -> Column:
         F.sequence(F.lit(1), F.size(chars)),
         zero,
         slide,
-        lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")),
+        lambda acc: F.when(acc["first"].isNull(), acc["done"]).otherwise(
+            F.array_append(acc["done"], F.struct(acc["first"], acc["last"]))
+        ),
+    )
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each of the sorted spans replaced by ``by(length)``; a span within an earlier one adds nothing,
+    one that begins in it the part beyond."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["done"])
+        return F.struct(
+            F.when(
+                s["end"] > acc["done"],
+                F.concat(acc["out"], F.substring(text, acc["done"] + 1, begin - acc["done"]), by(s["end"] - begin, s["start"] >= acc["done"])),
+            ).otherwise(acc["out"]).alias("out"),
+            F.greatest(acc["done"], s["end"]).alias("done"),
+        )
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+    return F.aggregate(
+        spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text)))
     )
 
 
@@ -107,15 +139,15 @@ def _random_parts(text: Column) -> Column:
 
     def judged(m: Column) -> Column:
         word = m["found"]
-        fine = ~(word.rlike(MIXED[0]) & word.rlike(MIXED[1]))
+        fine = ~word.rlike(LETTER)
         for pattern in ALLOWED:
             fine = fine | word.rlike(pattern)
-        hot = F.lit(None).cast("struct<first:int,last:int>")
+        hot = F.array().cast(SPANS)
         for alphabet, only, least in reversed(CLASSES):
-            window = let(F.split(word, ""), lambda chars: hot_window(chars, alphabet, least))
-            hot = F.when(word.rlike(only), window).otherwise(hot) if only else window
-        return let(
-            F.when(fine, F.lit(None).cast("struct<first:int,last:int>")).otherwise(hot),
+            windows = let(F.split(word, ""), lambda chars: hot_windows(chars, alphabet, least))
+            hot = F.when(word.rlike(only), windows).otherwise(hot) if only else windows
+        return F.transform(
+            F.when(fine, F.array().cast(SPANS)).otherwise(hot),
             lambda h: F.struct(
                 (m["start"] + h["first"]).alias("start"),
                 F.lit(3).alias("order"),
@@ -124,8 +156,7 @@ def _random_parts(text: Column) -> Column:
             ),
         )
 
-    found = F.transform(matches(text, CANDIDATE), judged)
-    return F.filter(found, lambda s: s["end"].isNotNull()).cast(SPAN_ARRAY)
+    return F.flatten(F.transform(matches(text, CANDIDATE), judged)).cast(SPAN_ARRAY)
 
 
 def base_spans(text: Column) -> Column:
@@ -145,11 +176,12 @@ def base_spans(text: Column) -> Column:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """Every row with ``base`` and ``secrets``: arrays of struct(start, order, kind, end).
 
-    ``base`` holds the matches of the fixed patterns, ``secrets`` those and the random
-    parts of other strings that overlap none of them; both are sorted by start, then kind.
-    Positions count code points, ends are exclusive. One narrow projection without a shuffle.
-    Null and empty texts have no secret; repeated rows are scanned alike; an empty table
-    gives no rows. Input columns named base or secrets are replaced.
+    ``base`` holds the matches of the fixed patterns, ``secrets`` those and the random parts of what is left when
+    the base spans are cut out; both are sorted by start, then kind. Two parts of one string are two spans unless
+    their windows meet. Positions count code points, ends are exclusive. One narrow projection without a shuffle.
+    Null and empty texts have no secret; texts of any length are scanned whole; base spans that start at one place are
+    in the order of the kinds; repeated rows are scanned alike; an empty table gives no rows. Input columns named base
+    or secrets are replaced.
     """
     given = [c for c in docs.columns if c not in ("base", "secrets")]
     scanned = docs.select(*given, _both_spans(F.col("text")).alias("_s"))
@@ -159,16 +191,13 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 def _both_spans(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
 
-    def apart(base: Column) -> Column:
-        return F.filter(
-            _random_parts(text),
-            lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-        )
+    def both(base: Column) -> Column:
+        # Blanks in place of the base spans part what stands beside them, and keep the positions.
+        blank = replaced(text, base, lambda size, first: F.repeat(F.lit(" "), size))
+        rest = let(F.when(F.size(base) > 0, blank).otherwise(text), _random_parts)
+        return F.struct(base.alias("base"), F.array_sort(F.concat(base, rest)).alias("secrets"))
 
-    return let(
-        F.array_sort(base_spans(text)),
-        lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, apart(base))).alias("secrets")),
-    )
+    return let(F.array_sort(base_spans(text)), both)
 
 
 def secret_spans(text: Column) -> Column:
@@ -183,29 +212,13 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", length: str | None = N
     that is set to the length of a masked text.
     """
     text = F.col("text")
-
-    def cut(spans: Column) -> Column:
-        # The text before the first span and after each one; a span inside an earlier one adds nothing.
-        def step(acc: Column, s: Column) -> Column:
-            return F.struct(
-                F.when(
-                    s["start"] >= acc["done"],
-                    F.concat(acc["out"], F.substring(text, acc["done"] + 1, s["start"] - acc["done"]), F.lit(mask)),
-                ).otherwise(acc["out"]).alias("out"),
-                F.greatest(acc["done"], s["end"]).alias("done"),
-            )
-
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
-        return F.aggregate(
-            spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text)))
-        )
-
+    cut = lambda spans: replaced(text, spans, lambda size, first: F.when(first, F.lit(mask)).otherwise(F.lit("")))
     masked = let(secret_spans(text), lambda s: F.when(F.size(s) > 0, cut(s)))
     made = docs.withColumn(new := _free_name(docs), masked)
-    replaced = {"text": F.coalesce(new, "text")}
+    changed = {"text": F.coalesce(new, "text")}
     if length:
-        replaced[length] = F.coalesce(F.length(new), length).cast(docs.schema[length].dataType)
-    return made.select(*[replaced[c].alias(c) if c in replaced else c for c in docs.columns])
+        changed[length] = F.coalesce(F.length(new), length).cast(docs.schema[length].dataType)
+    return made.select(*[changed[c].alias(c) if c in changed else c for c in docs.columns])
 
 
 def _free_name(docs: DataFrame) -> str:
