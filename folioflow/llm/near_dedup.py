@@ -3,8 +3,8 @@
 1. A document's set is that of its word shingles, as 64-bit hashes. The sketch is its ``KEEP`` smallest values.
 2. Documents with the same set are one class from here on, however many there are.
 3. Inverted lists are keyed by runs of ``RUN`` consecutive retained values. Two sets of the similarity asked for
-   share such a run with near certainty (three missing runs in ten million sets at 0.85), while a passage
-   that many documents share rarely makes one.
+   share such a run with near certainty, sets of up to ``KEEP`` values always (the smallest are keyed by each
+   value as well), while a passage that many documents share rarely makes one.
 4. A list gives the pairs of its most central class with each other one, never all pairs. The sketch of the union,
    made of the two sketches, estimates the similarity and leaves out what cannot be near.
 5. The exact similarity of the full sets decides. Linked classes become components.
@@ -64,22 +64,40 @@ def sketches(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """(class, first_id, n, sketch, set_id): one row per distinct set; ``class`` is a hash that names it."""
+    """(class, first_id, n, sketch, set_id): one row per distinct set; ``class`` is a number, no hash, once it is stored."""
     return (
         rows.filter("set_id is not null")
         .groupBy("set_id")
         .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"))
-        .withColumn("class", F.xxhash64("set_id"))
+        .withColumn("class", F.monotonically_increasing_id())
         .withColumn("n", F.col("set_id.n"))
     )
 
 
+def sizes_without_run(least: int) -> int:
+    """The largest size of a wholly retained set that can be near another one and share no run with it.
+
+    A value of one set alone breaks up to RUN of its runs, and one of the other set alone RUN - 1.
+    """
+    most = 0
+    for m in range(1, KEEP + 1):
+        for n in range(m, m * 100 // least + 1):
+            both = -(-(m + n) * least // (100 + least))
+            runs = m - RUN + 1 - RUN * (m - both) - (RUN - 1) * (n - both)
+            if both <= m and (m, n) != (both, both) and runs < 1:
+                most = max(most, n)
+    return most
+
+
 def _lists(classes: DataFrame, least: int) -> DataFrame:
-    """(run, class, n): the inverted lists of runs of retained values."""
+    """(run, class, n): the inverted lists of runs of retained values, of small sets of single ones as well."""
     runs = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("sketch") - RUN, F.lit(0))),
         lambda i: F.xxhash64(*[F.get("sketch", i + k) for k in range(RUN)]),
     )
+    if small := sizes_without_run(least):
+        single = F.transform("sketch", lambda v: F.xxhash64(F.lit("value"), v))
+        runs = F.when(F.col("n") <= small, F.concat(runs, single)).otherwise(runs)
     # A smaller set can be near no other one: a single value more or less is too much.
     can = F.col("n") * 100 >= (F.col("n") + 1) * least
     return classes.filter(can).select("class", "n", F.explode_outer(runs).alias("run"))
@@ -225,11 +243,7 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
         "run", "class", "n", F.coalesce("label", "class").alias("label")
     )
     mixed = labelled.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    # A near pair shares several runs, small sets two at least.
-    loose = (
-        labelled.join(mixed.select("run"), "run").groupBy("class", "label").agg(F.count("*").alias("runs")).filter("runs > 1")
-    )
-    loose = written(loose.select("class", "label"), "loose")
+    loose = written(labelled.join(mixed.select("run"), "run").select("class", "label").distinct(), "loose")
     sets = _full_sets(loose.select("class"), linkable, docs, size, "loose")
     rest = written(_between_components(sets, loose, least), "rest")
     more = _exact(rest, sets, least, "near-rest")
@@ -264,12 +278,14 @@ def drop_near_duplicates(docs: DataFrame, size: int = WORDS, least: int = LEAST)
     grouped = written(_grouped(docs, size, least).filter("group is not null").select("doc_id", "_row", "group"), "grouped")
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     best = grouped.groupBy("group").agg(F.min(key).alias("best"))
-    judged = grouped.join(best.hint("merge"), "group").withColumn("stays", key.eqNullSafe(F.col("best")))
-    kept = without_rows(docs, judged.filter("not stays").select("doc_id", "_row"))
+    best = written(best.select(F.col("best.doc_id").alias("_id"), F.col("best._row").alias("_text")), "best")
+    # A text belongs to one group, so the row itself and not its group, which may be large, is looked up.
+    stays = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_text"))
+    kept = without_rows(docs, grouped.join(best, stays, "left_anti").select("doc_id", "_row"))
     # Repeated rows are few; only they are gathered by id and text.
     again = written(
-        judged.filter("stays").groupBy("group").agg(F.count("*").alias("n"), F.first("best").alias("best"))
-        .filter("n > 1").select("best.doc_id", "best._row"), "repeated",
+        grouped.join(best, stays, "left_semi").groupBy("doc_id", "_row").agg(F.count("*").alias("n"))
+        .filter("n > 1").select("doc_id", "_row"), "repeated",
     )
     if not again.head(1):
         return kept

@@ -16,8 +16,8 @@ def shingles(text, size=3):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)}
 
 
-def expected(docs):
-    sets = [shingles(t) for _, t in docs]
+def expected(docs, size=3, least=85):
+    sets = [shingles(t, size) for _, t in docs]
     group = list(range(len(docs)))
 
     def root(i):
@@ -28,7 +28,7 @@ def expected(docs):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if both and 100 * both >= 85 * len(a | sets[j]):
+            if both and 100 * both >= least * len(a | sets[j]):
                 group[root(i)] = root(j)
     smallest = {}
     for i, (doc_id, _) in enumerate(docs):
@@ -62,6 +62,41 @@ def test_equals_all_pairs(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_small_sets_lose_no_link(spark):
+    rng = random.Random(9)
+    docs = []
+    for i in range(150):
+        base = [f"v{i}_{k}" for k in range(rng.randint(1, 8))]
+        docs.append(" ".join(base))
+        other = list(base)
+        if rng.random() < 0.5:
+            other.append("x")
+        else:
+            other[rng.randrange(len(other))] = "y"
+        docs.append(" ".join(other))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((tuple(r) for r in near_dedup.near_duplicates(df, size=1, least=80).collect()), key=str)
+    assert got == expected(docs, 1, 80) and sum(not r[3] for r in got) > 30
+
+
+def test_retained_sets_share_a_run():
+    rng = random.Random(10)
+    for least in (80, 85):
+        small = near_dedup.sizes_without_run(least)
+        for _ in range(4000):
+            pool = rng.sample(range(10**6), 40)
+            a, b = set(pool[: rng.randint(small + 1, near_dedup.KEEP)]), set()
+            b = set(a)
+            while b and 100 * len(a & b) >= least * len(a | b):
+                last, b = set(b), set(b)
+                b ^= {rng.choice(pool)}
+            if small < len(last) <= near_dedup.KEEP:
+                runs = lambda s: {tuple(sorted(s)[i : i + 3]) for i in range(max(1, len(s) - 2))}
+                assert runs(a) & runs(last)
+
+
 def test_drop_keeps_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(60))
     near = text.replace("w9", "other")
