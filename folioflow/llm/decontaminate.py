@@ -16,7 +16,9 @@ WINDOW = 10
 SHINGLE = 3
 # Benchmark windows up to this many are broadcast (about 250 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
-FILTER_BITS = 18  # the filter of shingle hashes has 2^18 bits, 32 KB, whatever the benchmark's size
+# The filter of shingle hashes has 24 bits a shingle, which lets 4 % of other places through; from 2^18 bits (32 KB) to
+# 2^26 (8 MB, for 2.8 million shingles; beyond, more places pass and are told apart by the join).
+LEAST_BITS, MOST_BITS, BITS_EACH = 18, 26, 24
 
 PLACE = "struct<size:int,at:int,h:bigint,context:array<string>,begin:int>"
 
@@ -39,10 +41,15 @@ def _shingles(words: Column) -> Column:
     )
 
 
-def _filter_bits(hashes: DataFrame) -> DataFrame:
-    """One row with ``bits``: an array<long> in which the low bits of every hash are marked."""
-    cells = 1 << (FILTER_BITS - 6)
-    place = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def filter_size(shingles: int) -> int:
+    """Bits of the filter, as a power of two."""
+    return min(max(LEAST_BITS, (BITS_EACH * shingles - 1).bit_length()), MOST_BITS)
+
+
+def _filter_bits(hashes: DataFrame, size: int) -> DataFrame:
+    """One row with ``bits``: an array<long> of 2^size bits in which the low bits of every hash are marked."""
+    cells = 1 << (size - 6)
+    place = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
     marked = hashes.groupBy(F.shiftright(place, 6).alias("cell")).agg(
         F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("mask")
     )
@@ -61,10 +68,11 @@ def _hits(docs: DataFrame, hashes: DataFrame, sizes: list[int], around: int) ->
     The filter leaves out most places inside the row of the document; ``context`` holds the words
     from ``around`` before the place to ``around`` after it, so that no text has to be fetched again.
     """
-    bits = _filter_bits(hashes).scalar()
+    size = filter_size(hashes.count())
+    bits = _filter_bits(hashes, size).scalar()
 
     def marked(h: Column, cells: Column) -> Column:
-        cell = F.get(cells, F.shiftright(h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), 6).cast("int"))
+        cell = F.get(cells, F.shiftright(h.bitwiseAND(F.lit((1 << size) - 1)), 6).cast("int"))
         return F.getbit(cell, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def places_of(w: Column, size: int):
@@ -134,7 +142,7 @@ def find_contamination(
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_row"))
 
     # Corpus counts of the benchmark's shingles.
-    known = windows.select(F.explode("hashes").alias("h")).distinct()
+    known = written(windows.select(F.explode("hashes").alias("h")).distinct(), "shingles")
     seen = _hits(docs, known, sizes, 0).filter("at >= 0").select("h")
     counted = written(seen.join(keep_local(known), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")), "rarity")
     ranked = (

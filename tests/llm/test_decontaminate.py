@@ -58,3 +58,18 @@ def test_equals_brute_force(spark):
     assert decontaminate.find_contamination(d.limit(0), b).count() == 0
     none = decontaminate.digest(decontaminate.find_contamination(d, b.limit(0))).collect()
     assert len(none) == len(docs) and not any(r.contaminated for r in none)
+
+
+def test_filter_grows_with_the_benchmark(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1_000, 30_000, 1_000_000):
+        size = decontaminate.filter_size(n)
+        assert 2**size >= 24 * n or size == decontaminate.MOST_BITS
+    n = 30_000
+    size = decontaminate.filter_size(n)
+    bits = decontaminate._filter_bits(spark.range(n).select(F.xxhash64("id").alias("h")), size).first()["bits"]
+    probes = [r[0] for r in spark.range(10**6, 10**6 + 20_000).select(F.xxhash64("id")).collect()]
+    inside = [r[0] for r in spark.range(n).select(F.xxhash64("id")).collect()]
+    marked = lambda h: bits[(h & ((1 << size) - 1)) >> 6] >> (h & 63) & 1
+    assert all(map(marked, inside)) and sum(map(marked, probes)) < 0.05 * len(probes)
