@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioflow.llm.common import written
+from folioflow.llm.ranges import dealt_by_range, with_running
 from folioflow.session import work_dir
 
 SLOTS = 16_384
@@ -108,21 +109,31 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return SlotMap(version, rows[0]["shards"], [r["shard"] for r in rows], [r["bytes"] for r in rows])
 
 
-def slot_of(doc_id: Column, text_crc32: Column, size: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record. Id and content decide, so that copies of one text, or rows of
-    one id, do not meet in one slot."""
-    return F.pmod(F.xxhash64(doc_id, text_crc32, size), F.lit(slots)).cast("int")
+def slot_of(doc_id: Column, text_crc32: Column, size: Column, copy: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record. Id, content and the number of the copy decide, so that copies of one text, rows of
+    one id and repeated rows do not meet in one slot."""
+    first = F.xxhash64(doc_id, text_crc32, size)
+    return F.pmod(F.when(copy == 0, first).otherwise(F.xxhash64(first, copy)), F.lit(slots)).cast("int")
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every row: what sharding needs to know of it."""
+    """(doc_id, size, text_crc32, virtual_slot) of every row: what sharding needs to know of it.
+
+    Rows that are equal in id and text are numbered over ranges, so any number of them spreads like other rows.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("_row"),
     )
-    return found.withColumn("virtual_slot", slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots))
+    given = found.select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"), "*")
+    same = ["_id", "_none", "text_crc32", "size"]
+    ranged = dealt_by_range(written(given, "sharding-rows"), *same, "_row")
+    numbered = with_running(ranged, same, ["_row"], {"copy": F.lit(1)})
+    slot = slot_of(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy"), slots)
+    return numbered.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_bytes(recs: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -138,8 +149,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path:
 
     Returns doc_id, size, text_crc32, virtual_slot, shard and slot, the place from 0 without gaps. The map
     is stored under ``map_path`` (a new folder by default); an existing map there is rebalanced into
-    its next version. Null ids, null and empty texts are records like others. Rows that
-    are equal in id and text share a virtual slot, which no hash can part; an empty table gives no rows.
+    its next version. Null ids, null and empty texts are records like others, and texts of any length are one record. Rows that
+    are equal in id and text are records of their own, in any order; an empty table gives no rows.
     Texts are read once and not shuffled. Places come from row counts per slot and a numbering
     inside each slot, so no shard is gathered in one task.
     """

@@ -11,6 +11,7 @@ def test_assign(spark, tmp_path):
     rng = random.Random(1)
     given = [(i, "é" * rng.randint(0, 400)) for i in range(2000)] + [(5, "same"), (5, "same"), (None, None), (7, None)]
     given += [(10_000 + i, "copy of one text" * 10) for i in range(1000)]
+    given += [(77_777, "a row that is there very often" * 5)] * 1500 + [(None, None)] * 600
     docs = spark.createDataFrame([(a, b, 1) for a, b in given], "doc_id long, text string, shard int")
     path = str(tmp_path / "map")
     rows = sharding.assign(docs, shards=7, slots=4096).collect()
