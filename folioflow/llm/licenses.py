@@ -1,44 +1,89 @@
-"""Licences by name and by sparse TF-IDF cosine against templates, inherited from the nearest ancestor directory.
+"""Licences by sparse TF-IDF cosine against templates, inherited from the nearest ancestor directory.
 
-Every file's licence text is what its header or whole text says about licensing. A licence that is named there is
-taken by its name. For other wording, terms are weighed by how many files have them and files are compared with
-the templates they share a term with. A file that states no licence takes that of the nearest directory above it in
-which a licence file lies.
+What a file says about licensing (its statements) is compared with notice sentences, and licence files and headers as a
+whole with full licence texts. Terms are weighed by their rarity among the licences, so the corpus has no part in a
+score. The cosine decides; only where two licences score nearly alike does a name in the statement. A file that
+states no licence takes that of the nearest directory above it in which a licence file lies.
 """
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.llm.common import let, lower_words, written
 
-# The wording of licence headers, in their owners' form. spdx id, wording.
+# Notices in use, in their owners' wording. spdx id, wording.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. MIT License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD License."),
-    ("GPL-2.0-only", "licensed under the GNU General Public License, version 2. free software redistribute."),
-    ("GPL-3.0-only", "licensed under the GNU General Public License, version 3. free software redistribute."),
-    ("LGPL-3.0-only", "licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0-only", "licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0. Creative Commons Attribution ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0. Creative Commons Attribution NonCommercial 4.0 International License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Released under the Apache License 2.0."),
+    ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "Licensed under the Simplified BSD License."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Licensed under the New BSD License."),
+    ("BSD-3-Clause", "Licensed under the BSD License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("GPL-1.0-or-later", "Licensed under the GNU General Public License."),
+    ("GPL-1.0-or-later", "Under the terms of the GNU General Public License."),
+    ("GPL-2.0-only", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0-only", "Under the terms of the GNU General Public License, version 2."),
+    ("GPL-2.0-only", "Under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-2.0-only", "Licensed under the GPL v2."),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-only", "Under the terms of the GNU General Public License, version 3."),
+    ("GPL-3.0-only", "Under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GPL-3.0-only", "Licensed under the GPL v3."),
+    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("LGPL-2.1-only", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-only", "Under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0-only", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0-only", "Under the terms of the GNU Lesser General Public License version 3 as published by the Free Software Foundation."),
+    ("LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0-only", "Under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."),
+    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0."),
+    ("EPL-2.0", "SPDX-License-Identifier: EPL-2.0"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0"),
+    ("CC-BY-4.0", "Licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "Dedicated to the public domain, see CC0 1.0 Universal."),
     ("CC0-1.0", "CC0 1.0 Universal public domain dedication. No rights reserved."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Unlicense."),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Licensed under The Unlicense."),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 )
-LEAST = 0.35  # cosine from which a template is taken
-# Shares of the stating files weigh a term as in so many files at most. Without a bound a template's terms that no
-# file states weigh log(n), and every score falls as the corpus grows.
-MOST_FILES = 10
+LEAST = 0.6  # cosine from which a template is taken
+TIE = 0.02  # licences that score so near the best are told apart by name, if one is named
 # The licences' names, between whose words blanks, line ends and comment marks may stand. Of the names
 # in a statement the first counts, of those at one place the first listed.
 _G = r"[\s#*/;,\x22'(]+"
 _GNU = rf"GNU{_G}%sGeneral{_G}Public{_G}Licen[sc]e"
-_V = rf"[^.]{{0,120}}?\b(?:version{_G}|v\.?\s?)"
+_V = rf"[^.]*?\b(?:version{_G}|v\.?\s?)"
 _CC = rf"(?:CC|Creative{_G}Commons)[\s#*/-]+(?:BY|Attribution)"
 NAMES = (
     ("AGPL-3.0-only", rf"{_GNU % f'Affero{_G}'}{_V}3|AGPL[-\s]?v?3(?:\.0)?"),
@@ -75,11 +120,12 @@ KEYWORD = (
     rf"|(?:released|distributed|published|provided|available){_G}under"
     rf"|public{_G}domain|permission{_G}is{_G}hereby|permission{_G}to{_G}use|redistribution{_G}and{_G}use)\b"
 )
-# A statement: from the start of the sentence or line to the end of the line, and on through the next lines as
-# long as a line ends in the middle of a sentence.
-STATEMENT = (
-    rf"(?i)(?:^|(?<=[.!?\n]))[^\n.!?]*?{KEYWORD.replace('(?i)', '')}[^\n]{{0,600}}"
-    r"(?:(?<![.!?][\x20\t\r]{0,4})\n(?![\x20\t]*(?:\r?\n|\z))[^\n]{1,600}){0,8}"
+# Where one statement ends and another begins: after a sentence, or at an empty line.
+SENTENCE = r"(?<=[.!?])[\x20\t\r\n]+|\n[\x20\t\r]*\n"
+# A sentence of more words is taken in parts: every keyword with so many words before and after it.
+LONG, BEFORE, AFTER = 24, 6, 16
+_AROUND = (
+    rf"(?i)(?<!\S)(?:\S++\s++){{0,{BEFORE}}}?\S*?{KEYWORD.replace('(?i)', '')}\S*+(?:\s++\S++){{0,{AFTER}}}+"
 )
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense|notice)(?:[._-][^/]*)?$"
 _BETWEEN = r"[^A-Za-z0-9]+"
@@ -96,9 +142,18 @@ def terms(text: Column) -> Column:
 
 
 def statements(text: Column) -> Column:
-    """What a text says about licensing: its statements, joined; empty without one."""
-    found = F.array_join(F.regexp_extract_all(text, F.lit(STATEMENT), 0), "\n")
-    return F.when(text.rlike(KEYWORD), found).otherwise(F.lit(""))
+    """array<string>: what a text says about licensing, wherever in it; empty without a keyword.
+
+    A statement is a sentence with a keyword, over line ends; of a long sentence the words around each keyword.
+    """
+    none = F.array().cast("array<string>")
+
+    def parts(sentence: Column) -> Column:
+        long_ = F.size(F.split(sentence, r"\s+")) > LONG
+        return F.when(long_, F.regexp_extract_all(sentence, F.lit(_AROUND), 0)).otherwise(F.array(sentence))
+
+    said = F.flatten(F.transform(F.filter(F.split(text, SENTENCE, -1), lambda s: s.rlike(KEYWORD)), parts))
+    return F.when(text.rlike(KEYWORD), said).otherwise(none)
 
 
 def header(text: Column) -> Column:
@@ -132,43 +187,70 @@ def full_texts() -> list[tuple[str, str]]:
     return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.glob("*.txt"))]
 
 
-def like_full_text(wholes: DataFrame) -> DataFrame:
-    """(key, license, score) of those of (key, whole) that are a full licence text by their cosine.
+def _counted(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    return rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("term")).filter("term is not null").groupBy(*keys, "term").agg(
+        F.count("*").cast("double").alias("tf")
+    )
 
-    Terms are weighed by their rarity among the full texts alone, so the corpus has no part in it.
+
+def cosines(rows: DataFrame, keys: list[str], text: str, templates: list[tuple[str, str]], name: str) -> DataFrame:
+    """(keys, license, score): the best cosine of every text with the templates of each licence it shares a term with.
+
+    The weight of a term is (1 + ln tf) times its rarity ln((licences + 1) / (licences with it + 1)) + 1; a term of no
+    template weighs 1, so that the words around a notice count little. Rounded to six digits.
     """
-    texts = full_texts()
-    given = wholes.sparkSession.createDataFrame(texts, "license string, whole string")
-    count = lambda df, key: df.select(key, F.explode(terms(F.col("whole"))).alias("term")).groupBy(key, "term").agg(
-        F.count("*").alias("tf")
-    )
-    own = written(count(given, "license"), "licence-full")
-    known = own.groupBy("term").agg(F.count("*").alias("in_texts"))
-    rarity = F.log(F.lit(float(len(texts)) + 1) / (F.coalesce("in_texts", F.lit(0)) + 1)) + 1
-    weight = (1 + F.log(F.col("tf").cast("double"))) * rarity
+    given = [(i, licence, wording) for i, (licence, wording) in enumerate(templates)]
+    own = _counted(rows.sparkSession.createDataFrame(given, "template int, license string, wording string"), ["template", "license"], "wording")
+    own = written(own, f"{name}-templates")
+    licences = len({licence for licence, _ in templates})
+    rarity = own.groupBy("term").agg((F.log(F.lit(licences + 1.0) / (F.count_distinct("license") + 1)) + 1).alias("rarity"))
+    weight = (1 + F.log("tf")) * F.coalesce("rarity", F.lit(1.0))
     length = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
-    vectors = own.join(known, "term").withColumn("w", weight)
-    template = vectors.join(vectors.groupBy("license").agg(length), "license").select(
-        "license", "term", (F.col("w") / F.col("length")).alias("t")
-    )
-    # All templates of a term in one row: each term of a file meets one row.
-    held = template.groupBy("term").agg(F.collect_list(F.struct("license", "t")).alias("held"))
-    held = written(held.join(known, "term"), "licence-full-terms")
+    vectors = own.join(rarity, "term").withColumn("w", weight)
+    vectors = vectors.join(vectors.groupBy("template").agg(length), "template").withColumn("t", F.col("w") / F.col("length"))
+    # All templates of a term in one row: each term of a text meets one row. As large as the list of templates.
+    held = vectors.groupBy("term").agg(F.collect_list(F.struct("template", "license", "t")).alias("held"))
+    held = written(held.join(rarity, "term"), f"{name}-terms")
     weighed = written(
-        count(wholes, "key").join(F.broadcast(held), "term", "left").withColumn("w", weight).select("key", "w", "held"),
-        "licence-whole",
+        _counted(rows, keys, text).join(F.broadcast(held), "term", "left").withColumn("w", weight).select(*keys, "w", "held"), f"{name}-weighed"
     )
-    size = weighed.groupBy("key").agg(length)
     product = (
-        weighed.filter("held is not null").select("key", "w", F.explode("held").alias("h"))
-        .groupBy("key", "h.license").agg(F.sum(F.col("w") * F.col("h.t")).alias("p"))
+        weighed.filter("held is not null").select(*keys, "w", F.explode("held").alias("h"))
+        .groupBy(*keys, "h.template", "h.license").agg(F.sum(F.col("w") * F.col("h.t")).alias("p"))
     )
-    score = F.round(F.col("p") / F.col("length"), 6)
-    return (
-        product.join(size, "key").withColumn("score", score).filter(F.col("score") >= FULL_LEAST)
-        .groupBy("key")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b"))
-        .select("key", F.col("b.l").alias("full"), (-F.col("b.s")).alias("full_score"))
+    score = F.max(F.round(F.col("p") / F.col("length"), 6)).alias("score")
+    return product.join(weighed.groupBy(*keys).agg(length), keys).groupBy(*keys, "license").agg(score)
+
+
+def like_full_text(wholes: DataFrame) -> DataFrame:
+    """(key, full, full_score) of those of (key, whole) that are a full licence text by their cosine."""
+    scored = cosines(wholes, ["key"], "whole", full_texts(), "licence-full").filter(F.col("score") >= FULL_LEAST)
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))).alias("b")
+    return scored.groupBy("key").agg(best).select("key", F.col("b.l").alias("full"), (-F.col("b.s")).alias("full_score"))
+
+
+def judged_statements(said: DataFrame, templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(h1, h2, own, score, by, declares) of distinct statements (h1, h2, statement).
+
+    ``own`` is the licence of the best cosine from ``least`` on, ``by`` "text", or "name" where licences within TIE of the best
+    were told apart by the name in the statement; equal ones without a name go by the licence's name.
+    """
+    keys = ["h1", "h2"]
+    scored = cosines(said, keys, "statement", list(templates), "licence-notices")
+    best = scored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("license").alias("l")))).alias("found"))
+    near = F.filter("found", lambda x: x["s"] <= F.get("found", F.lit(0))["s"] + TIE)
+    by_name = F.filter("near", lambda x: x["l"] == F.col("named"))
+    top = F.get("near", F.lit(0))
+    chosen = F.when(F.size(by_name) > 0, F.get(by_name, F.lit(0))).otherwise(top)
+    judged = (
+        said.select(*keys, named(F.col("statement")).alias("named"), F.col("statement").rlike(DECLARES).alias("declares"))
+        .join(best, keys, "left").withColumn("near", near)
+        .withColumns({"chosen": chosen, "top": top})
+    )
+    sure = -F.col("top.s") >= least
+    return judged.select(
+        *keys, F.when(sure, F.col("chosen.l")).alias("own"), F.coalesce(-F.col("chosen.s"), F.lit(0.0)).alias("score"),
+        F.when(sure, F.when(F.col("chosen.l") != F.col("top.l"), "name").otherwise("text")).alias("by"), "declares",
     )
 
 
@@ -185,92 +267,49 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
     """(doc_id, path, license, score, declared_by, inherited_from) of every row of (doc_id, path, text).
 
     Licence files as a whole and the leading comment or paragraph of other files are compared with full licence
-    texts first, and are that licence from a cosine of ``FULL_LEAST`` on, which then is the ``score``.
-    ``declared_by`` is "text", "directory" or null. A licence named in a file's statements is taken by its name. Without
-    a name the template of the best cosine is taken from ``least`` on, equal ones by the licence's name, unless the
-    words are "licensed under" and the like: then the file states a licence that is not known here, ``license`` is
-    null and ``declared_by`` "text". ``score`` is the cosine of the statements with the template of the licence taken,
-    if it has none with the best (0 without statements), rounded to six digits. A file that states a licence, known or not,
-    inherits none. A licence file
-    (LICENSE, COPYING ...) with a licence gives it to its directory and all below, unless a nearer one does; of
-    several in one directory the best score and then the first name counts.
-
-    Terms are counted per file before they are joined: a source with a third of all files adds counts, not
-    pairs, and each file meets only the templates, a fixed list that is broadcast. Directories are joined by
-    path, level by level in the file's own row, with the licence files' directories. Null paths have no
-    directory, null and empty texts state nothing, repeated rows are judged alike and an
-    empty table gives no rows. Other columns are not read.
+    texts first, and are that licence from a cosine of ``FULL_LEAST`` on, which then is the ``score``. Else a file's
+    licence is that of its statement with the best cosine, from ``least`` on (equal ones: the first statement).
+    ``declared_by`` is "text", "name" (a name told near ties apart), "directory" or null. A statement that says
+    "licensed under" and the like without reaching ``least`` states a licence that is not known here: ``license`` is
+    null and ``declared_by`` "text". ``score`` is the best cosine of the file's statements (0 without any), rounded to six
+    digits. A file that states a licence, known or not, inherits none. A licence file (LICENSE, COPYING ...) with a
+    licence gives it to its directory and all below, unless a nearer one does; of several in one directory the
+    best score and then the first name counts.
+
+    Equal statements are judged once, under two 64-bit hashes; a statement meets only the templates, a fixed list that is
+    broadcast. Directories are joined by path, level by level in the file's own row, with the licence files'
+    directories. Null paths have no directory, null and empty texts state nothing, texts of any length are searched
+    whole, repeated rows are judged alike and an empty table gives no rows. Other columns are not read.
     """
-    spark: SparkSession = files.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     given = files.select(
         "doc_id", F.col("path").cast("string").alias("path"), statements(text).alias("said"),
-        compared_whole(F.col("path").cast("string"), text).alias("whole"),
+        compared_whole(F.col("path").cast("string"), text).alias("whole"), F.monotonically_increasing_id().alias("_row"),
     )
-    # A file that is not compared whole has a key of its own, which meets nothing.
-    key = F.when(F.col("whole") != "", F.xxhash64(F.lit(0), "whole")).otherwise(
-        F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), "path")
-    )
-    stated = written(given.withColumn("key", key), "licence-statements")
+    stated = written(given, "licence-statements").withColumn("key", F.xxhash64("whole"))
     wholes = stated.filter("whole != ''").groupBy("key").agg(F.first("whole").alias("whole"))
     full = written(like_full_text(wholes), "licence-full-found")
-    # The same statement in many files is weighed once and counted for all of them.
-    distinct = stated.filter("said != ''").groupBy("said").agg(F.count("*").alias("files"))
-    counted = written(
-        distinct.withColumn("_row", F.xxhash64("said")).select(
-            "said", "files", F.explode_outer(terms(F.col("said"))).alias("term")
-        )
-        .groupBy("said", "files", "term").agg(F.count("*").alias("tf")),
-        "licence-terms",
-    )
-    frequency = counted.groupBy("term").agg(F.sum("files").alias("df"))
-    n = stated.filter("said != ''").count()
-    given = spark.createDataFrame([*templates], "license string, said string")
-    own = given.select("license", F.explode(terms(F.col("said"))).alias("term")).groupBy("license", "term").agg(
-        F.count("*").alias("tf")
+    spoken = stated.filter("size(said) > 0").select("_row", F.posexplode("said").alias("at", "statement"))
+    spoken = spoken.withColumns({"h1": F.xxhash64("statement"), "h2": F.xxhash64(F.lit("second"), "statement")})
+    distinct = written(spoken.groupBy("h1", "h2").agg(F.first("statement").alias("statement")), "licence-distinct")
+    judged = written(judged_statements(distinct, templates, least), "licence-judged")
+    first = F.struct(F.col("own").isNull().alias("none"), (-F.col("score")).alias("s"), "at", "own", "by")
+    per_file = (
+        spoken.select("_row", "at", "h1", "h2").join(judged, ["h1", "h2"])
+        .groupBy("_row").agg(F.min(first).alias("b"), F.max("declares").alias("declares"))
+        .select("_row", F.col("b.own").alias("own"), (-F.col("b.s")).alias("score"), F.col("b.by").alias("by"), "declares")
     )
-    most = float(min(n, MOST_FILES))
-    idf = F.log((F.lit(most) + 1) / (F.coalesce("df", F.lit(0)) * (most / max(n, 1)) + 1)) + 1
-
-    # Rare terms tell licences apart in the templates as well.
-    known = own.groupBy("term").agg(F.count_distinct("license").alias("in_templates"))
-    rarity = F.log(F.lit(float(len(templates)) + 1) / (F.coalesce("in_templates", F.lit(0)) + 1)) + 1
-    weight = (1 + F.log(F.col("tf").cast("double"))) * idf * rarity
-    vectors = (
-        own.join(frequency, "term", "left").join(known, "term").withColumn("w", weight)
-        .select("license", "term", "w")
-    )
-    lengths = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    template = written(vectors.join(lengths, "license").select("license", "term", (F.col("w") / F.col("length")).alias("t")), "templates")
-    # Only terms of templates can add to a product; all terms add to a file's length.
-    weighed = counted.join(frequency, "term").join(F.broadcast(known), "term", "left").withColumn("w", weight)
-    size = weighed.groupBy("said").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    product = weighed.join(F.broadcast(template), "term").groupBy("said", "license").agg(F.sum(F.col("w") * F.col("t")).alias("p"))
-    cosine = F.round(F.col("p") / F.col("length"), 6)
-    scored = product.join(size, "said").select("said", "license", cosine.alias("score"))
-    pick = lambda which: F.min(F.when(which, F.struct((-F.col("score")).alias("s"), F.col("license").alias("l"))))
-    best = (
-        distinct.select("said", named(F.col("said")).alias("named"), F.col("said").rlike(DECLARES).alias("declares"))
-        .join(scored, "said", "left")
-        .groupBy("said", "named", "declares")
-        .agg(pick(F.col("license") == F.col("named")).alias("its"), pick(F.col("license").isNotNull()).alias("any"))
-        .select(
-            "said", "declares",
-            F.coalesce("named", F.when(~F.col("declares") & (-F.col("any.s") >= least), F.col("any.l"))).alias("own"),
-            F.coalesce(-F.col("its.s"), -F.col("any.s")).alias("score"),
-        )
+    # Most files state nothing; they stay out of the joins.
+    silent = stated.filter("size(said) = 0 and coalesce(whole, '') = ''").select("doc_id", "path").withColumns(
+        {"own": F.lit(None).cast("string"), "score": F.lit(0.0), "by": F.lit(None).cast("string"), "states": F.lit(False)}
     )
-    # Most files state nothing; they stay out of the join, where they would all have one key.
-    columns = ("doc_id", "path", "own", "score", "declares", "key")
-    silent = stated.filter("said = ''").withColumns(
-        {"own": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "declares": F.lit(False)}
+    loud = stated.filter("size(said) > 0 or whole != ''").drop("said", "whole").join(per_file, "_row", "left").join(full, "key", "left")
+    loud = loud.select(
+        "doc_id", "path", F.coalesce("full", "own").alias("own"), F.coalesce("full_score", "score", F.lit(0.0)).alias("score"),
+        F.when(F.col("full").isNotNull(), "text").otherwise(F.col("by")).alias("by"),
+        (F.coalesce("full", "own").isNotNull() | F.coalesce("declares", F.lit(False))).alias("states"),
     )
-    spoken = stated.filter("said != ''").join(best, "said", "left")
-    judged = spoken.select(*columns).unionByName(silent.select(*columns)).join(full, "key", "left")
-    judged = judged.withColumns(
-        {"own": F.coalesce("full", "own"), "score": F.coalesce("full_score", "score", F.lit(0.0))}
-    ).withColumn("states", F.col("own").isNotNull() | F.coalesce("declares", F.lit(False))).drop("key", "full", "full_score")
-    judged = written(judged, "licence-own")
+    judged = written(loud.unionByName(silent), "licence-own")
     declared = (
         judged.filter(F.col("own").isNotNull() & F.col("path").rlike(LICENCE_FILE))
         .groupBy(directory(F.col("path")).alias("dir"))
@@ -291,7 +330,7 @@ def scan_licenses(files: DataFrame, templates=TEMPLATES, least: float = LEAST) -
         "doc_id", "path",
         F.when(F.col("states"), F.col("own")).otherwise(F.col("_license")).alias("license"),
         "score",
-        F.when(F.col("states"), "text").when(F.col("_license").isNotNull(), "directory").alias("declared_by"),
+        F.when(F.col("states"), F.coalesce("by", F.lit("text"))).when(F.col("_license").isNotNull(), "directory").alias("declared_by"),
         F.when(~F.col("states"), F.col("_from")).alias("inherited_from"),
     )
 

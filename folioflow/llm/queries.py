@@ -93,7 +93,7 @@ def op5_license_scan(spark, sf):
     that states a licence stands for a LICENSE file, from which the others inherit: of ids ending in 0 for its ten
     thousand, in 1 to 3 for its thousand, else for its hundred."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    docs = docs.withColumn("states", licenses.statements(F.col("text")) != "")
+    docs = docs.withColumn("states", F.size(licenses.statements(F.coalesce("text", F.lit("")))) > 0)
     step = lambda size: F.floor(F.col("doc_id") / size).cast("string")
     states, last = F.col("states"), F.col("doc_id") % 10
     folder = F.concat_ws(

@@ -1,6 +1,7 @@
 """Licence scan on a small tree whose answers are plain, and term weights against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -14,24 +15,101 @@ def terms(text):
     return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
 
 
-def scores(said_by_file):
-    """Cosine of every statement with every template, from the definition."""
-    df = Counter(t for said in said_by_file for t in terms(said))
-    own = {name: terms(text) for name, text in licenses.TEMPLATES}
-    inside = Counter(t for v in own.values() for t in v)
-    n, k = len(said_by_file), len(own)
+def cosines(texts, templates):
+    """Best cosine of every text with each licence, from the definition."""
+    own = [(name, terms(wording)) for name, wording in templates]
+    licences = {name for name, _ in own}
+    df = {t: len({name for name, v in own if t in v}) for _, v in own for t in v}
 
     def vector(counts):
-        return {
-            t: (1 + math.log(c)) * (math.log((n + 1) / (df[t] + 1)) + 1) * (math.log((k + 1) / (inside[t] + 1)) + 1)
-            for t, c in counts.items()
-        }
+        rarity = lambda t: math.log((len(licences) + 1) / (df[t] + 1)) + 1 if t in df else 1.0
+        return {t: (1 + math.log(c)) * rarity(t) for t, c in counts.items()}
 
     def cosine(a, b):
         length = lambda v: math.sqrt(sum(x * x for x in v.values()))
-        return sum(x * b.get(t, 0) for t, x in a.items()) / length(a) / length(b)
+        return sum(x * b.get(t, 0) for t, x in a.items()) / length(a) / length(b) if a else 0
 
-    return {said: {name: cosine(vector(terms(said)), vector(v)) for name, v in own.items()} for said in set(said_by_file)}
+    out = {}
+    for text in texts:
+        scores = {name: max(cosine(vector(terms(text)), vector(v)) for n, v in own if n == name) for name in licences}
+        out[text] = {name: s for name, s in scores.items() if s > 0}
+    return out
+
+
+def test_cosines_by_definition(spark):
+    rng = random.Random(4)
+    words = sorted({w for _, t in licenses.TEMPLATES for w in re.split("[^A-Za-z0-9]+", t) if w}) + ["foo", "Bar", "9", "é"]
+    texts = [t for _, t in licenses.TEMPLATES] + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(999, "")], "key long, text string")
+    got = {}
+    for r in licenses.cosines(rows, ["key"], "text", list(licenses.TEMPLATES), "test").collect():
+        got.setdefault(texts[r.key], {})[r.license] = r.score
+    want = cosines(texts, licenses.TEMPLATES)
+    for text in texts:
+        assert got.get(text, {}).keys() == want[text].keys()
+        assert all(abs(got[text][n] - s) < 2e-6 for n, s in want[text].items())
+    own = dict((t, n) for n, t in licenses.TEMPLATES)
+    assert all(max(got[t], key=got[t].get) == n for t, n in own.items())
+    full = licenses.full_texts()
+    parts = [t[: len(t) * k // 4] for _, t in full for k in (1, 2, 3, 4)]
+    scored = licenses.like_full_text(spark.createDataFrame(list(enumerate(parts)), "key long, whole string")).collect()
+    want = cosines(parts, full)
+    best = {i: max(want[p].values()) for i, p in enumerate(parts) if max(want[p].values()) >= licenses.FULL_LEAST}
+    assert {r.key for r in scored} == set(best) and all(abs(r.full_score - best[r.key]) < 2e-6 for r in scored)
+
+
+def test_inheritance_on_random_trees(spark):
+    rng = random.Random(5)
+    wording = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "Licensed under the Foo Terms of ours.", "": "plain words"}
+    files = []
+    for i in range(400):
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 5)))
+        name = rng.choice(["LICENSE", "COPYING.txt", "x.c", "y.py", "z"]) if i % 4 == 0 else f"f{i}"
+        files.append((i, f"{folder}/{name}".lstrip("/"), rng.choice(list(wording))))
+    files = list({p: (i, p, kind) for i, p, kind in files}.values())
+    docs = spark.createDataFrame([(i, p, wording[kind]) for i, p, kind in files], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.declared_by, r.inherited_from) for r in licenses.scan_licenses(docs).collect()}
+    scored = {k: max(v.values()) for k, v in cosines([w.rstrip(".") for w in wording.values()], licenses.TEMPLATES).items() if v}
+    given = {}
+    for i, p, kind in files:
+        if kind and re.search(licenses.LICENCE_FILE, p):
+            folder = p.rpartition("/")[0]
+            key = (-round(scored[wording[kind].rstrip(".")], 6), kind, p)
+            given[folder] = min(given.get(folder, key), key)
+    for i, p, kind in files:
+        if kind != "":
+            assert got[p] == (kind, "text", None)
+            continue
+        folder = p.rpartition("/")[0]
+        while folder not in given and folder:
+            folder = folder.rpartition("/")[0]
+        want = (given[folder][1], "directory", given[folder][2]) if folder in given else (None, None, None)
+        assert got[p] == want
+
+
+def test_no_cap_on_a_line(spark):
+    gpl = "this work is licensed under the GNU General Public License, version 3"
+    given = [
+        ("a/LICENSE", "word " * 150 + gpl, "GPL-3.0-only"), ("b/x", "w " * 5_000 + "released under the MIT License " + "w " * 5_000, "MIT"),
+        ("c/x", "\n".join(["one more line of words"] * 30 + [gpl] + ["and lines after it"] * 30), "GPL-3.0-only"),
+        ("d/x", "x" * 60_000 + " licensed under the BSD 2-Clause License", "BSD-2-Clause"),
+        ("e/x", "GNU General Public License, " + "which is a licence of some age " * 30 + ", version 2", "GPL-1.0-or-later"),
+        ("f/x", "license " * 20_000, None),
+    ]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(given)], "doc_id long, path string, text string")
+    got = {r.path: r.license for r in licenses.scan_licenses(docs).collect()}
+    assert {p: got[p] for p, _, want in given if p != "e/x"} == {p: want for p, _, want in given if p != "e/x"}
+
+
+def test_names_decide_near_ties_only(spark):
+    near = [("A-1.0", "licensed under the house rules of old"), ("B-1.0", "licensed under the house rules of new")]
+    said = [(1, 1, "licensed under the house rules"), (2, 2, "licensed under the house rules, MIT License"), (3, 3, "licensed under the house rules of new")]
+    rows = spark.createDataFrame(said, "h1 long, h2 long, statement string")
+    got = {r.h1: (r.own, r.by) for r in licenses.judged_statements(rows, near).collect()}
+    assert got[1] == ("A-1.0", "text") and got[3] == ("B-1.0", "text")
+    near.append(("MIT", "licensed under the house rules of now"))
+    got = {r.h1: (r.own, r.by) for r in licenses.judged_statements(rows, near).collect()}
+    assert got[2] == ("MIT", "name") and got[1] == ("A-1.0", "text")
 
 
 def test_scan(spark):
@@ -56,11 +134,9 @@ def test_scan(spark):
     assert got[6, "top.txt"] == [(None, None, None)] == got[10, "é/ü/f"]
     assert got[7, "q/own.txt"] == [("CC-BY-NC-4.0", "text", None)] == got[8, None]
     assert got[9, "a/b/y"] == [("GPL-3.0-only", "directory", "a/b/LICENSE.md")] * 3
-    said = [r.said for r in docs.select(licenses.statements(docs.text).alias("said")).collect() if r.said]
-    want = scores(said)
     own = {r.doc_id: r.score for r in rows if r.doc_id in (1, 4, 7)}
-    for doc_id, text in ((1, apache), (4, gpl), (7, nc)):
-        assert abs(own[doc_id] - max(want[text].values())) < 2e-6
+    for doc_id, text in ((1, apache), (4, gpl), (7, f"text {nc}")):
+        assert abs(own[doc_id] - max(cosines([text], licenses.TEMPLATES)[text].values())) < 2e-6
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
