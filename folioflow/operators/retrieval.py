@@ -2,11 +2,11 @@
 
 Scores are matrix products over blocks of vectors inside the tasks; what leaves a
 task is at most top_k rows per question, never a pair list. Two ways share that block
-step and give the same hits:
+step and give the same hits; the caller says which:
 
-* few questions (a bounded fetch proves it): the question block is broadcast and the
-  points are scanned where they lie, with no shuffle of vectors;
-* many questions: points and questions are cut into blocks by hash within each
+* ``way="broadcast"``, for few questions (a bounded fetch proves it, more are refused): the
+  question block is broadcast and the points are scanned where they lie, with no shuffle of vectors;
+* ``way="blocks"``, for any number: points and questions are cut into blocks by hash within each
   tenant, so a tenant with a third of all points is just more blocks.
 """
 
@@ -185,7 +185,21 @@ def _prepared(queries: DataFrame, tenant: str | None, top_k: int | None) -> Data
         F.coalesce(k, F.lit(DEFAULT_TOP_K)).cast("int").alias("top_k"),
         docs.cast("array<string>").alias("doc_ids"),
         "vector",
-    ).filter("vector is not null and top_k > 0")
+    )
+
+
+def _reason(tenant: str = "_tenant") -> Column:
+    return (
+        F.when(F.col("vector").isNull(), "no vector")
+        .when(F.col("top_k") < MIN_TOP_K, "top_k out of range")
+        .when(F.col(tenant).isNull(), "no tenant")
+    )
+
+
+def rejected_questions(queries: DataFrame, top_k: int | None = None, tenant: str | None = "user_id") -> DataFrame:
+    """(query_id, reject_reason) of the questions that ``knn`` and ``knn_approx`` leave out."""
+    asked = _prepared(queries, tenant, top_k).withColumn("reject_reason", _reason())
+    return asked.filter("reject_reason is not null").select("query_id", "reject_reason")
 
 
 def _hit_schema(points: DataFrame, payload: list[str]) -> T.StructType:
@@ -304,12 +318,16 @@ def knn(
     tenant: str | None = "user_id",
     filters: list[tuple] = (),
     payload: tuple[str, ...] = PAYLOAD,
+    way: str = "broadcast",
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     point_block: int = POINT_BLOCK,
     query_block_size: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact top-k: (query_id, rank, score, payload ...).
 
+    ``way`` is "broadcast" for up to ``max_broadcast_queries`` questions or "blocks" for any number. Questions without a
+    vector or tenant, or with a top_k below 1, have no hits; ``rejected_questions`` lists them.
+
     A question sees only points of its own ``tenant`` value and, if it brings
     ``doc_ids``, only those documents. ``threshold`` is a lower bound for
     similarities (0 if not given) and an upper bound for distances. Scores are compared
@@ -318,16 +336,23 @@ def knn(
     payload = list(dict.fromkeys(["chunk_id", *payload]))
     points = apply_filters(points, list(filters))
     threshold = _bound(metric, threshold)
-    asked = _prepared(queries, tenant, top_k)
-    # The bounded fetch never brings more than the limit to the driver.
-    limit = max_broadcast_queries
-    rows = asked.limit(limit + 1).collect() if limit else []
-    if limit and len(rows) <= limit:
+    asked = _prepared(queries, tenant, top_k).filter(_reason().isNull())
+    if way == "broadcast":
+        # The bounded fetch never brings more than the limit to the driver.
+        rows = asked.limit(max_broadcast_queries + 1).collect()
+        if len(rows) > max_broadcast_queries:
+            raise ValueError(f"more than {max_broadcast_queries} questions: use way='blocks'")
         hits = _scan_with_broadcast(points, rows, tenant, payload, metric, threshold)
         return _ranked(hits, metric, max((r["top_k"] for r in rows), default=0))
+    if way != "blocks":
+        raise ValueError(f"no such way: {way}")
     keyed = points.filter("vector is not null").withColumn("_tenant", F.col(tenant) if tenant else F.lit(""))
     hits = _block_join(keyed, asked, ["_tenant"], payload, metric, threshold, point_block, query_block_size)
-    return _ranked(hits, metric)
+    return _ranked(hits, metric, _largest_top_k(asked))
+
+
+def _largest_top_k(asked: DataFrame) -> int:
+    return asked.agg(F.max("top_k")).first()[0] or 0
 
 
 def fit_lists(points: DataFrame, lists: int, seed: int = 7, iterations: int = 10):
@@ -378,7 +403,7 @@ def knn_approx(
     """
     payload = list(dict.fromkeys(["chunk_id", *payload]))
     centres = np.array(model.clusterCenters())
-    asked = _prepared(queries, tenant, top_k)
+    asked = _prepared(queries, tenant, top_k).filter(_reason().isNull())
     probes = min(probes, len(centres))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +432,7 @@ def knn_approx(
         keyed, probed, ["_tenant", "_list"], payload, metric, _bound(metric, threshold),
         point_block, query_block_size,
     )
-    return _ranked(hits, metric)
+    return _ranked(hits, metric, _largest_top_k(asked))
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ RAW_FILES = _table(
 EXTRACTED = _table(
     ("doc_id", _S), ("user_id", _S), ("filename", _S), ("source_path", _S),
     ("text", _S), ("page_count", _I), ("status", _S), ("error", _S),
+    # Where each page ends in the text, in characters.
+    ("page_ends", T.ArrayType(_I)),
 )
 
 DOC_REPORT = _table(
@@ -42,7 +44,7 @@ VECTOR = T.ArrayType(T.FloatType())
 
 POINTS = _table(
     ("point_id", _S), ("chunk_id", _S), ("doc_id", _S), ("user_id", _S), ("filename", _S),
-    ("chunk_index", _I), ("text", _S), ("vector", VECTOR),
+    ("chunk_index", _I), ("page_number", _I), ("text", _S), ("vector", VECTOR),
 )
 
 # Layout information is declared by the data model but no stage produces it.

@@ -54,7 +54,7 @@ def test_knn_equals_brute_force(spark):
 
 def test_block_join_gives_the_same_hits(spark):
     points, queries, pts, qs = make(spark)
-    blocks = retrieval.knn(points, queries, max_broadcast_queries=0, point_block=50, query_block_size=4)
+    blocks = retrieval.knn(points, queries, way="blocks", point_block=50, query_block_size=4)
     close(found(blocks), brute(pts, qs, "cosine", 0.0))
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
