@@ -43,6 +43,30 @@ STATUS_LABELS = {
 }
 
 
+def running_sums(lengths: Column) -> Column:
+    """Running totals of an array<int> in as many passes as the logarithm of its size."""
+    doublings = F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")
+    steps = F.when(doublings > 0, F.sequence(F.lit(0), doublings - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        steps, lengths,
+        lambda sums, step: F.transform(
+            sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), step)), F.lit(0))
+        ),
+    )
+
+
+def count_at_most(items: Column, value: Column) -> Column:
+    """How many of the ascending ``items`` are not above ``value``: a search by halves, bit by bit of the count."""
+    top = F.floor(F.log2(F.greatest(F.size(items), F.lit(1)))).cast("int")
+
+    def widen(count: Column, bit: Column) -> Column:
+        more = count + F.call_function("shiftleft", F.lit(1), bit)
+        fits = F.coalesce(F.get(items, more - 1) <= value, F.lit(False))
+        return F.when(fits, more).otherwise(count)
+
+    return F.aggregate(F.sequence(top, F.lit(0), F.lit(-1)), F.lit(0), widen)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACE_CHARS))
 

@@ -6,11 +6,16 @@ shuffle and a user or source with very many documents is no special case.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions import ids
-from folioflow.functions.text import SPACE, strip
+from folioflow.functions.text import SPACE, SPACE_CHARS, count_at_most, running_sums, strip
 
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
@@ -43,13 +48,21 @@ def split_clauses(text: Column) -> Column:
     )
 
 
-def _clause_pieces(docs: DataFrame, size: int) -> DataFrame:
+def _placed(text: Column, start: Column) -> Column:
+    """struct(text, start) of a stripped text that began at ``start``."""
+    return F.struct(
+        strip(text).alias("text"), (start + F.length(text) - F.length(F.ltrim(text, F.lit(SPACE_CHARS)))).alias("start")
+    )
+
+
+def _clause_pieces(docs: DataFrame, size: int, places: bool = False) -> DataFrame:
     """Clause parts packed greedily up to ``size`` characters, as column ``pieces``.
 
     Only lengths decide where a chunk ends, so the fold carries integers: the first part
     of every chunk. The chunks are then joined from the parts in one go. A part longer
     than ``size`` stays whole; blank chunks are dropped. Each step reads the one before
-    several times, which keeps Spark from evaluating a step more than once per row.
+    several times, which keeps Spark from evaluating a step more than once per row. With ``places``
+    a piece is a struct of its text and the character it starts at.
     """
     none_yet = F.struct(F.lit(1).alias("part"), F.lit(0).alias("chars"), F.array(F.lit(1)).alias("starts"))
 
@@ -64,44 +77,54 @@ def _clause_pieces(docs: DataFrame, size: int) -> DataFrame:
     lengths = F.transform("parts", lambda p: F.length(p))
     starts = F.aggregate(lengths, none_yet, pack, lambda acc: F.array_append(acc["starts"], acc["part"]))
 
-    def join(start: Column, index: Column) -> Column:
-        count = F.get(F.col("starts"), index + 1) - start
-        return strip(F.array_join(F.slice("parts", start, count), ""))
+    def joined(start: Column, index: Column) -> Column:
+        return F.array_join(F.slice("parts", start, F.get(F.col("starts"), index + 1) - start), "")
 
     first_parts = F.slice("starts", F.lit(1), F.size("starts") - 1)
-    pieces = F.filter(F.transform(first_parts, join), lambda p: p != "")
-    return (
-        docs.withColumn("parts", split_clauses(F.col("text")))
-        .withColumn("starts", starts)
-        .withColumn("pieces", pieces)
-    )
+    cut = docs.withColumn("parts", split_clauses(F.col("text"))).withColumn("starts", starts)
+    if not places:
+        pieces = F.filter(F.transform(first_parts, lambda s, i: strip(joined(s, i))), lambda p: p != "")
+        return cut.withColumn("pieces", pieces)
+    before = lambda part: F.coalesce(F.get("sums", part - 2), F.lit(0))
+    pieces = F.transform(first_parts, lambda s, i: _placed(joined(s, i), before(s)))
+    return cut.withColumn("sums", running_sums(lengths)).withColumn("pieces", F.filter(pieces, lambda p: p["text"] != ""))
+
+
+_PLACED = pa.struct([("text", pa.string()), ("start", pa.int32())])
+
+
+def _python_pieces(text: Column, cut: Callable[[str], Iterator[tuple[str, int]]], places: bool) -> Column:
+    """The stripped, non-blank pieces that ``cut`` gives for a text with their starts."""
+
+    def tidy(doc: str) -> list:
+        found = ((p.strip(), at + len(p) - len(p.lstrip())) for p, at in cut(doc))
+        return [{"text": p, "start": at} if places else p for p, at in found if p]
+
+    @F.arrow_udf("array<struct<text:string,start:int>>" if places else "array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([tidy(t or "") for t in texts.to_pylist()], pa.list_(_PLACED if places else pa.string()))
 
+    return run(text)
 
-def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+
+def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, places: bool = False) -> Column:
     """array<string>: windows of ``size`` ending at the last ``.``, newline or ``?`` inside.
 
     Windows overlap by ``overlap`` unless that would not move forward, and the
-    window that reaches the end of the text is the last one.
+    window that reaches the end of the text is the last one. With ``places`` structs of text and start.
     """
 
-    def windows(doc: str) -> list[str]:
-        pieces, start = [], 0
-        while start < len(doc):
-            end = start + size
-            if end < len(doc):
-                stop = max(doc.rfind(mark, start, end) for mark in ".\n?")
-                end = stop + 1 if stop >= 0 else end
-            pieces.append(doc[start:end].strip())
-            if end >= len(doc):
-                break
-            start = end - overlap if end - overlap > start else end
-        return [p for p in pieces if p]
-
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return pa.array([windows(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+    def windows(doc: str) -> Iterator[tuple[str, int]]:
+        stops = [m.end() for m in re.finditer(r"[.\n?]", doc)]
+        begin = 0
+        while begin + size < len(doc):
+            last = bisect_right(stops, begin + size) - 1
+            end = stops[last] if last >= 0 and stops[last] > begin else begin + size
+            yield doc[begin:end], begin
+            begin = end - overlap if end - overlap > begin else end
+        yield doc[begin:], begin
 
-    return cut(text)
+    return _python_pieces(text, windows, places)
 
 
 def recursive_chunks(
@@ -109,6 +132,7 @@ def recursive_chunks(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     separators: tuple[str, ...] = SEPARATORS,
+    places: bool = False,
 ) -> Column:
     """array<string>: split at the coarsest separator present, finer only where needed."""
 
@@ -121,32 +145,26 @@ def recursive_chunks(
         head, *tail = doc.split(sep)
         return [p for part in [head, *(sep + t for t in tail)] if part for p in pieces_of(part, level + 1)]
 
-    def merge(pieces: list[str]) -> list[str]:
-        out, window, length = [], [], 0
-        for piece in pieces:
+    def merged(doc: str) -> Iterator[tuple[str, int]]:
+        window, length, begin = deque(), 0, 0
+        for piece in pieces_of(doc, 0):
             if window and length + len(piece) > size:
-                out.append("".join(window))
+                yield "".join(window), begin
                 while window and (length > overlap or length + len(piece) > size):
-                    length -= len(window.pop(0))
+                    gone = len(window.popleft())
+                    length, begin = length - gone, begin + gone
             window.append(piece)
             length += len(piece)
-        out.append("".join(window))
-        return [c.strip() for c in out if c.strip()]
-
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array) -> pa.Array:
-        return pa.array(
-            [merge(pieces_of(t or "", 0)) for t in texts.to_pylist()], pa.list_(pa.string())
-        )
+        yield "".join(window), begin
 
-    return cut(text)
+    return _python_pieces(text, merged, places)
 
 
-def _pieces(docs: DataFrame, mode: str, size: int, overlap: int) -> DataFrame:
+def _pieces(docs: DataFrame, mode: str, size: int, overlap: int, places: bool = False) -> DataFrame:
     if mode == "clause":
-        return _clause_pieces(docs, size)
+        return _clause_pieces(docs, size, places)
     cut = {"fixed": fixed_chunks, "recursive": recursive_chunks}[mode]
-    return docs.withColumn("pieces", cut(F.col("text"), size, overlap))
+    return docs.withColumn("pieces", cut(F.col("text"), size, overlap, places=places))
 
 
 def chunk_documents(
@@ -156,20 +174,38 @@ def chunk_documents(
     overlap: int = CHUNK_OVERLAP,
     links: bool = False,
     clause_meta: bool = False,
+    pages: bool = False,
+    before: bool = False,
 ) -> DataFrame:
     """One row per chunk of (doc_id, user_id, filename, text) documents.
 
     ``links`` adds prev_chunk_id / next_chunk_id, ``clause_meta`` adds clause_number,
-    section_type and parent_section. Both come from the document's own row.
-    Clause mode has no overlap.
+    section_type and parent_section, ``pages`` adds page_number (of the chunk's first character, from the documents'
+    ``page_ends``; null without) and ``before`` adds prev_text, the chunk before. All come from the document's own
+    row. Clause mode has no overlap.
     """
+    ends = F.col("page_ends") if "page_ends" in docs.columns else F.lit(None).cast("array<int>")
     docs = docs.select(
         F.coalesce("doc_id", F.lit("unknown")).alias("doc_id"), "user_id", "filename",
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"), *([ends.alias("ends")] if pages else []),
     )
-    cut = _pieces(docs, mode, size, overlap).select("doc_id", "user_id", "filename", "pieces")
+    cut = _pieces(docs, mode, size, overlap, places=pages)
+    text_of = (lambda p: p["text"]) if pages else (lambda p: p)
+    fields = {}
     if clause_meta:
-        cut = cut.withColumn("pieces", _with_parent_section(F.col("pieces")))
+        cut = _with_headings(cut, text_of)
+        fields["parent"] = lambda p, i: _parent_section(text_of(p), i)
+    if pages:
+        known = F.size(F.coalesce("ends", F.array())) > 0
+        fields["page"] = lambda p, i: F.when(known, F.least(count_at_most(F.col("ends"), p["start"]) + 1, F.size("ends")))
+    if before:
+        fields["before"] = lambda p, i: F.when(i > 0, text_of(F.get("pieces", i - 1)))
+    pieces = F.col("pieces")
+    if fields:
+        pieces = F.transform(
+            pieces, lambda p, i: F.struct(text_of(p).alias("text"), *[make(p, i).alias(name) for name, make in fields.items()])
+        )
+    cut = cut.select("doc_id", "user_id", "filename", pieces.alias("pieces"))
     # The outer form on purpose: for a plain explode Spark adds a "size > 0" filter, pushes
     # it down to the scan and thereby chunks every document a second time.
     rows = cut.select(
@@ -177,7 +213,7 @@ def chunk_documents(
         F.posexplode_outer("pieces").alias("chunk_index", "piece"),
     ).filter("piece is not null")
     index = F.col("chunk_index")
-    text = F.col("piece.text") if clause_meta else F.col("piece")
+    text = F.col("piece.text") if fields else F.col("piece")
     columns = [
         ids.chunk_id(F.col("doc_id"), index).alias("chunk_id"),
         "doc_id", "user_id", "filename", "chunk_index", text.alias("text"),
@@ -198,30 +234,32 @@ def chunk_documents(
             .alias("section_type"),
             F.col("piece.parent").alias("parent_section"),
         ]
+    if pages:
+        columns.append(F.col("piece.page").alias("page_number"))
+    if before:
+        columns.append(F.col("piece.before").alias("prev_text"))
     return rows.select(*columns)
 
 
-def _with_parent_section(pieces: Column) -> Column:
-    """array<struct(text, parent)>: the Article/Section a chunk starts in.
+def _with_headings(cut: DataFrame, text_of: Callable[[Column], Column]) -> DataFrame:
+    """``cut`` with ``headings``, the last heading of every chunk that has one, and ``headed``, the numbers of these chunks."""
 
-    That is the heading the chunk opens with, else the last one of earlier chunks.
-    """
-    nothing = F.array().cast("array<struct<text:string,parent:string>>")
+    def last(piece: Column, index: Column) -> Column:
+        found = F.regexp_extract_all(text_of(piece), F.lit(HEADING), 1)
+        return F.struct(index.alias("at"), F.get(found, F.size(found) - 1).alias("name"))
 
-    def visit(acc: Column, piece: Column) -> Column:
-        headings = F.regexp_extract_all(piece, F.lit(HEADING), 1)
-        opening = F.when(
-            F.startswith(piece, F.lit("Article")) | F.startswith(piece, F.lit("Section")),
-            F.nullif(F.regexp_extract(piece, f"^{HEADING}", 1), F.lit("")),
-        )
-        item = F.struct(piece.alias("text"), F.coalesce(opening, acc["last"]).alias("parent"))
-        return F.struct(
-            F.coalesce(F.get(headings, F.size(headings) - 1), acc["last"]).alias("last"),
-            F.array_append(acc["out"], item).alias("out"),
-        )
+    listed = F.filter(F.transform("pieces", last), lambda h: h["name"].isNotNull())
+    return cut.withColumn("headings", listed).withColumn("headed", F.transform("headings", lambda h: h["at"]))
 
-    start = F.struct(F.lit(None).cast("string").alias("last"), nothing.alias("out"))
-    return F.aggregate(pieces, start, visit, lambda acc: acc["out"])
+
+def _parent_section(piece: Column, index: Column) -> Column:
+    """The Article/Section a chunk starts in: the heading it opens with, else the last one of earlier chunks."""
+    opening = F.when(
+        F.startswith(piece, F.lit("Article")) | F.startswith(piece, F.lit("Section")),
+        F.nullif(F.regexp_extract(piece, f"^{HEADING}", 1), F.lit("")),
+    )
+    earlier = F.get("headings", count_at_most(F.col("headed"), index - 1) - 1)
+    return F.coalesce(opening, earlier["name"])
 
 
 def chunk_counts(

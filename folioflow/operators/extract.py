@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions.paths import path_parts
+from folioflow.functions.text import running_sums
 
 Extractor = Callable[[bytes], list[str]]
 
 _OUT = (
-    "path string, text string, page_count int, status string, error string, "
+    "path string, text string, page_count int, status string, error string, page_ends array<int>, "
     "start_time timestamp, end_time timestamp"
 )
+PAGE_GAP = "\n\n"  # between two pages of a text
 
 
 def plain_text_pages(content: bytes) -> list[str]:
@@ -28,7 +31,7 @@ def _extract_batches(extractor: Extractor) -> Callable[[Iterator], Iterator]:
     schema = pa.schema(
         [
             ("path", pa.string()), ("text", pa.string()), ("page_count", pa.int32()),
-            ("status", pa.string()), ("error", pa.string()),
+            ("status", pa.string()), ("error", pa.string()), ("page_ends", pa.list_(pa.int32())),
             ("start_time", stamp), ("end_time", stamp),
         ]
     )
@@ -37,9 +40,10 @@ def _extract_batches(extractor: Extractor) -> Callable[[Iterator], Iterator]:
         start = time.time_ns() // 1000
         try:
             pages = extractor(content)
-            row = ("\n\n".join(pages), len(pages), "success", None)
+            ends = [n - len(PAGE_GAP) for n in accumulate(len(p) + len(PAGE_GAP) for p in pages)]
+            row = (PAGE_GAP.join(pages), len(pages), "success", None, ends)
         except Exception as exc:  # any broken file becomes a failed row
-            row = ("", 0, "failed", str(exc))
+            row = ("", 0, "failed", str(exc), None)
         return (path, *row, start, time.time_ns() // 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,22 +79,27 @@ def with_path_parts(outcome: DataFrame) -> DataFrame:
         parts["user_id"].alias("user_id"),
         parts["filename"].alias("filename"),
         F.col("path").alias("source_path"),
-        "text", "page_count", "status", "error",
+        "text", "page_count", "status", "error", "page_ends",
     )
 
 
 def join_pages(pages: DataFrame, only_with_text: bool = False) -> DataFrame:
-    """One row per document from (doc_id, page_no, text): pages joined by a blank line.
+    """One row per document from (doc_id, page_no, text): pages joined by a blank line, and where each ends.
 
-    ``only_with_text`` leaves empty pages out of the text but still counts them.
+    ``only_with_text`` leaves empty pages out of the text but still counts them; such a page ends where the
+    one before it does.
     """
-    kept = F.struct("page_no", "text")
+    kept = F.transform("pages", lambda p: p["text"])
+    size = lambda p: F.length(p["text"]) + len(PAGE_GAP)
     if only_with_text:
-        kept = F.when(F.col("text") != "", kept)
-    ordered = F.array_sort(F.collect_list(kept))
-    return pages.groupBy("doc_id").agg(
-        F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"),
-        F.count("*").cast("int").alias("page_count"),
+        kept = F.filter(kept, lambda t: t != "")
+        length = lambda p: F.when(p["text"] != "", size(p)).otherwise(F.lit(0))
+    else:
+        length = lambda p: F.when(p["text"].isNotNull(), size(p)).otherwise(F.lit(0))
+    ends = F.transform(running_sums(F.transform("pages", length)), lambda n: F.greatest(n - len(PAGE_GAP), F.lit(0)))
+    gathered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    return gathered.select(
+        "doc_id", F.array_join(kept, PAGE_GAP).alias("text"), F.size("pages").alias("page_count"), ends.alias("page_ends")
     )
 
 

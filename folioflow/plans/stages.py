@@ -1,6 +1,6 @@
 """The batch flow: extract -> analyze -> embed, each stage written once and read back.
 
-    spark-submit -m folioflow.plans.stages --input raw/ --output processed/ [--embed-only ...]
+    spark-submit run_stages.py --input raw/ --output processed/ [--resume | --embed-only ...]
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from folioflow import schemas
 from folioflow.operators import embedding, extract, points, quality
 from folioflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_documents
 from folioflow.operators.documents import run_log
+from folioflow.operators.snapshots import BUCKETS
+from folioflow.sources.files import delete_folder
 from folioflow.sources.raw import scan_raw_files
 from folioflow.sources.stages import read_stage, spread, write_stage, write_summary
 
@@ -34,6 +36,7 @@ class StageConfig:
     overlap: int = CHUNK_OVERLAP
     dim: int = 256
     metric: str = "cosine"
+    buckets: int = BUCKETS
     partitions: int | None = None
     gate: bool = False
     extractor: extract.Extractor = extract.plain_text_pages
@@ -78,6 +81,7 @@ def _extract(spark: SparkSession, cfg: StageConfig, files: DataFrame | None) ->
     done = spark.read.parquet(outcome_path)
     write_stage(extract.with_path_parts(done), cfg.path("extracted"), cfg.fmt)
     write_stage(run_log(done, "extract", "path"), cfg.path("run_log/extract"))
+    delete_folder(spark, outcome_path)
     return dict(seen.get)
 
 
@@ -97,7 +101,7 @@ def _embed(spark: SparkSession, cfg: StageConfig) -> dict:
     extracted = spread(read_stage(spark, cfg.path("extracted"), schemas.EXTRACTED, cfg.fmt))
     if cfg.gate:
         extracted = quality.quality_gate(extracted, enabled=True)
-    chunks = chunk_documents(extract.filter_indexable(extracted), cfg.mode, cfg.size, cfg.overlap)
+    chunks = chunk_documents(extract.filter_indexable(extracted), cfg.mode, cfg.size, cfg.overlap, pages=True)
     if cfg.partitions:
         # Only chunk text moves here; worthwhile when the provider is the slow part.
         chunks = chunks.repartition(cfg.partitions)
@@ -109,11 +113,12 @@ def _embed(spark: SparkSession, cfg: StageConfig) -> dict:
     ).write.mode("overwrite").parquet(embedded_path)
     done = spark.read.parquet(embedded_path)
     collection = cfg.path("collection")
-    points.create_collection(spark, collection, cfg.dim, cfg.metric)
-    points.save_points(spark, collection, points.build_points(done), cfg.dim)
+    points.create_collection(spark, collection, cfg.dim, cfg.metric, cfg.buckets)
+    points.save_points(spark, collection, points.build_points(done))
     checkpoint = embedding.embed_checkpoint(done.filter("vector is not null"))
     write_stage(checkpoint, cfg.path("checkpoint"), cfg.fmt)
     write_stage(run_log(done, "embed", "chunk_id"), cfg.path("run_log/embed"))
+    delete_folder(spark, embedded_path)
     return dict(seen.get)
 
 
@@ -123,9 +128,16 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--glob", default="*.pdf")
     parser.add_argument("--format", default="parquet", choices=["parquet", "json"])
+    parser.add_argument("--mode", default="clause", choices=["clause", "fixed", "recursive"])
+    parser.add_argument("--size", type=int, default=CHUNK_SIZE, help="characters of a chunk")
+    parser.add_argument("--overlap", type=int, default=CHUNK_OVERLAP)
+    parser.add_argument("--dim", type=int, default=256)
+    parser.add_argument("--metric", default="cosine", choices=points.METRICS)
+    parser.add_argument("--buckets", type=int, default=BUCKETS, help="of the collection, at its first write")
     parser.add_argument("--partitions", type=int)
     parser.add_argument("--gate", action="store_true", help="keep flagged documents out of the index")
     only = parser.add_mutually_exclusive_group()
+    only.add_argument("--resume", action="store_true", help="do only what changed since the last run with --resume")
     only.add_argument("--ocr-only", action="store_const", const=("extract",), dest="stages")
     only.add_argument("--analyze-only", action="store_const", const=("analyze",), dest="stages")
     only.add_argument("--embed-only", action="store_const", const=("embed",), dest="stages")
@@ -135,9 +147,14 @@ def main(argv: list[str] | None = None) -> None:
     from folioflow.session import build_session
 
     cfg = StageConfig(
-        args.input, args.output, glob=args.glob, fmt=args.format,
-        partitions=args.partitions, gate=args.gate,
+        args.input, args.output, glob=args.glob, fmt=args.format, mode=args.mode, size=args.size, overlap=args.overlap,
+        dim=args.dim, metric=args.metric, buckets=args.buckets, partitions=args.partitions, gate=args.gate,
     )
+    if args.resume:
+        from folioflow.plans.incremental import refresh
+
+        print("refresh", refresh(build_session(), cfg))
+        return
     for stage, counts in run_stages(build_session(), cfg, args.stages or STAGES).items():
         print(stage, counts)
 

@@ -110,3 +110,60 @@ def test_long_dotted_number_is_no_deep_recursion(spark):
     assert [r["p"] for r in parts] == [["", number, " tail"], ["start", number, ""]]
     kept = chunk_documents(df, clause_meta=True, links=True).orderBy("doc_id", "chunk_index").collect()
     assert "".join(r["text"] for r in kept if r["doc_id"] == "d0").startswith("1.1.")
+
+
+def test_pages_by_brute_force(spark):
+    rng = random.Random(12)
+    given = []
+    for i in range(80):
+        pages = [random_text(rng)[: rng.choice([0, 3, 40, 5000])] for _ in range(rng.randint(1, 12))]
+        ends, at = [], 0
+        for p in pages:
+            ends.append(at + len(p))
+            at += len(p) + 2
+        given.append((f"d{i}", "u", "f", "\n\n".join(pages), ends))
+    given += [("none", "u", "f", "some text", None), ("empty", "u", "f", "some text", []), ("null", "u", "f", None, [0])]
+    df = spark.createDataFrame(given, "doc_id string, user_id string, filename string, text string, page_ends array<int>")
+    for mode in ("clause", "fixed", "recursive"):
+        whole = chunk_documents(df, mode=mode, size=60, overlap=7, pages=True, before=True, links=True, clause_meta=True)
+        plain = chunk_documents(df, mode=mode, size=60, overlap=7)
+        assert sorted(map(tuple, whole.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+        found = {}
+        for r in whole.orderBy("doc_id", "chunk_index").collect():
+            found.setdefault(r.doc_id, []).append(r)
+        for doc_id, _, _, text, ends in given:
+            at = 0
+            for i, r in enumerate(found.get(doc_id, [])):
+                assert r.prev_text == (found[doc_id][i - 1].text if i else None)
+                if not ends:
+                    assert r.page_number is None
+                    continue
+                # chunks follow one another; clause chunks without overlap
+                at = text.find(r.text, at if mode == "clause" else max(0, at - 60))
+                pages = {1 + sum(e <= k for e in ends) for k in range(len(text)) if text.startswith(r.text, k)}
+                assert r.page_number in pages and (mode != "clause" or r.page_number == 1 + sum(e <= at for e in ends))
+                at += len(r.text) if mode == "clause" else 1
+
+
+def test_many_clauses_cost_little_more_with_sections(spark):
+    import time
+
+    text = "".join(f"\nSection {i} words of it" if i % 50 == 0 else f"\n{i}. some words" for i in range(20_000))
+    df = docs(spark, [text])
+    seconds = {}
+    for meta in (False, True, False, True):
+        start = time.perf_counter()
+        got = chunk_documents(df, size=12, clause_meta=meta).agg(F.count("*"), F.max("chunk_index")).first()
+        seconds[meta] = time.perf_counter() - start
+        assert got[0] >= 20_000
+    assert seconds[True] < 2 * seconds[False] + 1
+
+
+def test_search_by_halves(spark):
+    from folioflow.functions.text import count_at_most, running_sums
+
+    rng = random.Random(3)
+    lists = [[], [5], [5, 5, 5]] + [sorted(rng.randint(0, 30) for _ in range(n)) for n in range(40)]
+    df = spark.createDataFrame([(a, v) for a in lists for v in (-1, 0, 5, 17, 31)], "a array<int>, v int")
+    for r in df.select("*", count_at_most(F.col("a"), F.col("v")).alias("n"), running_sums(F.col("a")).alias("s")).collect():
+        assert r.n == sum(x <= r.v for x in r.a) and r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))]

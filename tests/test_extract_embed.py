@@ -1,6 +1,11 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 
-from folioflow.operators import embedding, extract
+from folioflow.operators import embedding, extract, points
+from folioflow.plans.incremental import refresh
 from folioflow.plans.stages import StageConfig, main, run_stages
 from folioflow.sources import raw, stages
 
@@ -36,8 +41,8 @@ def test_scan_manifest_extract(spark, tmp_path):
 def test_join_pages(spark):
     pages = spark.createDataFrame([("d", 2, "b"), ("d", 1, "a"), ("d", 3, ""), ("e", 1, "")],
                                   "doc_id string, page_no int, text string")
-    assert sorted(map(tuple, extract.join_pages(pages).collect())) == [("d", "a\n\nb\n\n", 3), ("e", "", 1)]
-    assert sorted(map(tuple, extract.join_pages(pages, True).collect())) == [("d", "a\n\nb", 3), ("e", "", 1)]
+    assert sorted(map(tuple, extract.join_pages(pages).collect())) == [("d", "a\n\nb\n\n", 3, [1, 4, 6]), ("e", "", 1, [0])]
+    assert sorted(map(tuple, extract.join_pages(pages, True).collect())) == [("d", "a\n\nb", 3, [1, 4, 4]), ("e", "", 1, [0])]
 
 
 def test_json_stage_keeps_broken_lines(spark, tmp_path):
@@ -98,15 +103,74 @@ def test_waits_grow_and_are_bounded(monkeypatch):
 
 def test_run_stages(spark, tmp_path):
     source = write_files(tmp_path / "in", FILES)
-    cfg = StageConfig(source, str(tmp_path / "out"), dim=32)
+    cfg = StageConfig(source, str(tmp_path / "out"), dim=32, buckets=4)
     counts = run_stages(spark, cfg)
     assert counts["extract"] == {"total": 3, "success": 2, "failed": 1}
     assert counts["analyze"]["total_docs"] == 3
-    first = {r["point_id"] for r in spark.read.parquet(cfg.path("collection/points")).collect()}
+    first = {r["point_id"] for r in points.load_points(spark, cfg.path("collection")).collect()}
     assert counts["embed"]["chunks"] == counts["embed"]["indexed"] == len(first)
     run_stages(spark, cfg, stages=("embed",))
-    again = spark.read.parquet(cfg.path("collection/points"))
+    again = points.load_points(spark, cfg.path("collection"))
     assert {r["point_id"] for r in again.collect()} == first and again.count() == len(first)
     assert spark.read.parquet(cfg.path("run_log/*")).count() == 3 + len(first)
     main(["--input", source, "--output", str(tmp_path / "cli"), "--ocr-only"])
     assert spark.read.parquet(str(tmp_path / "cli/extracted")).count() == 3
+
+
+def test_second_run_does_only_what_changed(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    folder = str(calls)
+
+    def note(kind):
+        import os
+        import uuid
+
+        open(os.path.join(folder, f"{kind}-{uuid.uuid4().hex}"), "w").close()
+
+    def extractor(content):
+        note("extract")
+        return extract.plain_text_pages(content)
+
+    def provider():
+        inner = embedding.hashing_embedder(16)()
+
+        def embed(texts):
+            for _ in texts:
+                note("embed")
+            return inner(texts)
+
+        return embed
+
+    def run(**settings):
+        cfg = StageConfig(source, str(tmp_path / "out"), dim=16, buckets=4, extractor=extractor, provider=provider, **settings)
+        counts = refresh(spark, cfg)
+        done = [f.name.split("-")[0] for f in calls.iterdir()]
+        for f in calls.iterdir():
+            f.unlink()
+        stored = {(r.doc_id, r.text) for r in points.load_points(spark, cfg.path("collection")).collect()}
+        return counts, done.count("extract"), done.count("embed"), stored, spark.read.json(cfg.path("analysis/summary")).first()
+
+    source = write_files(tmp_path / "in", FILES)
+    counts, extracted, embedded, stored, summary = run()
+    assert (counts["changed"], extracted) == (3, 3) and embedded == len(stored) == counts["embedded"] and summary.total_docs == 3
+    assert run()[:4] == ({"files": 3, "changed": 0, "removed": 0, "extracted": 0, "chunks": 0, "embedded": 0}, 0, 0, stored)
+    write_files(tmp_path / "in", {"raw/u9/doc_n/n.pdf": b"a new one", "raw/u2/doc_c/three.pdf": FILES["raw/u2/doc_c/three.pdf"] + b"\n2. one more clause"})
+    (tmp_path / "in/raw/u1/doc_a/one.pdf").unlink()
+    counts, extracted, embedded, later, summary = run()
+    assert (counts["changed"], counts["removed"], extracted) == (2, 1, 2) and summary.total_docs == 3
+    assert {d for d, _ in later} == {"doc_c", "doc_n"} and embedded <= 2
+    assert not (tmp_path / "out/work").exists()
+    # other settings embed all again
+    counts, extracted, embedded, _, _ = run(size=100)
+    assert (counts["changed"], extracted) == (0, 0) and embedded == counts["embedded"] > 2
+
+
+def test_command_starts_in_a_fresh_process(tmp_path):
+    source = write_files(tmp_path / "in", FILES)
+    script = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "run_stages.py")
+    command = [sys.executable, script, "--input", source, "--output", str(tmp_path / "out"), "--mode", "fixed", "--dim", "8", "--metric", "dot", "--buckets", "2"]
+    done = subprocess.run(command, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "'indexed': " in done.stdout, done.stderr[-2000:]
+    manifest = sorted((tmp_path / "out/collection/versions").glob("0*.json"))[-1].read_text()
+    assert '"metric": "dot"' in manifest and '"dim": 8' in manifest and '"buckets": 2' in manifest

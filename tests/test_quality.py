@@ -1,5 +1,9 @@
 from folioflow.operators import extract, quality
-from folioflow.schemas import EXTRACTED
+from pyspark.sql import types as T
+
+from folioflow.schemas import EXTRACTED as WHOLE
+
+EXTRACTED = T.StructType(WHOLE.fields[:8])
 
 
 def report_of(spark, *texts, status="success"):
