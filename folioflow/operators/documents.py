@@ -41,13 +41,13 @@ def check_uploads(requests: DataFrame) -> DataFrame:
 def register_uploads(requests: DataFrame) -> DataFrame:
     """Accepted requests with doc_id, storage_path and status ``uploaded``.
 
-    Ids are derived from the request, so a repeated intake gives the same rows.
+    Ids are derived from the request, so a repeated intake gives the same rows. Requests of one user for one file at
+    one time are one upload, the largest of them.
     """
     doc_id = ids.upload_doc_id(F.col("user_id"), F.col("filename"), F.col("upload_time"))
+    accepted = check_uploads(requests).filter("reject_reason is null").withColumn("doc_id", doc_id)
     return (
-        check_uploads(requests)
-        .filter("reject_reason is null")
-        .withColumn("doc_id", doc_id)
+        latest_by_key(accepted, "doc_id", ["file_size", "mime_type"])
         .select(
             "doc_id", "user_id", "filename", "file_size", "mime_type", "upload_time",
             F.concat_ws("/", F.lit("raw"), "user_id", "doc_id", "filename").alias("storage_path"),
@@ -177,7 +177,8 @@ def lifecycle_check(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
 
     Repeating the current status is allowed (redelivery). The previous status is looked
     up within time slices of a document, and only the last status of each slice is carried to
-    the next one, so a document with very many events is spread over its slices.
+    the next one, so a document with very many events is spread over its slices. Events without a doc_id are
+    one document.
     """
     sliced = events.select(
         "doc_id", "event_id", "status", "updated_at",
@@ -191,9 +192,11 @@ def lifecycle_check(events: DataFrame, slice_unit: str = "hour") -> DataFrame:
     )
     inside = Window.partitionBy("doc_id", "slice").orderBy("updated_at", "event_id")
     change = F.concat_ws(">", "from_status", "status")
+    before = before.select(F.col("doc_id").alias("_doc"), F.col("slice").alias("_slice"), "before_slice")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("slice").eqNullSafe(F.col("_slice"))
     return (
         sliced.withColumn("inside", F.lag("status").over(inside))
-        .join(before, ["doc_id", "slice"])
+        .join(before, same)
         .withColumn("from_status", F.coalesce("inside", "before_slice"))
         .filter(F.col("from_status").isNotNull() & (F.col("from_status") != F.col("status")))
         .filter(~change.isin(*TRANSITIONS))
@@ -218,3 +221,28 @@ def run_outcomes(log: DataFrame) -> DataFrame:
         F.percentile_approx("duration_ms", 0.5).alias("p50_ms"),
         F.percentile_approx("duration_ms", 0.95).alias("p95_ms"),
     )
+
+
+# Items that a sketch keeps on its lowest level. Ranks read from any merge of sketches are off by
+# less than RANK_ERROR of all values (99 % confidence).
+SKETCH_SIZE, RANK_ERROR = 1_000, 0.006
+
+
+def run_sketches(log: DataFrame, *by: str) -> DataFrame:
+    """Units, errors and a mergeable sketch of the durations per stage and status (and ``by``, a day say), to be stored
+    per batch."""
+    return log.groupBy(*by, "stage", "status").agg(
+        F.count("*").alias("units"),
+        F.count("error").alias("errors"),
+        F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), SKETCH_SIZE).alias("durations"),
+    )
+
+
+def outcomes_of(sketches: DataFrame) -> DataFrame:
+    """``run_outcomes`` over any number of stored ``run_sketches``: a period costs its batches, not its runs."""
+    merged = sketches.groupBy("stage", "status").agg(
+        F.sum("units").alias("units"), F.sum("errors").alias("errors"), F.kll_merge_agg_double("durations", SKETCH_SIZE).alias("_d")
+    )
+    known = F.kll_sketch_get_n_double("_d") > 0
+    at = lambda share: F.when(known, F.kll_sketch_get_quantile_double("_d", F.lit(share)))
+    return merged.select("stage", "status", "units", "errors", at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))

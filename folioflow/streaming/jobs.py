@@ -1,18 +1,19 @@
 """The event flow as Structured Streaming queries.
 
-``foreachBatch`` may repeat a batch after a failure. Every effect is therefore a keyed upsert
-or an overwrite of the batch's own folder, and a repeated batch changes nothing.
+``foreachBatch`` may repeat a batch after a failure. Every effect is therefore an overwrite of the batch's own folder, or
+an upsert of rows that are the same again, and a repeated batch changes nothing. What a batch writes is as large as
+the batch, not as the tables it adds to.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioflow.functions.messages import encode_event
-from folioflow.operators import merge
+from folioflow.operators import newest
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.embedding import Provider, embed_chunks
 from folioflow.operators.extract import (
@@ -91,30 +92,47 @@ def dedupe_events(
     return events.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+EVENT_ORDER = ["updated_at", "event_id"]
+
+
 def stream_status(
     events: DataFrame, table: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the newest status of every document in ``table``; late older events change nothing.
+    """Append the newest status of every document in each batch to ``table``; late older events change nothing.
 
+    Read it with ``newest.read_newest(spark, table, "doc_id", EVENT_ORDER)``, and run ``newest.compact`` now and then.
     The table itself is the state, so no state store grows with the documents.
     """
-    order = ["updated_at", "event_id"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        merge.upsert_table(batch.sparkSession, table, batch, "doc_id", order)
+        newest.append_batch(batch, table, _writer(batch), batch_id, "doc_id", EVENT_ORDER)
 
     return run_batches(events, each, checkpoint, every)
 
 
-def _set_status(rows: DataFrame, table: str, status: Column, error: Column) -> None:
+def _writer(batch: DataFrame) -> str:
+    """The id of the streaming query, which lasts as long as its checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+# A document's steps: a later step counts more than an earlier one, then the later batch, then a failure.
+EXTRACTING, EXTRACTED, INDEXING, INDEXED = range(4)
+STATUS_ORDER = ["step", "batch", "failed"]
+
+
+def _set_status(rows: DataFrame, table: str, step: int, batch_id: int, writer: str, status: Column, error: Column) -> None:
     changes = rows.select(
         "doc_id", "user_id", status.alias("status"), error.alias("error_message"),
-        F.localtimestamp().alias("updated_at"),
+        F.localtimestamp().alias("updated_at"), F.lit(step).alias("step"), F.lit(batch_id).alias("batch"),
     )
     # Of two outcomes of one document in a batch a failure is the one to see.
-    ranked = changes.withColumn("_failed", F.col("status").endswith("failed"))
-    newest = merge.latest_by_key(ranked, "doc_id", "_failed").drop("_failed")
-    merge.upsert_table(rows.sparkSession, table, newest, "doc_id")
+    ranked = changes.withColumn("failed", F.col("status").endswith("failed"))
+    newest.append_batch(ranked, table, f"{writer}-{step}", batch_id, "doc_id", STATUS_ORDER)
+
+
+def read_status(spark: SparkSession, table: str) -> DataFrame:
+    """The current status of every document that went through the streams."""
+    return newest.read_newest(spark, table, "doc_id", STATUS_ORDER).drop(*STATUS_ORDER)
 
 
 def stream_extract(
@@ -123,17 +141,18 @@ def stream_extract(
 ) -> StreamingQuery:
     """Raw files -> extracted rows, index messages and document status.
 
-    Writes ``out/extracted/batch_id=N`` and ``out/messages/batch_id=N``.
+    Writes ``out/extracted/batch_id=N`` and ``out/messages/batch_id=N``, and statuses for ``read_status``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark, nothing = batch.sparkSession, F.lit(None).cast("string")
         named = with_path_parts(
             batch.select("path").withColumns(
-                {"text": nothing, "page_count": nothing, "status": nothing, "error": nothing}
+                {c: nothing for c in ("text", "page_count", "status", "error", "page_ends")}
             )
         )
-        _set_status(named, status_table, F.lit("ocr_processing"), nothing)
+        writer = _writer(batch)
+        _set_status(named, status_table, EXTRACTING, batch_id, writer, F.lit("ocr_processing"), nothing)
         target = f"{out}/extracted/batch_id={batch_id}"
         with_path_parts(run_extractor(batch, extractor)).write.mode("overwrite").parquet(target)
         done = spark.read.parquet(target)
@@ -146,7 +165,7 @@ def stream_extract(
             f"{out}/messages/batch_id={batch_id}"
         )
         _set_status(
-            done, status_table,
+            done, status_table, EXTRACTED, batch_id, writer,
             F.when(ok, "ocr_completed").otherwise("ocr_failed"), F.col("error"),
         )
 
@@ -160,26 +179,27 @@ def stream_index(
 ) -> StreamingQuery:
     """Extracted rows -> chunks -> vectors -> stored points; documents end ready or index_failed.
 
-    Embedded rows are written once per batch and read back, so the provider is not called again.
+    Embedded rows are written once per batch and read back, so the provider is not called again. Points are appended as
+    a layer; compact the collection (``SnapshotTable.compact``) now and then.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        docs = filter_indexable(spread(batch))
-        _set_status(filter_indexable(batch), status_table, F.lit("indexing"), F.lit(None).cast("string"))
+        docs, writer = filter_indexable(spread(batch)), _writer(batch)
+        _set_status(filter_indexable(batch), status_table, INDEXING, batch_id, writer, F.lit("indexing"), F.lit(None).cast("string"))
         target = f"{collection}/embedded/batch_id={batch_id}"
-        embed_chunks(chunk_documents(docs, mode), provider, **embed_options).write.mode(
+        embed_chunks(chunk_documents(docs, mode, pages=True), provider, **embed_options).write.mode(
             "overwrite"
         ).parquet(target)
         done = spark.read.parquet(target)
-        save_points(spark, collection, build_points(done), dim)
+        save_points(spark, collection, build_points(done), dim, append=True)
         chunks = done.groupBy("doc_id").agg(F.max("error").alias("error"), F.count("*").alias("n"))
         # A document without a chunk has no embedded row, but needs a final status as well.
         per_doc = filter_indexable(batch).select("doc_id", "user_id").distinct().join(chunks, "doc_id", "left").select(
             "doc_id", "user_id", F.when(F.col("n").isNull(), "no text to index").otherwise(F.col("error")).alias("error")
         )
         _set_status(
-            per_doc, status_table,
+            per_doc, status_table, INDEXED, batch_id, writer,
             F.when(F.col("error").isNull(), "ready").otherwise("index_failed"), F.col("error"),
         )
 
