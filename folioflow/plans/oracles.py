@@ -45,7 +45,8 @@ accepted as (
   select *, 'raw/' || user_id || '/' || doc_id || '/' || filename as storage_path from (
     select *, 'doc_' || substr(sha256(concat_ws(chr(1), user_id, filename,
         strftime(upload_time, '%Y-%m-%d %H:%M:%S'))), 1, 32) as doc_id
-    from checked where reject_reason is null))"""
+    from checked where reject_reason is null)
+  qualify row_number() over (partition by doc_id order by file_size desc, mime_type desc) = 1)"""
 _DOCS_META = """documents_meta as (
   select 'doc_' || doc_id as doc_id, source as user_id, 'uploaded' as status,
     'file_' || doc_id || '.pdf' as filename, n_chars as file_size, null::int as page_count,
@@ -67,23 +68,30 @@ _PARTS = f"""parts as (
   select doc_id, user_id, filename, string_split(
     regexp_replace(text, '{_CLAUSE}', chr(1) || '\\1' || chr(1), 'g'), chr(1)) as p
   from indexable)"""
-_FOLD = f"""fold(doc_id, i, cur, done, n) as (
-  select doc_id, 1, '', null::varchar, 0 from parts
+_FOLD = f"""fold(doc_id, i, cur, st, done, done_st, n) as (
+  select doc_id, 1, '', 0, null::varchar, null::bigint, 0 from parts
   union all
   select f.doc_id, i + 1,
     case when length(cur) + length(p[i]) > 500 then p[i] else cur || p[i] end,
+    case when length(cur) + length(p[i]) > 500 then st + length(cur) else st end,
     case when length(cur) + length(p[i]) > 500 and {_trim('cur')} <> '' then {_trim('cur')} end,
+    st + length(cur) - length(l{_trim('cur')}),
     n + case when length(cur) + length(p[i]) > 500 and {_trim('cur')} <> '' then 1 else 0 end
   from fold f join parts using (doc_id) where i <= len(p)),
 pieces as (
-  select doc_id, n - 1 as chunk_index, done as text from fold where done is not null
+  select doc_id, n - 1 as chunk_index, done as text, done_st as st from fold where done is not null
   union all
-  select f.doc_id, n, {_trim('cur')} from fold f join parts using (doc_id)
+  select f.doc_id, n, {_trim('cur')}, st + length(cur) - length(l{_trim('cur')}) from fold f join parts using (doc_id)
   where i = len(p) + 1 and {_trim('cur')} <> '')"""
 _CHUNKS = """chunks as (
   select doc_id || '_' || chunk_index as chunk_id, doc_id, user_id, filename,
     chunk_index::int as chunk_index, pieces.text as text
   from pieces join indexable using (doc_id))"""
+# Lines are pages, so a chunk's page is the number of line ends before it, and one.
+_PAGE_OF = "(1 + length(substr(text, 1, st)) - length(replace(substr(text, 1, st), chr(10), '')))::int"
+_PAGED = f"""paged as (
+  select doc_id || '_' || chunk_index as chunk_id, {_PAGE_OF.replace('(text', '(indexable.text')} as page_number
+  from pieces join indexable using (doc_id))"""
 _CLAUSE_CTES = (_EXTRACTED, _INDEXABLE, _PARTS, _FOLD, _CHUNKS)
 
 _FIXED = f"""cut(doc_id, st, en) as (
@@ -97,9 +105,10 @@ _FIXED = f"""cut(doc_id, st, en) as (
       case when cut.st = -1 then 0 when cut.en - 50 > cut.st then cut.en - 50 else cut.en end as st
     from cut join indexable using (doc_id) where cut.st = -1 or cut.en < length(text))),
 fixed as (
-  select doc_id, (row_number() over (partition by doc_id order by st) - 1)::int as chunk_index, piece as text
-  from (select doc_id, st, {_trim('substr(text, st + 1, en - st)')} as piece
-        from cut join indexable using (doc_id) where st >= 0)
+  select doc_id, (row_number() over (partition by doc_id order by st) - 1)::int as chunk_index, piece as text,
+    st + length(raw) - length(l{_trim('raw')}) as st
+  from (select doc_id, st, raw, {_trim('raw')} as piece
+        from (select doc_id, st, substr(text, st + 1, en - st) as raw from cut join indexable using (doc_id) where st >= 0))
   where piece <> '')"""
 
 
@@ -140,11 +149,11 @@ _HITS = f"""hits as (
     join (select chunk_id, sum(weight * weight) as cc from chunk_vectors group by 1) using (chunk_id))
   where score >= {TEXT_THRESHOLD}
   qualify rank <= 5)"""
-_HIT_CTES = (_QUESTIONS, _CHUNK_VECTORS, _QUESTION_VECTORS, _HITS)
+_HIT_CTES = (_PAGED, _QUESTIONS, _CHUNK_VECTORS, _QUESTION_VECTORS, _HITS)
 _CONTEXTS = """contexts as (
   select query_id, string_agg('[Document ' || rank || ']' || chr(10) || text || chr(10) || 'Source: ' || doc_id
-      || ', Page: N/A' || chr(10), chr(10) order by rank) as context
-  from hits join chunks using (chunk_id) group by query_id)"""
+      || ', Page: ' || page_number || chr(10), chr(10) order by rank) as context
+  from hits join chunks using (chunk_id) join paged using (chunk_id) group by query_id)"""
 _PROMPT_HEAD = "Use the document excerpts below to answer the question.\n\nEXCERPTS\n"
 _PROMPT_TAIL = (
     "\n\nRely on the excerpts alone and say so when they are not sufficient. Name the document\n"
@@ -271,9 +280,21 @@ ORACLES["flatten_struct"] = _with(_EXTRACTED) + (
 ORACLES["filter_indexable"] = _with(_EXTRACTED, _INDEXABLE) + (
     "select doc_id, user_id, page_count, length(text)::int as chars from indexable"
 )
-ORACLES["filter_failed"] = _with(_EXTRACTED) + (
-    "select doc_id, source_path, error from extracted where status = 'failed'"
-)
+ORACLES["filter_failed"] = _with(_OUTCOME) + """
+select doc_id, source_path, '''utf-8'' codec can''t decode byte 0xff in position 0: invalid start byte' as error
+from outcome where status = 'failed'"""
+# The files as they are stored: form feeds for line ends, some not UTF-8.
+_FILES = r"""files as (
+  select 'file_' || doc_id || '.pdf' as filename,
+    case when doc_id % 37 = 5 then '\xFF'::blob else ''::blob end || encode(replace(text, chr(10), chr(12))) as content
+  from documents where text is not null)"""
+ORACLES["scan_raw_files"] = _with(_FILES) + """
+select filename, octet_length(content)::bigint as length, octet_length(content)::int as bytes_read,
+  sha256(content) as digest from files"""
+ORACLES["file_manifest"] = _with(_FILES) + """
+select filename, 'legal_documents/' || filename as object_key, round(octet_length(content) / 1024.0::double, 1) as size_kb
+from files"""
+ORACLES["poll_trigger"] = _with(_FILES) + "select filename, octet_length(content)::bigint as length from files"
 ORACLES["filter_flagged"] = _quality(
     """select doc_id, filename, ocr_status, text_length, noise_ratio, review_reason
 from report where needs_review"""
@@ -291,7 +312,7 @@ where p.doc_id in (select d.doc_id from documents_meta d left join latest l on l
 ORACLES["null_defaults"] = """
 select 'doc_' || d.doc_id as doc_id,
   case when quality = 1 then ceil(n_chars / 1800.0) else 1 end::int as page_count,
-  case when toxic = 0 then length(text) else 0 end::int as chars,
+  length(coalesce(text, ''))::int as chars, coalesce(toxic, -1)::int as toxic,
   case when quality is null then 'unknown' else source end as user_id
 from documents d left join labels l on l.doc_id = d.doc_id"""
 ORACLES["extract_documents"] = _with(_OUTCOME) + """
@@ -304,9 +325,9 @@ select 'doc_' || doc_id as doc_id, count(*)::int as page_count,
 from (select doc_id, unnest(string_split(text, chr(10))) as page,
         unnest(range(len(string_split(text, chr(10))))) as page_no from documents)
 group by doc_id"""
-ORACLES["extraction_counts"] = _with(_EXTRACTED) + """
+ORACLES["extraction_counts"] = _with(_OUTCOME) + """
 select count(*) as total, count(*) filter (status = 'success') as success,
-  count(*) filter (status <> 'success') as failed from extracted"""
+  count(*) filter (status <> 'success') as failed from outcome"""
 
 ORACLES["split_clauses"] = _with(_EXTRACTED) + f"""
 select doc_id, (row_number() over (partition by doc_id order by o) - 1)::int as part_no, part from (
@@ -332,6 +353,12 @@ ORACLES["chunk_links"] = _clause(
     """select chunk_id, lag(chunk_id) over w as prev_chunk_id, lead(chunk_id) over w as next_chunk_id
 from chunks window w as (partition by doc_id order by chunk_index)"""
 )
+ORACLES["chunk_pages"] = _clause(
+    f"""select 'clause' as mode, chunk_id, page_number from paged union all
+select 'fixed', fixed.doc_id || '_' || chunk_index, {_PAGE_OF.replace('(text', '(indexable.text').replace(', st', ', fixed.st')}
+from fixed join indexable using (doc_id)""",
+    _PAGED, _FIXED,
+)
 ORACLES["chunk_clause_meta"] = _clause(
     rf"""select chunk_id, clause as clause_number,
   case when starts_with(clause, 'Article') then 'article' when starts_with(clause, 'Section') then 'section'
@@ -377,14 +404,13 @@ select event_id, status, case status when 'uploaded' then 'Uploaded' when 'ocr_p
   when 'ocr_completed' then 'OCR Done' when 'indexed' then 'Ready' else 'Failed' end as label
 from status_events"""
 _DATA = """sent as (
-  select doc_id, case when status = 'failed' then filename else to_base64(encode(
+  select doc_id, case when length(text) < 100 then filename else to_base64(encode(
     '{"doc_id":"' || doc_id || '","user_id":"' || user_id || '","storage_path":"' || source_path || '"}'))
-    end as data, status, user_id, source_path from extracted)"""
+    end as data, length(text) >= 100 as fine, user_id, source_path from extracted)"""
 ORACLES["encode_event"] = _with(_EXTRACTED, _DATA) + "select doc_id, data from sent"
 ORACLES["decode_event"] = _with(_EXTRACTED, _DATA) + """
-select doc_id as sent_id, case when status <> 'failed' then doc_id end as doc_id,
-  case when status <> 'failed' then user_id end as user_id,
-  case when status <> 'failed' then source_path end as storage_path from sent"""
+select doc_id as sent_id, case when fine then doc_id end as doc_id, case when fine then user_id end as user_id,
+  case when fine then source_path end as storage_path from sent"""
 ORACLES["parse_answer_json"] = """
 select 'q_' || conv_id || '_' || turn as query_id, case when kind > 1 then text end as answer,
   case when kind = 0 then '' else role end as reasoning,
@@ -403,7 +429,7 @@ ORACLES["user_breakdown"] = _quality(
     """select user_id, count(*) as doc_count, sum(est_chunks)::bigint as est_chunks,
   count(*) filter (needs_review) as flagged from report group by user_id"""
 )
-ORACLES["status_counts"] = _with(_EXTRACTED) + "select status, count(*) as docs from extracted group by status"
+ORACLES["status_counts"] = _with(_OUTCOME) + "select status, count(*) as docs from outcome group by status"
 ORACLES["quality_gate"] = _quality(
     "select doc_id, user_id, page_count from report where not needs_review"
 )
@@ -429,7 +455,12 @@ ORACLES["upsert_points_stored"] = _UPSERTED
 ORACLES["delete_points"] = _with(_VPOINTS, _LABELLED) + (
     "select * from stored where point_id not in (select point_id from incoming)"
 )
-ORACLES["reindex_doc"] = _clause(
+_SEARCHABLE = """searchable as (
+  select d.doc_id, coalesce(l.status, d.status) as status from documents_meta d left join latest l on l.doc_id = d.doc_id)"""
+ORACLES["collection_delete"] = _with(_VPOINTS, _EVENTS, _LATEST, _DOCS_META, _SEARCHABLE) + f"""
+select {_uuid5('chunk_id')} as point_id, chunk_id, doc_id, label from vpoints
+where label <> 3 and doc_id not in (select doc_id from searchable where status = 'ocr_failed')"""
+ORACLES["reindex_doc"] = ORACLES["collection_reindex"] = _clause(
     """select chunk_id, doc_id, user_id, chunk_index, text from chunks where doc_id not in (select doc_id from redone)
 union all
 select fixed.doc_id || '_' || chunk_index, fixed.doc_id, user_id, chunk_index, fixed.text
@@ -453,6 +484,16 @@ from (select q.query_id, q.vec_id, p.chunk_id, p.doc_id, round({score}, 6) as sc
 where {where} qualify rank <= {k}"""
 
 
+ORACLES["collection_search"] = _with(_VPOINTS, _VQUERIES, _EVENTS, _LATEST, _DOCS_META, _SEARCHABLE) + """
+select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score, chunk_id)::int as rank
+from (select q.query_id, p.chunk_id, p.doc_id, round(list_distance(q.vector, p.vector), 6) as score
+      from vqueries q join vpoints p on p.user_id = q.user_id
+      where p.doc_id in (select doc_id from searchable where status in ('ready', 'indexed')))
+where score <= 1.3 qualify rank <= 5"""
+ORACLES["knn_rejected"] = """
+select 'q' || vec_id as query_id, case when label = 4 then 'no vector' when vec_id % 20 < 3 then 'top_k out of range'
+    else 'no tenant' end as reject_reason
+from embeddings where label in (4, 5) or vec_id % 20 < 3"""
 for _name in ("knn_cosine", "knn_cosine_blocks", "knn_approx_all_lists"):
     ORACLES[_name] = _nearest()
 ORACLES["knn_dot"] = _nearest("list_dot_product(q.vector, p.vector)", k="1 + vec_id % 20")
@@ -465,9 +506,9 @@ ORACLES["filter_in"] = _nearest(
 ORACLES["filter_range"] = _nearest(pairs="p.label > 2 and p.label <= 7")
 ORACLES["score_threshold"] = _nearest(where="score >= 0.2")
 ORACLES["top_k_bounds"] = """
-select query_id, user_id, top_k, case when query_text = '' then 'Missing required fields'
+select query_id, user_id, top_k, case when coalesce(query_text, '') = '' then 'Missing required fields'
     when top_k not between 1 and 20 then 'top_k out of range' end as reject_reason
-from (select 'q_' || conv_id || '_' || turn as query_id, case when turn <> 3 then text else '' end as query_text,
+from (select 'q_' || conv_id || '_' || turn as query_id, text as query_text,
     case when role = 'user' then 'u' || conv_id else 'bot' end as user_id,
     case when conv_id % 30 <> 7 then conv_id % 30 else 5 end::int as top_k
   from conversations)"""
@@ -479,8 +520,8 @@ from hits join chunks using (chunk_id)"""
 ORACLES["build_context"] = _rag("select * from contexts", _CONTEXTS)
 ORACLES["build_citations"] = _rag(
     """select query_id, (rank - 1)::int as position, doc_id, chunk_id, substr(text, 1, 200) || '...' as text,
-  null::int as page_number, score as confidence
-from hits join chunks using (chunk_id)"""
+  page_number, score as confidence
+from hits join chunks using (chunk_id) join paged using (chunk_id)"""
 )
 _CONFIDENCE = """confidences as (
   select query_id, round(coalesce(avg(score), 0), 6) as confidence, count(score) as chunks_retrieved
@@ -582,10 +623,28 @@ from chunks group by doc_id"""
 ORACLES["stream_status"] = _with(_EVENTS, _LATEST) + (
     "select doc_id, event_id, status, updated_at, error_message from latest"
 )
+ORACLES["stream_lifecycle"] = _with(_EVENTS) + """
+select doc_id, 'impossible' as kind, event_id, from_status, status as to_status, updated_at as at from (
+  select *, lag(status) over (partition by doc_id order by updated_at, event_id) as from_status from status_events)
+where from_status <> status and (from_status, status) not in (
+  ('uploaded', 'ocr_processing'), ('ocr_processing', 'ocr_completed'), ('ocr_processing', 'ocr_failed'),
+  ('ocr_completed', 'indexing'), ('indexing', 'indexed'), ('indexing', 'index_failed'), ('indexed', 'ready'))
+union all
+select doc_id, 'stuck', event_id, status, null, updated_at + interval 1 day from (
+  select *, lead(updated_at) over (partition by doc_id order by updated_at, event_id) as next_at,
+    max(updated_at) over () as until from status_events)
+where status not in ('ready', 'ocr_failed', 'index_failed', 'failed')
+  and coalesce(next_at > updated_at + interval 1 day, until >= updated_at + interval 1 day)"""
 ORACLES["stream_dedupe"] = _with(_EVENTS) + "select event_id, doc_id, status from status_events"
 ORACLES["run_outcomes"] = _with(_OUTCOME) + """
 select 'extract' as stage, status, count(*) as units, count(*) filter (status = 'failed') as errors,
   true as quantiles_ordered from outcome group by status"""
+ORACLES["run_quantiles"] = """
+select stage, status, count(*) as units, count(error) as errors, 1 as p50_within, 1 as p95_within
+from (select case when event_type in ('view', 'error') then 'extract' else 'embed' end as stage,
+    case when event_type = 'error' then 'failed' when event_type = 'signup' then 'timeout' else 'success' end as status,
+    case when event_type = 'error' then props end as error from events)
+group by stage, status"""
 ORACLES["run_log_stats"] = """
 select stage, status, count(*) as units, count(error) as errors,
   quantile_disc(value, 0.5) as p50_ms, quantile_disc(value, 0.95) as p95_ms

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioflow import schemas
 from folioflow.functions import ids, messages, paths, text as tx
 from folioflow.operators import (
-    answers, chunking, documents, embedding, extract, merge, points, quality, retrieval,
+    answers, chunking, documents, embedding, extract, newest, points, quality, retrieval,
 )
+from folioflow.operators.snapshots import SnapshotTable
 from folioflow.plans import views
 from folioflow.plans.stages import StageConfig, run_stages
 from folioflow.session import work_dir
 from folioflow.sources import raw, stages
-from folioflow.streaming import jobs
+from folioflow.streaming import jobs, lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def query(function: Query) -> Query:
 
 @query
 def scan_raw_files(spark, sf):
-    files = raw.scan_raw_files(spark, sf, "*.parquet")
+    files = raw.scan_raw_files(spark, views.stored_files(spark, sf), "*.pdf")
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), "length",
         F.length("content").alias("bytes_read"), F.sha2("content", 256).alias("digest"),
@@ -44,7 +45,7 @@ def scan_raw_files(spark, sf):
 
 @query
 def file_manifest(spark, sf):
-    return raw.file_manifest(raw.scan_raw_files(spark, sf, "*.parquet"))
+    return raw.file_manifest(raw.scan_raw_files(spark, views.stored_files(spark, sf), "*.pdf"))
 
 
 @query
@@ -140,7 +141,7 @@ def filter_indexable(spark, sf):
 
 @query
 def filter_failed(spark, sf):
-    path = stages.write_stage(views.extracted(spark, sf), work_dir(spark, "extracted"))
+    path = stages.write_stage(views.outcome(spark, sf), work_dir(spark, "extracted"))
     return extract.filter_failed(stages.read_stage(spark, path))
 
 
@@ -170,7 +171,8 @@ def null_defaults(spark, sf):
     return joined.select(
         F.concat(F.lit("doc_"), "doc_id").alias("doc_id"),
         F.coalesce(pages, F.lit(1)).alias("page_count"),
-        F.length(F.coalesce(F.when(F.col("toxic") == 0, F.col("text")), F.lit(""))).alias("chars"),
+        F.length(F.coalesce(F.col("text"), F.lit(""))).alias("chars"),
+        F.coalesce(F.col("toxic").cast("int"), F.lit(-1)).alias("toxic"),
         F.coalesce(F.when(F.col("quality").isNotNull(), F.col("source")), F.lit("unknown")).alias("user_id"),
     )
 
@@ -195,7 +197,7 @@ def join_pages(spark, sf):
 
 @query
 def extraction_counts(spark, sf):
-    return extract.extraction_counts(views.extracted(spark, sf))
+    return extract.extraction_counts(views.outcome(spark, sf))
 
 
 # ---- chunking -----------------------------------------------------------------------
@@ -254,6 +256,16 @@ def chunk_links(spark, sf):
     return views.chunks(spark, sf, links=True).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
+@query
+def chunk_pages(spark, sf):
+    """The page on which each chunk begins, lines being the pages, for both ways of chunking."""
+    both = [
+        views.chunks(spark, sf, mode=mode, pages=True).select(F.lit(mode).alias("mode"), "chunk_id", "page_number")
+        for mode in ("clause", "fixed")
+    ]
+    return both[0].unionByName(both[1])
+
+
 @query
 def chunk_clause_meta(spark, sf):
     return views.chunks(spark, sf, clause_meta=True).select(
@@ -335,7 +347,7 @@ def status_label(spark, sf):
 def _event_data(spark, sf):
     return views.extracted(spark, sf).select(
         "doc_id",
-        F.when(F.col("status") == "failed", F.col("filename")).otherwise(
+        F.when(F.length("text") < 100, F.col("filename")).otherwise(
             messages.encode_event(
                 doc_id=F.col("doc_id"), user_id=F.col("user_id"), storage_path=F.col("source_path")
             )
@@ -388,7 +400,7 @@ def user_breakdown(spark, sf):
 
 @query
 def status_counts(spark, sf):
-    return quality.status_counts(views.extracted(spark, sf))
+    return quality.status_counts(views.outcome(spark, sf))
 
 
 @query
@@ -459,14 +471,13 @@ def upsert_points(spark, sf):
 
 @query
 def upsert_points_stored(spark, sf):
-    """The same through the bucketed table: write, upsert, upsert again."""
+    """The same through the stored table: write, upsert, upsert again."""
     stored, incoming = _labelled_points(spark, sf)
-    path = work_dir(spark, "points")
-    merge.upsert_table(spark, path, stored, "point_id", buckets=8)
-    newest = merge.latest_by_key(incoming, "point_id", "seq").drop("seq")
+    table = SnapshotTable.create(spark, work_dir(spark, "points"), "point_id", buckets=8)
+    table.upsert(stored)
     for _ in range(2):
-        merge.upsert_table(spark, path, newest, "point_id", buckets=8)
-    return spark.read.parquet(path).select(*stored.columns)
+        table.upsert(incoming, order="seq")
+    return table.read().select(*stored.columns)
 
 
 @query
@@ -487,6 +498,48 @@ def reindex_doc(spark, sf):
     return points.reindex_docs(stored, rebuilt, docs=good)
 
 
+def _stored_collection(spark, sf, metric):
+    """All vector points in a stored collection with that metric, with their document table bucketed alike."""
+    path, vectors = work_dir(spark, "collection"), views.vector_points(spark, sf)
+    dim = vectors.select(F.max(F.size("vector")).alias("d")).first()["d"]
+    points.create_collection(spark, path, dim, metric, buckets=8)
+    points.save_points(spark, path, vectors.withColumn("point_id", ids.point_id(F.col("chunk_id"))))
+    known = documents.update_status(views.documents_meta(spark, sf), views.status_events(spark, sf))
+    docs = SnapshotTable.create(spark, work_dir(spark, "documents"), "doc_id", buckets=8)
+    docs.upsert(known.select("doc_id", "status"))
+    return path, docs
+
+
+@query
+def collection_search(spark, sf):
+    """Search by the collection's own metric, among documents that can be searched."""
+    path, docs = _stored_collection(spark, sf, "euclidean")
+    return points.search_points(spark, path, views.vector_queries(spark, sf), docs, threshold=1.3)
+
+
+@query
+def collection_delete(spark, sf):
+    """What is left after documents, and then single points, were deleted."""
+    path, docs = _stored_collection(spark, sf, "cosine")
+    points.delete_stored(spark, path, docs.read().filter("status = 'ocr_failed'").select("doc_id"))
+    points.delete_stored(spark, path, points.load_points(spark, path).filter("label = 3").select("doc_id", "point_id"))
+    return points.load_points(spark, path).select("point_id", "chunk_id", "doc_id", "label")
+
+
+@query
+def collection_reindex(spark, sf):
+    """``reindex_doc`` in the stored collection: texts a document had before keep their vectors."""
+    path = work_dir(spark, "collection")
+    points.create_collection(spark, path, views.DIM, buckets=8)
+    points.save_points(spark, path, views.text_points(spark, sf))
+    good = views.table(spark, sf, "labels").filter("quality = 1").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("doc_id")
+    )
+    rebuilt = views.chunks(spark, sf, mode="fixed", pages=True).join(good, "doc_id", "left_semi")
+    points.reindex_stored(spark, path, rebuilt, embedding.hashing_embedder(views.DIM), docs=good)
+    return points.load_points(spark, path).select("chunk_id", "doc_id", "user_id", "chunk_index", "text")
+
+
 @query
 def create_collection(spark, sf):
     """Vector sizes found in the stored collection against its recorded size and metric."""
@@ -517,7 +570,20 @@ def knn_cosine(spark, sf):
 @query
 def knn_cosine_blocks(spark, sf):
     """The block join that serves more questions than may be broadcast."""
-    return _knn(spark, sf, max_broadcast_queries=0, point_block=256, query_block_size=128)
+    return _knn(spark, sf, way="blocks", point_block=256, query_block_size=128)
+
+
+@query
+def knn_rejected(spark, sf):
+    """Questions that a search leaves out, with the reason."""
+    asked = views.vector_queries(spark, sf).withColumns(
+        {
+            "top_k": (F.col("vec_id") % 20 - 2).cast("int"),
+            "vector": F.when(F.col("label") != 4, F.col("vector")),
+            "user_id": F.when(F.col("label") != 5, F.col("user_id")),
+        }
+    )
+    return retrieval.rejected_questions(asked)
 
 
 @query
@@ -561,7 +627,7 @@ def score_threshold(spark, sf):
 def top_k_bounds(spark, sf):
     asked = views.table(spark, sf, "conversations").select(
         F.concat_ws("_", F.lit("q"), "conv_id", "turn").alias("query_id"),
-        F.when(F.col("turn") != 3, F.col("text")).otherwise("").alias("query_text"),
+        F.col("text").alias("query_text"),
         F.when(F.col("role") == "user", F.concat(F.lit("u"), "conv_id")).otherwise("bot").alias("user_id"),
         F.when(F.col("conv_id") % 30 != 7, (F.col("conv_id") % 30).cast("int")).alias("top_k"),
     )
@@ -571,7 +637,7 @@ def top_k_bounds(spark, sf):
 def _text_hits(spark, sf):
     return retrieval.knn(
         views.text_points(spark, sf), views.embedded_questions(spark, sf), threshold=TEXT_THRESHOLD,
-        payload=("chunk_id", "doc_id", "user_id", "filename", "text"),
+        payload=("chunk_id", "doc_id", "user_id", "filename", "text", "page_number"),
     )
 
 
@@ -646,12 +712,8 @@ def clause_prompts(spark, sf):
 @query
 def compare_prompts(spark, sf):
     """Each chunk against the one before it in its document."""
-    linked = views.chunks(spark, sf, links=True)
-    before = linked.select(F.col("chunk_id").alias("prev_chunk_id"), F.col("text").alias("clause_a"))
-    pairs = linked.join(before, "prev_chunk_id").select(
-        "chunk_id", "clause_a", F.col("text").alias("clause_b")
-    )
-    return answers.compare_prompts(pairs)
+    pairs = views.chunks(spark, sf, before=True).filter("prev_text is not null")
+    return answers.compare_prompts(pairs.select("chunk_id", F.col("prev_text").alias("clause_a"), F.col("text").alias("clause_b")))
 
 
 def counting_completer():
@@ -795,7 +857,7 @@ def stream_extract(spark, sf):
     done = spark.read.parquet(f"{base}/out/extracted").select(
         "doc_id", "page_count", F.md5("text").alias("text_md5")
     )
-    status = spark.read.parquet(f"{base}/status").select("doc_id", "user_id", "status")
+    status = jobs.read_status(spark, f"{base}/status").select("doc_id", "user_id", "status")
     sent = spark.read.parquet(f"{base}/out/messages").select("doc_id", "data")
     return done.join(status, "doc_id").join(sent, "doc_id", "left")
 
@@ -804,6 +866,7 @@ def stream_extract(spark, sf):
 def stream_index(spark, sf):
     base = work_dir(spark, "index")
     docs = views.extracted_from(spark, _stream(spark, sf, "documents"))
+    points.create_collection(spark, f"{base}/collection", views.DIM, buckets=8)
     jobs.stream_index(
         docs, f"{base}/collection", f"{base}/status", f"{base}/checkpoint",
         embedding.hashing_embedder(views.DIM), views.DIM,
@@ -811,7 +874,7 @@ def stream_index(spark, sf):
     stored = points.load_points(spark, f"{base}/collection").groupBy("doc_id").agg(
         F.count("*").alias("points"), F.sum(F.length("text")).alias("chars")
     )
-    status = spark.read.parquet(f"{base}/status").select("doc_id", "status")
+    status = jobs.read_status(spark, f"{base}/status").select("doc_id", "status")
     return status.join(stored, "doc_id", "left")
 
 
@@ -820,11 +883,21 @@ def stream_status(spark, sf):
     base = work_dir(spark, "status")
     events = views.status_events_from(spark, _stream(spark, sf, "events"))
     jobs.stream_status(events, f"{base}/table", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/table").select(
+    newest.compact(spark, f"{base}/table", "doc_id", jobs.EVENT_ORDER)
+    return newest.read_newest(spark, f"{base}/table", "doc_id", jobs.EVENT_ORDER).select(
         "doc_id", "event_id", "status", "updated_at", "error_message"
     )
 
 
+@query
+def stream_lifecycle(spark, sf):
+    """Impossible changes, and documents that stood still for a day, found as the events stream in."""
+    base = work_dir(spark, "lifecycle")
+    events = views.status_events_from(spark, _stream(spark, sf, "events"))
+    jobs.append_files(lifecycle.watch_documents(events, "1 day"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query
 def stream_dedupe(spark, sf):
     """Every event delivered twice; one of each is kept."""
@@ -841,9 +914,9 @@ def stream_dedupe(spark, sf):
 @query
 def poll_trigger(spark, sf):
     """New files are picked up once, however often the job is started."""
-    base = work_dir(spark, "poll")
+    base, folder = work_dir(spark, "poll"), views.stored_files(spark, sf)
     for _ in range(2):
-        files = raw.stream_raw_files(spark, sf, "*.parquet").select("path", "length")
+        files = raw.stream_raw_files(spark, folder, "*.pdf").select("path", "length")
         jobs.append_files(files, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select(
         F.element_at(F.split("path", "/"), -1).alias("filename"), "length"
@@ -860,25 +933,46 @@ def run_outcomes(spark, sf):
     )
 
 
-@query
-def run_log_stats(spark, sf):
+def _event_log(spark, sf):
     """Run records made of the given events: value is the duration."""
-    log = views.table(spark, sf, "events").select(
+    return views.table(spark, sf, "events").select(
         F.when(F.col("event_type").isin("view", "error"), "extract").otherwise("embed").alias("stage"),
         F.col("event_id").cast("string").alias("unit_id"),
         F.when(F.col("event_type") == "error", "failed").when(
             F.col("event_type") == "signup", "timeout").otherwise("success").alias("status"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
-        F.col("value").alias("duration_ms"),
+        F.col("value").alias("duration_ms"), F.col("ts").cast("date").alias("day"),
+    )
+
+
+@query
+def run_log_stats(spark, sf):
+    return documents.run_outcomes(_event_log(spark, sf))
+
+
+@query
+def run_quantiles(spark, sf):
+    """Outcomes from the stored sketches of every day: counts, and whether the quantiles are as near as promised."""
+    path = stages.write_stage(documents.run_sketches(_event_log(spark, sf), "day"), work_dir(spark, "sketches"))
+    merged = documents.outcomes_of(spark.read.parquet(path))
+    both = _event_log(spark, sf).join(merged, ["stage", "status"])
+    within = lambda name, share: F.max(
+        F.when(F.col("below_" + name) <= share * F.col("n") + F.col("slack"), 1).otherwise(0)
+        * F.when(F.col("upto_" + name) >= share * F.col("n") - F.col("slack"), 1).otherwise(0)
+    ).alias(f"{name}_within")
+    ranks = both.groupBy("stage", "status", "units", "errors").agg(
+        F.count("duration_ms").alias("n"), (1 + documents.RANK_ERROR * F.count("duration_ms")).alias("slack"),
+        *[F.count_if(F.col("duration_ms") < F.col(f"{p}_ms")).alias(f"below_{p}") for p in ("p50", "p95")],
+        *[F.count_if(F.col("duration_ms") <= F.col(f"{p}_ms")).alias(f"upto_{p}") for p in ("p50", "p95")],
     )
-    return documents.run_outcomes(log)
+    return ranks.groupBy("stage", "status", "units", "errors").agg(within("p50", 0.5), within("p95", 0.95))
 
 
 @query
 def run_all_stages(spark, sf):
     """Extract, analyze and embed on all documents; the counts each stage reports."""
     base = work_dir(spark, "run")
-    cfg = StageConfig(input="", output=base, dim=views.DIM)
+    cfg = StageConfig(input="", output=base, dim=views.DIM, buckets=8)
     run_stages(spark, cfg, files=views.raw_files(spark, sf))
     done = spark.read.parquet(cfg.path("extracted")).groupBy("user_id").agg(
         F.count("*").alias("docs"), F.sum("page_count").alias("pages")
