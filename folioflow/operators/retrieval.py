@@ -406,16 +406,15 @@ def knn_approx(
     asked = _prepared(queries, tenant, top_k).filter(_reason().isNull())
     probes = min(probes, len(centres))
 
+    from folioflow.operators.listindex import nearest_lists
+
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
                 continue
-            q = as_matrix(table.column("vector"))
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-            gaps = (centres * centres).sum(axis=1) - 2 * (q @ centres.T)
-            lists = np.argsort(gaps, axis=1, kind="stable")[:, :probes]
-            repeated = table.take(pa.array(np.repeat(np.arange(len(q)), probes)))
+            lists = nearest_lists(as_matrix(table.column("vector")), centres, probes)
+            repeated = table.take(pa.array(np.repeat(np.arange(len(lists)), probes)))
             yield from repeated.append_column(
                 "_list", pa.array(lists.ravel().astype(np.int32))
             ).to_batches()

@@ -496,6 +496,21 @@ select 'q' || vec_id as query_id, case when label = 4 then 'no vector' when vec_
 from embeddings where label in (4, 5) or vec_id % 20 < 3"""
 for _name in ("knn_cosine", "knn_cosine_blocks", "knn_approx_all_lists"):
     ORACLES[_name] = _nearest()
+# Centres are given: the first vectors. Every point and question goes by its nearest ones.
+_LISTED = """units as (
+  select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as u
+  from embeddings),
+near as (
+  select v.vec_id, c.vec_id as list, row_number() over (
+    partition by v.vec_id order by round(list_dot_product(v.u, c.u) * -2, 12), c.vec_id) as n
+  from units v, units c where c.vec_id < 16)"""
+ORACLES["knn_approx"] = _with(_VPOINTS, _VQUERIES, _LISTED) + """
+select query_id, chunk_id, doc_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank
+from (select q.query_id, p.chunk_id, p.doc_id, round(list_cosine_similarity(q.vector, p.vector), 6) as score
+      from vqueries q join near a on a.vec_id = q.vec_id and a.n <= 6
+        join near b on b.list = a.list and b.n = 1
+        join vpoints p on p.chunk_id = 'c' || b.vec_id and p.user_id = q.user_id)
+where score >= 0 qualify rank <= 5"""
 ORACLES["knn_dot"] = _nearest("list_dot_product(q.vector, p.vector)", k="1 + vec_id % 20")
 ORACLES["knn_euclidean"] = _nearest("list_distance(q.vector, p.vector)", "score <= 1.3", order="score")
 ORACLES["filter_eq"] = _nearest(where="score >= 0.1", pairs="p.label = 3")

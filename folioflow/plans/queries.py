@@ -12,6 +12,7 @@ from folioflow.functions import ids, messages, paths, text as tx
 from folioflow.operators import (
     answers, chunking, documents, embedding, extract, newest, points, quality, retrieval,
 )
+from folioflow.operators.listindex import ListIndex
 from folioflow.operators.snapshots import SnapshotTable
 from folioflow.plans import views
 from folioflow.plans.stages import StageConfig, run_stages
@@ -648,25 +649,30 @@ def format_hits(spark, sf):
     )
 
 
-def _knn_in_lists(spark, sf, lists, probes):
+def _list_index(spark, sf, **options):
+    """All vector points in a list index, half of them inserted after it was made."""
     stored = views.vector_points(spark, sf)
-    model = retrieval.fit_lists(stored, lists=lists)
-    path = work_dir(spark, "lists")
-    retrieval.save_lists(retrieval.assign_lists(stored, model), path)
-    return retrieval.knn_approx(
-        spark.read.parquet(path), model, views.vector_queries(spark, sf), probes=probes
-    )
+    later = F.col("label") % 2 == 1
+    index = ListIndex.create(spark, work_dir(spark, "lists"), stored.filter(~later), buckets=8, **options)
+    index.insert(stored.filter(later))
+    return index
 
 
 @query
 def knn_approx(spark, sf):
-    return _knn_in_lists(spark, sf, lists=16, probes=6)
+    """The nearest lists alone, the first vectors of the table being the centres."""
+    centres = views.table(spark, sf, "embeddings").filter("vec_id < 16").select(
+        F.col("vec_id").alias("list"), F.col("embedding").alias("vector")
+    )
+    return _list_index(spark, sf, centres=centres).search(views.vector_queries(spark, sf), probes=6)
 
 
 @query
 def knn_approx_all_lists(spark, sf):
-    """Probing every list must give the exact hits."""
-    return _knn_in_lists(spark, sf, lists=8, probes=8)
+    """Probing every list must give the exact hits, also after crowded lists were split."""
+    index = _list_index(spark, sf, lists=8)
+    index.split(limit=max(index.sizes().values()) - 1)
+    return index.search(views.vector_queries(spark, sf), probes=len(index.centres()))
 
 
 # ---- answers ------------------------------------------------------------------------
