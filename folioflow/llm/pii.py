@@ -1,15 +1,16 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 1. Base patterns find emails, addresses, cards and phones. They always count.
-2. Looser patterns give further candidates. A regex, a gazetteer and a context labeler vote on every candidate,
-   base ones included: 1 for, -1 against, 0 abstains.
+2. Looser patterns give further candidates, many of them false: written-out emails, national phone numbers, digit groups
+   without a check sum. A regex, a gazetteer and a context labeler vote on every candidate, base ones
+   included: 1 for, -1 against, 0 abstains.
 3. Expectation-maximisation over the counts of vote patterns, per kind, estimates how often each labeler is
    right and so how likely each vote pattern is a true span. It is a fold over at most 27 patterns a kind.
-4. A logistic classifier over votes, kind and length is trained on these soft labels and decides about
-   the looser candidates that overlap no base span.
+4. A logistic classifier is trained on these soft labels. It does not see the votes but the span and its surroundings: its
+   shape, its length and digits, and the words on both sides, hashed. It decides about the looser candidates
+   that overlap no base span.
 
-All of it is column expressions and joins; the classifier is Spark's own, fitted on at most a few
-hundred rows of aggregated votes.
+All of it is column expressions and joins; the classifier is Spark's own, fitted on at most ``SAMPLE`` candidates.
 """
 
 from __future__ import annotations
@@ -31,32 +32,36 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_FINE = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
-# Looser candidates: written-out emails, digit groups of card length, phones without a plus.
+# Looser candidates, each kind one pattern, so that its matches do not overlap.
+_AT = r"(?:\x20?[\[(]\x20?at\x20?[\])]\x20?|\x20at\x20|@)"
+_DOT = r"(?:\x20?[\[(]\x20?dot\x20?[\])]\x20?|\x20dot\x20|\.)"
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9._%+-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,63}"
-    r"(?:\x20?(?:[\[(]\x20?dot\x20?[\])]|\.)\x20?[a-z0-9-]{2,24}){1,4}",
-    "card": r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    # Possessive: a word that is not followed by "at" or "dot" is not tried again in parts.
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[a-z0-9_%+-]{{1,64}}+(?:{_DOT}[a-z0-9_%+-]{{1,64}}+){{0,3}}{_AT}[a-z0-9-]{{1,63}}+(?:{_DOT}[a-z0-9-]{{2,24}}+){{0,4}}",
+    "ip": r"(?<![0-9.])[0-9]{1,4}(?:\.[0-9]{1,4}){3}(?![0-9.])",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-9])",
+    "phone": r"(?<![0-9+.-])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|0[1-9][0-9]{1,3}[\x20/-]{1,3}[0-9]{5,8}|00[1-9][0-9\x20-]{7,14}[0-9])(?![0-9])",
 }
-# Fixed values of the labelers: what speaks for a kind, and what speaks against it.
+# Words before "at" or after it that make a written-out email of plain prose, with a plain dot.
+_PROSE = r"(?i)^[a-z]+\x20at\x20[a-z]+(?:\.[a-z]+)?$|^[^\x20@\[(]+\x20at\x20(?:the|a|an|this|that|all|least|once|first|last|his|her|its|our|your|my|home|work)\b"
+# Fixed values of the labelers: what a true span of a kind looks like, and the gazetteers.
 STRICT = {
-    "email": r"(?i)^[a-z0-9][a-z0-9._%+-]*(?:@|\x20?[\[(]\x20?at\x20?[\])]\x20?)[a-z0-9].*[a-z]{2,}$",
-    "ip": r"^(?!0)[0-9.]+$",
+    "email": r"(?i)^[a-z0-9][a-z0-9._%+\x20-]*(?:@|[\[(]\x20?at\x20?[\])]|\x20at\x20).*(?:\.|dot[\])]?)\x20?[a-z]{2,}$",
+    "ip": IP_FINE,
     "card": r"^[3-6][0-9\x20-]+$",
-    "phone": r"^(?:\+[1-9]|\(?[2-9])",
-}
-GAZETTEER_FOR = {
-    "email": r"(?i)(?:\.|dot[\])]?\x20?)(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu)$",
-    "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
-    "phone": r"^\+(?:1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])",
-}
-GAZETTEER_AGAINST = {
-    "email": r"(?i)@(?:localhost|test|invalid)\b",
-    "ip": r"^(?:0|127|255)\.|^[0-9]\.[0-9]\.[0-9]\.[0-9]$",
-    "card": r"^([0-9])(?:[\x20-]?\1)+$",
-    "phone": r"555[\x20.-]?01[0-9]{2}$",
+    "phone": r"^(?:\+[1-9]|\(?[2-9][0-9]{2}\)?[\x20.-][2-9]|0[1-9]|00[1-9])",
 }
+TOP_DOMAINS = (
+    "com org net edu gov mil info biz io dev app co uk ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg se no dk fi is ee lv lt"
+    " ru ua tr il in cn jp kr tw hk sg my th vn id ph au nz za ng ke eg ma br ar cl mx pe ca us eu"
+).split()
+NOWHERE = "localhost local test invalid example".split()
+CALLING_CODES = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+).split()
+ISSUERS = "4 51 52 53 54 55 22 23 24 25 26 27 34 37 36 38 60 62 65".split()
+# First numbers of addresses that no host has.
+UNROUTED = ["0", "127", *map(str, range(224, 256))]
 CUE_FOR = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|client|from|login|adresse)\b",
@@ -64,10 +69,15 @@ CUE_FOR = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|t[eé]l[eé]phone|tel[eé]fono)\b",
 }
 CUE_AGAINST = r"(?i)\b(?:isbn|issn|version|order|invoice|serial|section|chapter|figure|table|doi|sku|id|ref)\b"
-CONTEXT = 40
+CONTEXT = 40  # characters on either side
 ROUNDS = 30
 DECIDE = 0.5
-CANDIDATE = "struct<kind:string,order:int,start:int,end:int,base:boolean,regex:int,gazetteer:int,context:int,size:int>"
+RIDGE = 1e-3
+SAMPLE = 20_000  # candidates, those with the smallest hashes, that the classifier is fitted on
+CANDIDATE = "struct<kind:string,order:int,start:int,end:int,base:boolean,regex:int,gazetteer:int,context:int,inputs:array<int>>"
+# Inputs of the classifier, one of each group is on: kind, shape, word before, word after, length, digits.
+GROUPS = (len(KINDS), 64, 64, 64, 5, 6)
+OFFSETS = [sum(GROUPS[:i]) for i in range(len(GROUPS) + 1)]
 
 
 def _digits(found: Column) -> Column:
@@ -95,16 +105,50 @@ def _vote(found: Column, against: Column) -> Column:
     return F.when(against, F.lit(-1)).when(found, F.lit(1)).otherwise(F.lit(0))
 
 
+def gazetteer_vote(kind: str, word: Column) -> Column:
+    """What the tables say of a span, looked up by its key."""
+    if kind == "email":
+        key = F.lower(F.regexp_extract(word, r"([A-Za-z0-9-]+)$", 1))
+        host = F.lower(F.regexp_extract(word, r"(?i)(?:@|at[\])]?)\x20?([a-z0-9-]+)", 1))
+        return _vote(key.isin(TOP_DOMAINS), key.isin(NOWHERE) | host.isin(NOWHERE))
+    if kind == "ip":
+        key = F.regexp_extract(word, r"^0*([0-9]+?)\.", 1)
+        return _vote(key != "", key.isin(UNROUTED) | word.rlike(r"^[0-9]\.[0-9]\.[0-9]\.[0-9]$"))
+    if kind == "card":
+        digits = _digits(word)
+        known = F.substring(digits, 1, 1).isin(ISSUERS) | F.substring(digits, 1, 2).isin(ISSUERS)
+        return _vote(known, digits.rlike(r"^([0-9])\1+$"))
+    abroad = F.regexp_extract(word, r"^(?:\+|00)([1-9][0-9]?)", 1)
+    known = abroad.isin(CALLING_CODES) | F.substring(abroad, 1, 1).isin(CALLING_CODES)
+    return _vote(known, word.rlike(r"555[\x20.-]?01[0-9]{2}$") | (abroad != "") & ~known)
+
+
+def _inputs(kind: str, word: Column, left: Column, right: Column) -> Column:
+    """array<int>: which inputs of the classifier are on."""
+    bucket = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
+    shape = F.regexp_replace(F.regexp_replace(word, r"[0-9]+", "0"), r"[A-Za-z]+", "a")
+    before = F.regexp_extract(F.lower(left), r"(\p{L}+)\P{L}*$", 1)
+    after = F.regexp_extract(F.lower(right), r"^\P{L}*(\p{L}+)", 1)
+    on = [
+        F.lit(KINDS.index(kind)), bucket(GROUPS[1], F.lit(kind), shape), bucket(GROUPS[2], before), bucket(GROUPS[3], after),
+        F.least(F.floor(F.length(word) / 8), F.lit(GROUPS[4] - 1)).cast("int"),
+        F.least(F.floor(F.length(_digits(word)) / 4), F.lit(GROUPS[5] - 1)).cast("int"),
+    ]
+    return F.array(*[(x + offset).cast("int") for x, offset in zip(on, OFFSETS)])
+
+
 def _candidates(text: Column, found: Column, kind: str, base: bool) -> Column:
-    """Matches with their three votes."""
+    """Matches with their three votes and inputs."""
 
     def judged(m: Column) -> Column:
         word = m["found"]
         strict = word.rlike(STRICT[kind])
         if kind == "card":
             strict = strict & F.call_function("luhn_check", _digits(word))
+        if kind == "email":
+            strict = strict & ~word.rlike(_PROSE)
         begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        left = F.substring(text, begin + 1, m["start"] - begin)
+        left, right = F.substring(text, begin + 1, m["start"] - begin), F.substring(text, m["end"] + 1, F.lit(CONTEXT))
         return F.struct(
             F.lit(kind).alias("kind"),
             F.lit(KINDS.index(kind)).alias("order"),
@@ -112,9 +156,9 @@ def _candidates(text: Column, found: Column, kind: str, base: bool) -> Column:
             m["end"].alias("end"),
             F.lit(base).alias("base"),
             F.when(strict, F.lit(1)).otherwise(F.lit(-1)).alias("regex"),
-            _vote(word.rlike(GAZETTEER_FOR[kind]), word.rlike(GAZETTEER_AGAINST[kind])).alias("gazetteer"),
+            gazetteer_vote(kind, word).alias("gazetteer"),
             _vote(left.rlike(CUE_FOR[kind]), left.rlike(CUE_AGAINST)).alias("context"),
-            F.least(F.floor((m["end"] - m["start"]) / 8), F.lit(4)).cast("int").alias("size"),
+            _inputs(kind, word, left, right).alias("inputs"),
         ).cast(CANDIDATE)
 
     return F.transform(found, judged)
@@ -139,10 +183,14 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "f.base", "f.candidates")
 
 
+def exploded(found: DataFrame) -> DataFrame:
+    """One row per candidate, with doc_id."""
+    return found.select("doc_id", F.explode_outer("candidates").alias("c")).filter("c is not null").select("doc_id", "c.*")
+
+
 def vote_counts(found: DataFrame) -> DataFrame:
-    """Candidates per kind, votes and size class: a few hundred rows, combined before the shuffle."""
-    each = found.select(F.explode_outer("candidates").alias("c")).filter("c is not null").select("c.*")
-    return each.groupBy("kind", "regex", "gazetteer", "context", "size").agg(F.count("*").cast("double").alias("n"))
+    """Candidates per kind and votes: at most 27 rows a kind, combined before the shuffle."""
+    return exploded(found).groupBy("kind", *LABELERS).agg(F.count("*").cast("double").alias("n"))
 
 
 LABELERS = ("regex", "gazetteer", "context")
@@ -201,48 +249,36 @@ def reliabilities(counts: DataFrame) -> DataFrame:
     return gathered.withColumn("state", state)
 
 
-def _inputs(c) -> dict[str, Column]:
-    """Inputs of the classifier by name; ``c`` gives a candidate's fields."""
-    made = {f"{v}_{n}": (c(v) == s).cast("double") for v in LABELERS for n, s in (("yes", 1), ("no", -1))}
-    made |= {f"is_{k}": (c("kind") == k).cast("double") for k in KINDS}
-    return made | {"size": c("size").cast("double")}
-
-
-def train(found: DataFrame) -> dict[str, float] | None:
-    """Weights of the span classifier; None if there is no candidate. The rows it is fitted on are aggregated
-    votes, at most 4 kinds x 27 votes x 5 size classes, twice."""
+def train(found: DataFrame) -> list[float] | None:
+    """Weights of the span classifier, the last one its intercept; None if there is no candidate."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     counts = written(vote_counts(found), "votes")
     if not counts.head(1):
         return None
-    learned = counts.join(F.broadcast(reliabilities(counts).select("kind", "state")), "kind").withColumn(
+    # One ordered partition, so that the sums are the same in every run.
+    place = F.xxhash64("doc_id", "kind", "start")
+    some = exploded(found).withColumn("_h", place).orderBy("_h", "kind", "start", "end").limit(SAMPLE)
+    some = some.join(F.broadcast(reliabilities(counts).select("kind", "state")), "kind").withColumn(
         "r", _posterior(F.col("state"), F.array(*LABELERS))
     )
-    inputs = _inputs(F.col)
-    both = learned.select(
-        *[c.alias(n) for n, c in inputs.items()],
-        F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("r")).alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("r"))).alias("weight")),
-            )
-        ).alias("y"),
-    ).select(*inputs, "y.*")
-    # One ordered partition, so that the sums are the same in every run.
-    both = VectorAssembler(inputCols=list(inputs), outputCol="features").transform(both)
-    small = written(both.select("features", "label", "weight", *inputs).coalesce(1), "soft-labels").coalesce(1)
-    small = small.sort(*inputs, "label").select("features", "label", "weight")
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=60, standardization=False).fit(small)
-    return dict(zip(inputs, (float(w) for w in model.coefficients), strict=True)) | {"": float(model.intercept)}
+    small = written(some.select("inputs", "r").coalesce(1), "soft-labels").coalesce(1).sort("inputs", "r")
+    on = F.transform(F.sequence(F.lit(0), F.lit(OFFSETS[-1] - 1)), lambda i: F.array_contains("inputs", i.cast("int")).cast("double"))
+    both = small.select(
+        array_to_vector(on).alias("features"),
+        F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("r").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("r")).alias("weight")))).alias("y"),
+    ).select("features", "y.*")
+    model = LogisticRegression(weightCol="weight", regParam=RIDGE, maxIter=100, tol=1e-9, standardization=False).fit(both)
+    return [*(float(w) for w in model.coefficients), float(model.intercept)]
 
 
 def scan_pii(docs: DataFrame, decide: float = DECIDE) -> DataFrame:
     """(doc_id, base, spans) of every row of (doc_id, text): arrays of struct(start, order, kind, end), sorted.
 
-    ``spans`` holds the base spans and the looser candidates that the classifier takes for true. Positions
-    count code points, ends are exclusive. Texts are read once; what is kept of them is spans and votes. Null
+    ``spans`` holds the base spans and the looser candidates that the classifier takes for true. Spans that start at one
+    place are in the order of the kinds. Positions count code points, ends are exclusive. Texts of any length are
+    searched whole. Texts are read once; what is kept of them is spans and votes. Null
     and empty texts have no span; repeated rows are judged alike; an empty table gives no rows. Other columns are
     not read. No step gathers the spans of a document or of a kind in more than its own row or its counts.
     """
@@ -250,9 +286,8 @@ def scan_pii(docs: DataFrame, decide: float = DECIDE) -> DataFrame:
     weights = train(found)
 
     def wanted(c: Column) -> Column:
-        z = F.lit(weights[""])
-        for name, value in _inputs(lambda f: c[f]).items():
-            z = z + value * weights[name]
+        weight = F.array(*[F.lit(w) for w in weights])
+        z = F.aggregate(c["inputs"], F.lit(weights[-1]), lambda acc, i: acc + F.get(weight, i))
         return ~c["base"] & (1 / (1 + F.exp(-z)) >= decide)
 
     if weights is None:
