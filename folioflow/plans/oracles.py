@@ -338,6 +338,37 @@ ORACLES["chunk_clauses"] = _clause("select doc_id, chunk_index, text from chunks
 ORACLES["chunk_fixed"] = _with(_EXTRACTED, _INDEXABLE, _FIXED, recursive=True) + (
     "select doc_id, chunk_index, text from fixed"
 )
+
+
+def _split_at(number: int, separator: str) -> str:
+    """Pieces that are too long and hold the separator, cut before each of it."""
+    return f"""level{number} as (
+  select doc_id, flatten(list_transform(p, lambda x: case when length(x) > 500 and contains(x, {separator}) then
+    list_filter(list_transform(string_split(x, {separator}), lambda y, i: case when i = 1 then y else {separator} || y end),
+      lambda z: z <> '') else [x] end)) as p
+  from level{number - 1})"""
+
+
+# Pieces are gathered up to 500 characters; what stays of the last chunk has 50 at most and room for the next piece.
+_GATHERED = """gather(doc_id, i, win, done) as (
+  select doc_id, 1, []::varchar[], null::varchar from level4
+  union all
+  select doc_id, i + 1, case when over then list_append(win[1 + list_min(list_filter(range(0, len(win) + 1),
+      lambda k: k = len(win) or (length(array_to_string(win[k + 1:], '')) <= 50
+        and length(array_to_string(win[k + 1:], '')) + length(piece) <= 500))):], piece) else list_append(win, piece) end,
+    case when over then array_to_string(win, '') end
+  from (
+    select doc_id, i, win, p[i] as piece, len(win) > 0 and length(array_to_string(win, '')) + length(p[i]) > 500 as over
+    from gather join level4 using (doc_id) where i <= len(p))),
+gathered as (
+  select doc_id, i, done as piece from gather where done is not null
+  union all
+  select doc_id, i + 1, array_to_string(win, '') from gather join level4 using (doc_id) where i = len(p) + 1)"""
+ORACLES["chunk_recursive"] = _with(
+    _EXTRACTED, _INDEXABLE, "level0 as (select doc_id, [text] as p from indexable)",
+    *[_split_at(i, x) for i, x in enumerate(("chr(10) || chr(10)", "chr(10)", "'.'", "';'"), 1)], _GATHERED, recursive=True,
+) + f"""select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, {_trim('piece')} as text
+from gathered where {_trim('piece')} <> ''"""
 ORACLES["chunk_mode"] = _clause(
     """select doc_id, 'clause' as mode, count(*) as chunks, max(length(text))::int as longest from chunks group by 1
 union all
