@@ -175,7 +175,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     """One row per piece with its ``sequence_id`` and ``offset``.
 
     A null text is an empty one and gives one piece that holds the end id; repeated rows are packed each for
-    itself; an empty table gives no rows; other columns are not read. The driver sees the number of pieces per
+    itself; an empty table gives no rows; other columns are not read. A text of any length is encoded whole in its task
+    and cut there; pieces of equal length take their places in the order of their block, id and number. The driver sees the number of pieces per
     length (at most ``capacity`` rows) and the table of places, whose size follows from those lengths and not
     from the corpus. Ranks within a length come from counts per block and a numbering inside each block,
     so that a length with a third of all pieces is spread over all blocks.
