@@ -51,7 +51,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written in the shared folder and read again."""
+    """All stages over ``documents``; what a stage returns is written in the shared folder and read again.
+
+    Null and empty texts and those of few words go with the quality rules, repeated rows and near copies with the near
+    duplicates (the smallest doc_id stays, a null one only if there is no other); documents that quote the
+    benchmark go, texts of any length are handled whole, and an empty table gives no sequences. Extra columns are carried
+    through to the last stage but one.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
