@@ -11,6 +11,7 @@ bracket negative is halved until it isn't. Every pass sums gradient and Hessian
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioflow.llm.common import let, shingle_hashes, words, written
 from folioflow.llm.quality_rules import STOP_WORDS
 
-PASSES = 14
+PASSES = 30  # at most; eight or so are needed
 RIDGE = 1e-3
 BINS = 200
 LEAST_TAIL = 0.1  # smallest share of the positives from which the prior is read
@@ -92,6 +93,7 @@ class Model:
     deviation: tuple[float, ...]
     weights: tuple[float, ...]
     prior: float
+    converged: bool = True
 
     def score(self, values: Column) -> Column:
         size = len(self.mean)
@@ -132,7 +134,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def _minimise(rows: DataFrame, mean, deviation, prior: float, n_u: int, n_p: int, xp: np.ndarray) -> np.ndarray:
+def _minimise(rows: DataFrame, mean, deviation, prior: float, n_u: int, n_p: int, xp: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The last weights whose bracket was seen not to be negative, and whether steps had become small there."""
     d = len(xp)
     w, step, before = np.zeros(d), None, None
     for _ in range(PASSES):
@@ -150,18 +153,18 @@ def _minimise(rows: DataFrame, mean, deviation, prior: float, n_u: int, n_p: int
         bracket = total[-2] / n_u - prior * total[-1] / n_p
         if bracket < 0 and before is not None:
             step = step / 2
-            w = before + step
             if np.abs(step).max() < 1e-4:
-                return before
+                return before, True
+            w = before + step
             continue
         gradient = total[:d] / n_u - prior * xp + RIDGE * w
         hessian = total[d:-2].reshape(d, d) / n_u + RIDGE * np.eye(d)
         before, step = w, -np.linalg.solve(hessian, gradient)
         step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        w = w + step
         if np.abs(step).max() < 1e-3:
-            break
-    return w
+            return before, True
+        w = before + step
+    return before, False
 
 
 def fit(rows: DataFrame) -> Model | None:
@@ -191,7 +194,7 @@ def fit(rows: DataFrame) -> Model | None:
 
     # A first model tells positives from unlabelled rows; where it is surest the unlabelled are positive too,
     # so the ratio of the two tails there is the prior.
-    first = _minimise(rows, mean, deviation, 0.5, n_u, n_p, xp)
+    first, _ = _minimise(rows, mean, deviation, 0.5, n_u, n_p, xp)
 
     def histogram(values, positive):
         s = np.minimum((_sigmoid(_design(values, mean, deviation) @ first) * BINS).astype(int), BINS - 1)
@@ -201,8 +204,10 @@ def fit(rows: DataFrame) -> Model | None:
     tail_u, tail_p = (np.cumsum(part[::-1]) / part.sum() for part in (h[:BINS], h[BINS:]))
     ratios = [u / p for u, p in zip(tail_u, tail_p, strict=True) if p >= LEAST_TAIL]
     prior = float(np.clip(min(ratios), 0.05, 0.95))
-    weights = _minimise(rows, mean, deviation, prior, n_u, n_p, xp)
-    return Model(tuple(mean.tolist()), tuple(deviation.tolist()), tuple(weights.tolist()), prior)
+    weights, converged = _minimise(rows, mean, deviation, prior, n_u, n_p, xp)
+    if not converged:
+        warnings.warn(f"the quality model has not converged in {PASSES} passes", stacklevel=2)
+    return Model(tuple(mean.tolist()), tuple(deviation.tolist()), tuple(weights.tolist()), prior, converged)
 
 
 def prepare(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,8 +232,8 @@ def prepare(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Only the text enters a score. Null and empty texts are scored from zero features; repeated rows get
-    the same score; labels that contradict one another count as positive if one is; without trusted
+    Only the text enters a score. Null and empty texts are scored from zero features, texts of any length whole; repeated
+    rows get the same score; labels that contradict one another count as positive if one is; without trusted
     rows every score is 0.5; an empty table gives no rows. Other columns are not read.
     """
     rows = prepare(docs, labels)
