@@ -58,5 +58,7 @@ def test_folder_is_resolved_as_spark_resolves_it(spark, tmp_path):
     assert len(list((tmp_path / "a b").glob("shard-*.bin"))) >= 1
     assert {r.doc_id for r in token_files.read_documents(keys, folder).collect()} == {1, 2}
     assert token_files.shared_uri(spark, folder) == token_files.shared_uri(spark, f"file:{folder}") == f"file://{folder}"
+    # a file system of Spark's alone
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.none.link./x", f"file:{tmp_path}")
     with pytest.raises(ValueError, match="viewfs"):
         token_files.write_token_files(docs, P.path("word_bpe_49k.json"), "viewfs://none/x")
