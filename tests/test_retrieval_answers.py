@@ -1,8 +1,16 @@
+import os
+import shutil
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 
 from folioflow.operators import answers, retrieval
+from folioflow.plans.queries import QUERIES
 
-DIM = 12
+DIM, SF_DIR = 12, "/root/testdata/sf0.001"
 
 
 def make(spark, n=700, m=40, seed=1):
@@ -60,6 +68,28 @@ def test_block_join_gives_the_same_hits(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_small_blocks_send_rows_no_more_often(spark):
+    points, queries, *_ = make(spark)
+    cells = retrieval.cell_counts(points, queries, ["user_id"], point_block=2).collect()
+    assert {r["query_cells"] for r in cells} == {1}  # any number of questions that a task can hold
+    assert max(r["point_cells"] for r in cells) == retrieval.CELLS
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given test tables")
+def test_more_questions_than_may_be_broadcast(spark, tmp_path):
+    """The registered searches take every vector as a question, however many there are."""
+    n = retrieval.MAX_BROADCAST_QUERIES + 104
+    vectors = np.random.default_rng(5).normal(size=(n, 4)).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float32())),
+                      "label": pa.array([i % 10 for i in range(n)], pa.int32())})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    for name in ("documents", "events"):
+        shutil.copy(f"{SF_DIR}/{name}.parquet", tmp_path)
+    for name in ("filter_eq", "collection_search", "filter_in", "knn_cosine", "filter_range", "knn_dot", "score_threshold", "knn_euclidean"):
+        asked = QUERIES[name](spark, str(tmp_path)).agg(F.count_distinct("query_id")).first()[0]
+        assert asked > 1000, name
+
+
 def test_broadcast_scan_moves_no_vectors(spark, tmp_path):
     points, queries, *_ = make(spark, n=50)
     points.write.parquet(str(tmp_path / "p"))
