@@ -1,5 +1,5 @@
 from folioflow.operators import extract, quality
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from folioflow.schemas import EXTRACTED as WHOLE
 
@@ -48,6 +48,17 @@ def test_summary_and_empty_corpus(spark):
     assert set(empty.asDict().values()) == {0}
 
 
+def test_percentiles_are_exact(spark):
+    report = spark.range(40_001, numPartitions=4).select(
+        F.lit("success").alias("ocr_status"), F.lit(False).alias("needs_review"), F.lit(1).alias("page_count"),
+        (F.col("id") * F.col("id") % 100_003).cast("int").alias("text_length"), F.lit(1).alias("word_count"),
+        F.lit(0.0).alias("noise_ratio"), F.lit(1).alias("est_chunks"),
+    )
+    lengths = sorted(i * i % 100_003 for i in range(40_001))
+    row = quality.corpus_summary(report).first()
+    assert (row["p50_text_length"], row["p95_text_length"]) == (lengths[20_000], lengths[38_000])
+
+
 def test_report_has_no_python_and_reads_few_columns(spark):
     plan = quality.doc_quality(spark.createDataFrame([], EXTRACTED))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
