@@ -1,12 +1,18 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import messages
 from folioflow.operators import documents, embedding, newest, points
+from folioflow.plans.queries import QUERIES
 from folioflow.schemas import EXTRACTED, STATUS_EVENTS
 from folioflow.sources import raw
 from folioflow.streaming import jobs, lifecycle
 from tests.test_extract_embed import FILES, write_files
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def test_files_flow_to_ready_documents(spark, tmp_path):
     source = write_files(tmp_path / "in", FILES)
@@ -27,6 +33,15 @@ def test_files_flow_to_ready_documents(spark, tmp_path):
     assert points.load_points(spark, collection).count() == before + 1
 
 
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given test tables")
+def test_queries_stream_a_folder_of_files(spark, tmp_path):
+    """A larger table is a folder of part files under the same name."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(30)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["stream_extract"](spark, str(tmp_path)).count() == 30
+    assert QUERIES["stream_index"](spark, str(tmp_path)).count() == docs.filter("text <> ''").count()
+
+
 def test_failing_provider_marks_documents(spark, tmp_path):
     spark.createDataFrame([("d", "u", "f", "p", "some text", 1, "success", None, [9])], EXTRACTED).write.parquet(str(tmp_path / "in"))
 
