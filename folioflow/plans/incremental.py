@@ -16,7 +16,7 @@ from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.snapshots import SnapshotTable
 from folioflow.plans.stages import StageConfig
 from folioflow.sources.files import delete_folder, names_in, read_text, write_new
-from folioflow.sources.raw import scan_raw_files
+from folioflow.sources.raw import read_files
 from folioflow.sources.stages import write_summary
 
 
@@ -29,7 +29,7 @@ def refresh(spark: SparkSession, cfg: StageConfig, files: DataFrame | None = Non
     noted. Returns the counts of files, changed, removed and extracted ones, chunks and embedded chunks.
     """
     if files is None:
-        files = scan_raw_files(spark, cfg.input, cfg.glob)
+        files = read_files(spark, cfg.input, cfg.glob)
     known = SnapshotTable.create(spark, cfg.path("state/files"), "path", buckets=cfg.buckets)
     extracted = SnapshotTable.create(spark, cfg.path("state/extracted"), "doc_id", "source_path", cfg.buckets)
     reports = SnapshotTable.create(spark, cfg.path("state/report"), "doc_id", "filename", cfg.buckets)

@@ -17,7 +17,7 @@ from folioflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_docume
 from folioflow.operators.documents import run_log
 from folioflow.operators.snapshots import BUCKETS
 from folioflow.sources.files import delete_folder
-from folioflow.sources.raw import scan_raw_files
+from folioflow.sources.raw import read_files
 from folioflow.sources.stages import read_stage, spread, write_stage, write_summary
 
 STAGES = ("extract", "analyze", "embed")
@@ -67,7 +67,7 @@ def run_stages(
 
 def _extract(spark: SparkSession, cfg: StageConfig, files: DataFrame | None) -> dict:
     if files is None:
-        files = scan_raw_files(spark, cfg.input, cfg.glob)
+        files = read_files(spark, cfg.input, cfg.glob)
     outcome_path = cfg.path("extract_outcome")
     seen = Observation("extract")
     outcome = extract.run_extractor(files, cfg.extractor).observe(

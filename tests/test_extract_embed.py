@@ -8,6 +8,7 @@ from folioflow.operators import embedding, extract, points
 from folioflow.plans.incremental import refresh
 from folioflow.plans.stages import StageConfig, main, run_stages
 from folioflow.sources import raw, stages
+from folioflow.streaming import jobs
 
 
 def write_files(root, files):
@@ -174,3 +175,32 @@ def test_command_starts_in_a_fresh_process(tmp_path):
     assert done.returncode == 0 and "'indexed': " in done.stdout, done.stderr[-2000:]
     manifest = sorted((tmp_path / "out/collection/versions").glob("0*.json"))[-1].read_text()
     assert '"metric": "dot"' in manifest and '"dim": 8' in manifest and '"buckets": 2' in manifest
+
+
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    """The same files as Spark's reader, dealt by the cores and not by the number of files."""
+    for i in range(900):
+        write_files(tmp_path, {f"raw/u{i % 3}/d{i}/{'_' * (i == 7)}f{i}.{'txt' if i == 5 else 'pdf'}": b"x" * (i + 1)})
+    write_files(tmp_path, {"top.pdf": b"t", "_hidden/a.pdf": b"a"})
+    expected = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(str(tmp_path))
+    found = raw.read_files(spark, str(tmp_path))
+    assert found.schema == expected.schema
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    listed = raw.list_files(spark, str(tmp_path))
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, expected.drop("content").collect()))
+    assert raw.list_files(spark, str(tmp_path / "ra*"), "*.{txt,doc}").count() == 1
+    write_files(tmp_path, {"empty.pdf": b""})  # Spark's reader leaves it out
+    assert [r["content"] for r in raw.read_files(spark, str(tmp_path)).filter("length = 0").collect()] == [b""]
+
+
+def test_polling_picks_up_each_file_once(spark, tmp_path):
+    source, table = write_files(tmp_path / "in", FILES), str(tmp_path / "seen")
+    for _ in range(2):
+        jobs.poll_files(spark, source, table)
+    seen = spark.read.parquet(table)
+    known = {r["path"] for r in raw.list_files(spark, source).collect()}
+    assert sorted(r["path"] for r in seen.collect()) == sorted(known) and known
+    write_files(tmp_path / "in", {"raw/u9/doc_n/n.pdf": b"a new one"})
+    jobs.poll_files(spark, source, table)
+    assert spark.read.parquet(table).count() == len(known) + 1
