@@ -90,6 +90,7 @@ def _clause_pieces(docs: DataFrame, size: int, places: bool = False) -> DataFram
     return cut.withColumn("sums", running_sums(lengths)).withColumn("pieces", F.filter(pieces, lambda p: p["text"] != ""))
 
 
+_TEXTS_AT_ONCE = 64
 _PLACED = pa.struct([("text", pa.string()), ("start", pa.int32())])
 
 
@@ -100,9 +101,14 @@ def _python_pieces(text: Column, cut: Callable[[str], Iterator[tuple[str, int]]]
         found = ((p.strip(), at + len(p) - len(p.lstrip())) for p, at in cut(doc))
         return [{"text": p, "start": at} if places else p for p, at in found if p]
 
+    kind = pa.list_(_PLACED if places else pa.string())
+
     @F.arrow_udf("array<struct<text:string,start:int>>" if places else "array<string>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([tidy(t or "") for t in texts.to_pylist()], pa.list_(_PLACED if places else pa.string()))
+        # Pieces are Python objects for a few texts at a time only.
+        parts = (texts.slice(i, _TEXTS_AT_ONCE).to_pylist() for i in range(0, len(texts), _TEXTS_AT_ONCE))
+        made = [pa.array([tidy(t or "") for t in part], kind) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     return run(text)
 

@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from folioflow.operators import chunking
 from folioflow.operators.chunking import chunk_documents, split_clauses
 
 MARKER = r"(?:\d+\.(?:\d+\.?)*|\(?[a-z]\)|Article\s+\d+|Section\s+\d+)"
@@ -167,3 +169,16 @@ def test_search_by_halves(spark):
     df = spark.createDataFrame([(a, v) for a in lists for v in (-1, 0, 5, 17, 31)], "a array<int>, v int")
     for r in df.select("*", count_at_most(F.col("a"), F.col("v")).alias("n"), running_sums(F.col("a")).alias("s")).collect():
         assert r.n == sum(x <= r.v for x in r.a) and r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))]
+
+
+def test_pieces_of_a_large_batch_are_made_few_texts_at_a_time(spark, monkeypatch):
+    texts = ["".join(f"Sentence {j} of text {i}. " for j in range(60)) if i % 7 else None for i in range(500)]
+    # The function itself in place of the column it makes.
+    monkeypatch.setattr(chunking.F, "arrow_udf", lambda kind: lambda function: lambda text: function)
+    column = pa.array(texts, pa.string())
+    for make in (chunking.fixed_chunks, chunking.recursive_chunks):
+        whole = make(None)(column)
+        monkeypatch.setattr(chunking, "_TEXTS_AT_ONCE", 1000)
+        assert whole.equals(make(None)(column)) and len(whole) == 500
+        monkeypatch.setattr(chunking, "_TEXTS_AT_ONCE", 64)
+        assert len(make(None)(pa.array([], pa.string()))) == 0

@@ -3,6 +3,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 
 from folioflow.operators import embedding, extract, points
 from folioflow.plans.incremental import refresh
@@ -194,6 +195,13 @@ def test_files_are_listed_and_read_in_tasks(spark, tmp_path):
     assert [r["content"] for r in raw.read_files(spark, str(tmp_path)).filter("length = 0").collect()] == [b""]
 
 
+def test_extractor_holds_the_texts_of_few_files(spark):
+    files = pa.RecordBatch.from_pydict({"path": [f"gs://b/u/d/{i}.pdf" for i in range(1000)], "content": [b"a\fb"] * 1000})
+    made = list(extract._extract_batches(extract.plain_text_pages)(iter([files])))
+    assert max(b.num_rows for b in made) <= extract.FILES_AT_ONCE and sum(b.num_rows for b in made) == 1000
+    assert made[0].column(1)[0].as_py() == "a\n\nb"
+
+
 def test_polling_picks_up_each_file_once(spark, tmp_path):
     source, table = write_files(tmp_path / "in", FILES), str(tmp_path / "seen")
     for _ in range(2):
