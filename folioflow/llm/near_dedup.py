@@ -10,7 +10,9 @@
 5. The exact similarity of the full sets decides. Linked classes become components.
 6. What the stars can have missed lies between components that still share lists. These classes go through an exact
    prefix join of their full sets: rarest values first, as many as a near set must share one of, with bounds on
-   size and position. A group of many loose variants gives few pairs there, for what sets them apart is rare.
+   size and position. First each value's class with the fewest rarer values (in a group of variants the one least
+   changed) meets the others; what that links is one component before all others meet. There, sets whose parity
+   bits differ in more places than near sets can differ in values make no pair, so a group of many loose variants gives few.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ LEAST = 85  # per cent
 KEEP = 32
 RUN = 3
 MARGIN = 0.35  # five standard deviations of an estimate from 32 values and more
+PARITY_WORDS = 8  # 64 bits each; beyond some 700 values a set fills them and they leave out little
 COUNTERS = 18  # the rarity of a value is read from 2^18 counters, whatever the size of the corpus
 
 
@@ -159,12 +162,24 @@ def _rarity(sets: DataFrame) -> DataFrame:
     return written(filled.groupBy().agg(F.transform(gathered, lambda x: x["n"]).alias("counts")), "rarity")
 
 
-def _between_components(sets: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of classes with different labels that may be near, by an exact prefix join.
+def parity_bits(values: Column) -> list[Column]:
+    """``PARITY_WORDS`` longs: every value flips one bit, so two sets differ in at least as many values as bits."""
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(PARITY_WORDS - 1).cast("long"))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+
+    def flipped(k: int) -> Column:
+        return F.aggregate(
+            values, F.lit(0).cast("long"), lambda bits, h: F.when(word(h) == k, bits.bitwiseXOR(bit(h))).otherwise(bits)
+        )
+
+    return [flipped(k).alias(f"p{k}") for k in range(PARITY_WORDS)]
+
 
-    Values are ordered by rarity. A near set shares one of the first n - least * n + 1 values, and
-    from the places of a shared value in both follows how many more can be shared. In each list the classes of
-    its most frequent label are met by the others only, so a large component is not joined with itself.
+def _prefixes(sets: DataFrame, least: int) -> DataFrame:
+    """(class, n, parity words, at, h): the rarest values of each set, as many as a near set must share one of.
+
+    A near set shares one of the first n - least * n + 1 values, and from the places of a shared value in
+    both follows how many more can be shared.
     """
     counts = _rarity(sets).scalar()
     n = F.size("set")
@@ -176,24 +191,51 @@ def _between_components(sets: DataFrame, labels: DataFrame, least: int) -> DataF
         ),
     )
     prefix = F.slice(F.sort_array(order), F.lit(1), length)
-    rows = written(
-        sets.join(labels, "class")
-        .withColumn("counts", counts)
-        .select("class", "label", n.alias("n"), F.posexplode_outer(prefix).alias("at", "v"))
-        .select("class", "label", "n", "at", F.col("v.h").alias("h")),
-        "prefixes",
+    parts = sets.withColumn("counts", counts).select(
+        "class", n.alias("n"), *parity_bits(F.col("set")), F.posexplode_outer(prefix).alias("at", "v")
     )
+    return written(parts.withColumn("h", F.col("v.h")).drop("v"), "prefixes")
+
+
+def _can_be_near(least: int) -> Column:
+    """Of rows a and b that share a value: neither their sizes nor its places in both rule out that they are near."""
+    both = F.ceil((F.col("na") + F.col("nb")) * least / (100 + least))
+    return _alike_in_size(least) & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= both)
+
+
+def _least_changed(rows: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of the class that has the fewest values rarer than a shared one with the others of other labels."""
+    labelled = rows.select("h", "class", "n", "at").join(labels, "class")
+    heads = labelled.groupBy("h").agg(F.min(F.struct("at", "class", "n", "label")).alias("head"), F.count("*").alias("c"))
+    met = labelled.join(heads.filter("c > 1"), "h").filter(F.col("label") != F.col("head.label"))
+    found = met.select(
+        F.col("head.class").alias("a"), F.col("head.n").alias("na"), F.col("head.at").alias("ata"),
+        F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"),
+    )
+    return found.filter(_can_be_near(least)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between_components(rows: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of classes with different labels that may be near, by an exact prefix join.
+
+    In each list the classes of its most frequent label are met by the others only, so a large component is not
+    joined with itself.
+    """
+    rows = rows.join(labels, "class")
     each = rows.groupBy("h", "label").agg(F.count("*").alias("c"))
     main = each.groupBy("h").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
     mixed = rows.join(main.filter("labels > 1").select("h", "main"), "h")
+    words = [f"p{k}" for k in range(PARITY_WORDS)]
     side = lambda x: mixed.select(
-        "h", "main", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")
+        "h", "main", F.col("class").alias(x), F.col("label").alias(f"l{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}"),
+        *[F.col(p).alias(p + x) for p in words],
     )
     left = side("a").filter("la != main").drop("main")
-    both = F.ceil((F.col("na") + F.col("nb")) * least / (100 + least))
-    can = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= both
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
-    found = left.join(side("b"), "h").filter((F.col("la") != F.col("lb")) & once & _alike_in_size(least) & can)
+    # Near sets have 100 * common >= least * union, so they differ in at most this share of both sizes.
+    apart = sum((F.bit_count(F.col(p + "a").bitwiseXOR(F.col(p + "b"))) for p in words), F.lit(0))
+    bits = apart * (100 + least) <= (F.col("na") + F.col("nb")) * (100 - least)
+    found = left.join(side("b"), "h").filter((F.col("la") != F.col("lb")) & once & _can_be_near(least) & bits)
     return found.select("a", "b").distinct()
 
 
@@ -245,7 +287,13 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     mixed = labelled.groupBy("run").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     loose = written(labelled.join(mixed.select("run"), "run").select("class", "label").distinct(), "loose")
     sets = _full_sets(loose.select("class"), linkable, docs, size, "loose")
-    rest = written(_between_components(sets, loose, least), "rest")
+    prefixes = _prefixes(sets, least)
+    links = links.union(_exact(written(_least_changed(prefixes, loose, least), "changed"), sets, least, "near-changed"))
+    second = components(links)
+    apart = loose.select("class").join(second, loose["class"] == second["node"], "left").select(
+        "class", F.coalesce("label", "class").alias("label")
+    )
+    rest = written(_between_components(prefixes, apart, least), "rest")
     more = _exact(rest, sets, least, "near-rest")
     labels = components(links.union(more))
 

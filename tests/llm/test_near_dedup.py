@@ -130,3 +130,34 @@ def test_components(spark):
         by.setdefault(r.label, set()).add(r.node)
     assert sorted(map(sorted, by.values())) == sorted(map(list, {tuple(sorted(group[x])) for x in linked}))
     assert all(label in nodes for label, nodes in by.items())
+
+
+def test_loose_variants_are_not_met_pair_by_pair(spark, monkeypatch):
+    """Variants of one text that are near to few others or to none: links as among all pairs, from few candidates."""
+    rng = random.Random(12)
+    counted, written = {}, near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: counted.setdefault(name, written(df, name)))
+    for edits in ([3], [1, 2, 3, 4]):
+        base, docs = [f"b{i}" for i in range(150)], []
+        for v in range(120):
+            text = list(base)
+            for place in rng.sample(range(1, 149, 3), rng.choice(edits)):
+                text[place] = f"v{v}" if rng.random() < 0.7 else f"n{place}"
+            docs.append((v, " ".join(text)))
+        counted.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert sorted((tuple(r) for r in got.collect()), key=str) == expected(docs)
+        assert counted["rest"].count() < 400
+
+
+def test_parity_bits_never_say_more_than_values_differ(spark):
+    rng = random.Random(13)
+    sets = []
+    for n in (1, 40, 400, 4000):
+        one = [rng.getrandbits(63) for _ in range(n)]
+        sets += [(one,), (one[n // 3 :] + [rng.getrandbits(63) for _ in range(n // 4)],)]
+    bits = spark.createDataFrame(sets, "s array<long>").select("s", *near_dedup.parity_bits(near_dedup.F.col("s"))).collect()
+    for a in bits:
+        for b in bits:
+            apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a[1:], b[1:]))
+            assert apart <= len(set(a[0]) ^ set(b[0])) and (apart > 0 or a[0] == b[0])
