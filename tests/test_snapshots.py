@@ -1,14 +1,19 @@
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import points, retrieval
+from folioflow.operators import points, retrieval, snapshots
 from folioflow.operators.chunking import chunk_documents
 from folioflow.operators.snapshots import SnapshotTable
+from folioflow.plans import views
+from folioflow.plans.queries import QUERIES
 from folioflow.sources.files import names_in, write_new
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def made(spark, tmp_path, buckets=4):
     return SnapshotTable.create(spark, str(tmp_path / "t"), "doc_id", "point_id", buckets)
@@ -165,3 +170,14 @@ def test_reindex_embeds_only_changed_chunks(spark, tmp_path):
     counts = points.reindex_stored(spark, path, chunks({"a": "\n1. new text"}), down, min_wait=0, max_wait=0)
     assert counts["failed"] == 1 and points.load_points(spark, path).count() == 6
     assert not names_in(spark, f"{path}/work")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="needs the given test tables")
+def test_collection_of_a_larger_corpus_has_more_buckets(spark, monkeypatch):
+    """A bucket is one task of a write or join, so its size must not follow the corpus."""
+    assert [snapshots.buckets_for(n) for n in (None, 0, 600 << 20, 60000 << 20)] == [8, 8, 10, 938]
+    monkeypatch.setattr(snapshots, "BUCKET_BYTES", views.text_point_bytes(spark, SF_DIR) // 11)
+    made, create = [], points.create_collection
+    monkeypatch.setattr(points, "create_collection", lambda *a, **k: made.append(k["buckets"]) or create(*a, **k))
+    few = QUERIES["collection_reindex"](spark, SF_DIR)
+    assert made == [12] and few.count() == few.select("chunk_id").distinct().count() > 0
