@@ -22,6 +22,7 @@ Provider = Callable[[list[str]], np.ndarray]
 BATCH_SIZE = 100
 ATTEMPTS = 3
 MIN_WAIT, MAX_WAIT = 2.0, 30.0
+KNOWN_TOKENS = 50_000  # tokens whose places a task remembers, about 10 MB
 
 
 def hashing_embedder(dim: int = 256) -> Callable[[], Provider]:
@@ -32,22 +33,24 @@ def hashing_embedder(dim: int = 256) -> Callable[[], Provider]:
 
     def connect() -> Provider:
         known: dict[str, tuple[int, float]] = {}
+        places: dict[tuple[int, float], tuple[int, float]] = {}
 
         def place(token: str) -> tuple[int, float]:
             digest = hashlib.md5(token.encode()).hexdigest()
-            return int(digest[:4], 16) % dim, 1.0 if digest[4] < "8" else -1.0
+            found = int(digest[:4], 16) % dim, 1.0 if digest[4] < "8" else -1.0
+            return places.setdefault(found, found)  # one object per place, not per token
 
         def embed(texts: list[str]) -> np.ndarray:
-            if len(known) > 200_000:
-                known.clear()
-            cells, signs = [], []
+            out = np.zeros((len(texts), dim))
             for row, text in enumerate(texts):
+                if len(known) > KNOWN_TOKENS:
+                    known.clear()
+                cells, signs = [], []
                 for token in text.lower().split():
-                    slot, sign = known.get(token) or known.setdefault(token, place(token))
-                    cells.append(row * dim + slot)
-                    signs.append(sign)
-            flat = np.bincount(np.array(cells, dtype=np.int64), signs, minlength=len(texts) * dim)
-            out = flat.reshape(len(texts), dim)
+                    found = known.get(token) or known.setdefault(token, place(token))
+                    cells.append(found[0])
+                    signs.append(found[1])
+                out[row] = np.bincount(np.array(cells, dtype=np.int64), signs, minlength=dim)
             length = np.sqrt((out * out).sum(axis=1, keepdims=True))
             return np.divide(out, length, out=out, where=length > 0)
 

@@ -1,5 +1,6 @@
 import os
 import shutil
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -165,3 +166,27 @@ def test_answers(spark):
     failed = spark.createDataFrame([("q1", None, "rate limit")], "query_id string, raw string, error string")
     told = {r["query_id"]: r for r in answers.assemble_results(queries, hits, failed, "stub").collect()}
     assert told["q1"]["status"] == "failed" and told["q1"]["error"] == "rate limit"
+
+
+def test_scoring_holds_few_scores_and_texts_at_a_time():
+    """Block by block, in any order of blocks, the best of all points, in little memory however many are scored."""
+    rng, n, m = np.random.default_rng(8), 8192, 1024
+    vectors, asked = rng.normal(size=(n, 8)).round(1), rng.normal(size=(m, 8)).round(1)
+    names = [f"c{i:05d}" for i in rng.permutation(n)]
+    block = pa.table({"chunk_id": names, "doc_id": names, "vector": pa.array(vectors.tolist(), pa.list_(pa.float32()))})
+    top_k = rng.integers(1, 6, m)
+    questions = {"number": np.arange(m), "vector": asked, "top_k": top_k, "doc_ids": {}}
+    scorer = retrieval.BlockScorer("dot", None, ["chunk_id"])
+    step = retrieval._POINTS_AT_ONCE
+    tracemalloc.start()
+    for i in range(0, n, step):
+        scorer.add(block.slice(i, step), questions)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    got = {}
+    for r in scorer.best.to_pylist():
+        got.setdefault(r["number"], []).append((-r["near"], r["chunk_id"]))
+    exact = np.round(asked @ vectors.astype(np.float32).astype(np.float64).T, 6)
+    for q in range(0, m, 50):
+        assert sorted(got[q]) == sorted(zip(-exact[q], names))[: top_k[q]]
