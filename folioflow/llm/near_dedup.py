@@ -176,7 +176,7 @@ def parity_bits(values: Column) -> list[Column]:
 
 
 def _prefixes(sets: DataFrame, least: int) -> DataFrame:
-    """(class, n, parity words, at, h): the rarest values of each set, as many as a near set must share one of.
+    """(class, n, at, h): the rarest values of each set, as many as a near set must share one of.
 
     A near set shares one of the first n - least * n + 1 values, and from the places of a shared value in
     both follows how many more can be shared.
@@ -192,7 +192,7 @@ def _prefixes(sets: DataFrame, least: int) -> DataFrame:
     )
     prefix = F.slice(F.sort_array(order), F.lit(1), length)
     parts = sets.withColumn("counts", counts).select(
-        "class", n.alias("n"), *parity_bits(F.col("set")), F.posexplode_outer(prefix).alias("at", "v")
+        "class", n.alias("n"), F.posexplode_outer(prefix).alias("at", "v")
     )
     return written(parts.withColumn("h", F.col("v.h")).drop("v"), "prefixes")
 
@@ -293,7 +293,9 @@ def _grouped(docs: DataFrame, size: int, least: int) -> DataFrame:
     apart = loose.select("class").join(second, loose["class"] == second["node"], "left").select(
         "class", F.coalesce("label", "class").alias("label")
     )
-    rest = written(_between_components(prefixes, apart, least), "rest")
+    # Written before rows are exploded: once per set, not once per value.
+    bits = written(sets.select("class", *parity_bits(F.col("set"))), "bits")
+    rest = written(_between_components(prefixes, apart.join(bits, "class"), least), "rest")
     more = _exact(rest, sets, least, "near-rest")
     labels = components(links.union(more))
 
